@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import line_dedup, sharding, toxicity
+from noticeflow.llm import fingerprint, line_dedup, sharding, toxicity
 from noticeflow.llm.common import table
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sharding": op4_sharding, "op6_line_dedup": op6_line_dedup, "op10_toxicity": op10_toxicity}
+    return {
+        "op3_fingerprint": op3_fingerprint,
+        "op4_sharding": op4_sharding,
+        "op6_line_dedup": op6_line_dedup,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
