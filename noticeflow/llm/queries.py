@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import fingerprint, line_dedup, sharding, toxicity
+from noticeflow.llm import fingerprint, line_dedup, packing, sharding, toxicity
 from noticeflow.llm.common import table
 
 
@@ -49,6 +49,10 @@ FROM docs LEFT JOIN kept USING (doc_id)
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprint": op3_fingerprint,
         "op4_sharding": op4_sharding,
         "op6_line_dedup": op6_line_dedup,
+        "op7_packing": op7_packing,
         "op10_toxicity": op10_toxicity,
     }
 
