@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import ann, fingerprint, html_main, line_dedup, packing, sharding, toxicity
+from noticeflow.llm import ann, fingerprint, html_main, line_dedup, packing, pieces, sharding, toxicity
 from noticeflow.llm.common import table
 
 
@@ -16,6 +16,22 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = pieces.decoded(pieces.encoded(docs), F.col("encoded.ids"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.size("encoded.ids").cast("long").alias("n_pieces"),
+        "encoded.ids_crc32",
+        "encoded.score",
+        F.size("encoded.nbest").alias("n_best"),
+        F.transform("encoded.nbest", lambda x: F.round(x["score"], 3)).alias("scores"),
+        F.transform("encoded.nbest", lambda x: x["n_pieces"]).alias("piece_counts"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -77,6 +93,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
+        "op2_pieces": op2_pieces,
         "op3_fingerprint": op3_fingerprint,
         "op4_sharding": op4_sharding,
         "op6_line_dedup": op6_line_dedup,
