@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import ann, fingerprint, html_main, line_dedup, packing, pieces, sharding, toxicity
+from noticeflow.llm import ann, fingerprint, html_main, line_dedup, packing, pieces, sharding, suffix_dedup, toxicity
 from noticeflow.llm.common import table
 
 
@@ -40,6 +40,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.col("nf_n_bytes").alias("n_bytes"),
+        F.col("nf_n_removed").alias("n_removed"),
+        F.size("nf_spans").cast("long").alias("n_spans"),
+        F.sha2("nf_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs, counters=True)
@@ -96,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pieces": op2_pieces,
         "op3_fingerprint": op3_fingerprint,
         "op4_sharding": op4_sharding,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_main_text": op8_main_text,
