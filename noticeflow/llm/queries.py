@@ -47,7 +47,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("nf_n_bytes").alias("n_bytes"),
         F.col("nf_n_removed").alias("n_removed"),
         F.size("nf_spans").cast("long").alias("n_spans"),
-        F.sha2("nf_kept", 256).alias("kept_sha256"),
+        F.col("nf_kept_sha256").alias("kept_sha256"),
     )
 
 

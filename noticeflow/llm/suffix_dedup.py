@@ -255,7 +255,7 @@ def _spans(group: Group, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, n
     return doc[gone], begin[gone], end[gone]
 
 
-def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str]) -> pa.Table:
+def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str], text_col: str) -> pa.Table:
     """Step 4: documents with their spans and what is left."""
     group = Group.of(table, buckets)
     n = len(group.ids)
@@ -278,19 +278,23 @@ def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str]) ->
             kept[i] = b"".join([text[x:y] for x, y in zip([0, *tos], [*froms, len(text)], strict=True)])
             spans[i] = [{"start": x, "stop": y} for x, y in zip(froms, tos, strict=True)]
             removed[i] = len(text) - len(kept[i])
-    out = {f: group.table[f] for f in fields}
+    rest = group.table["nf_rest"].combine_chunks()
+    out = {f: rest.field(f) for f in fields if f != text_col}
+    missing = rest.field("nf_null").to_pylist()
+    out[text_col] = pa.array([None if m else k.decode("utf-8", "ignore") for m, k in zip(missing, kept, strict=True)], pa.string())
+    out = {f: out[f] for f in fields}
     out["nf_n_bytes"] = pa.array([len(t) for t in group.texts], pa.int64())
     out["nf_n_removed"] = pa.array(removed)
     out["nf_spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-    out["nf_kept"] = pa.array(kept, pa.binary())
+    out["nf_kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
     return pa.table(out)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with what is to go and what is left.
+    """The rows with their text cut.
 
     Adds nf_n_bytes, nf_n_removed, nf_spans (start and stop in bytes of each maximal removed run) and
-    nf_kept (the remaining bytes) to the rows' own columns.
+    nf_kept_sha256 (of the remaining bytes) to the rows' own columns.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -300,12 +304,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = max(2 * parallel, int(total * 0.065) // BUCKET_CLASSES)
     buckets = min(MOST_BUCKETS, 1 << max(0, wanted - 1).bit_length())
     fields = docs.columns
-    keyed = docs.withColumns(
-        {
-            "nf_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)),
-            "nf_text": F.coalesce(F.col(text_col), F.lit("")).cast("binary"),
-            "nf_g": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int"),
-        }
+    keyed = docs.select(  # the same columns in every step, so that one shuffle of the texts serves them all
+        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("nf_g"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("nf_id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("nf_text"),
+        F.struct(*[F.col(f) for f in fields if f != text_col], F.col(text_col).isNull().alias("nf_null")).alias("nf_rest"),
     )
 
     def grouped(step: Callable) -> Callable:
@@ -314,16 +317,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def send_classes(key: tuple, table: pa.Table) -> pa.Table:
         return _send_classes(table, buckets, key[0].as_py())
 
-    slim = keyed.select("nf_g", "nf_id", "nf_text")
-    classes = slim.groupBy("nf_g").applyInArrow(send_classes, _CLASSES_DDL)
+    classes = keyed.groupBy("nf_g").applyInArrow(send_classes, _CLASSES_DDL)
     first = classes.groupBy("bucket").applyInArrow(_judge_classes, _ANSWER_DDL)
     contexts = (
-        slim.groupBy("nf_g").cogroup(first.groupBy("g")).applyInArrow(grouped(_send_contexts), _CONTEXTS_DDL)
+        keyed.groupBy("nf_g").cogroup(first.groupBy("g")).applyInArrow(grouped(_send_contexts), _CONTEXTS_DDL)
     )
     second = contexts.groupBy("bucket").applyInArrow(_judge_contexts, _ANSWER_DDL)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _cut(left, right, buckets, fields)
+        return _cut(left, right, buckets, fields, text_col)
 
     schema = T.StructType(
         [
@@ -331,7 +333,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             T.StructField("nf_n_bytes", T.LongType()),
             T.StructField("nf_n_removed", T.LongType()),
             T.StructField("nf_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
-            T.StructField("nf_kept", T.BinaryType()),
+            T.StructField("nf_kept_sha256", T.StringType()),
         ]
     )
     return keyed.groupBy("nf_g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(cut, schema)

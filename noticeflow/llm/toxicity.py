@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm.common import small_batches, written
@@ -119,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(F.col(id_col).alias("nf_id"))
         .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("nf_toxic"))
     )
-    order = Window.partitionBy("nf_toxic").orderBy(F.xxhash64("nf_id"), "nf_id")
-    chosen = written(known.withColumn("nf_k", F.row_number().over(order)).filter(F.col("nf_k") <= sample), "toxic-sample")
+    hashed = known.withColumn("nf_k", F.xxhash64("nf_id"))
+    first, other = (hashed.filter(F.col("nf_toxic") == t).orderBy("nf_k", "nf_id").limit(sample) for t in (0, 1))
+    chosen = written(first.unionByName(other), "toxic-sample")
     texts = docs.select(F.col(id_col).alias("nf_id"), F.col(text_col).alias("nf_text")).join(
         F.broadcast(chosen.select("nf_id", "nf_toxic", "nf_k")), "nf_id"
     )
