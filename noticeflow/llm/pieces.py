@@ -37,7 +37,7 @@ from noticeflow.llm.common import small_batches, text_of
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 N_BEST = 5
-CACHED_STRETCHES, CACHED_SEARCHES = 600_000, 20_000
+CACHED_STRETCHES, CACHED_SEARCHES = 500_000, 20_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -232,21 +232,22 @@ class Lattice(dict):
         """
         keys = self.stretches(text)
         solved = [self[k] for k in keys]
-        ids = b"".join([s[1] for s in solved])
-        best = float(sum([s[0] for s in solved]))
-        costs = np.fromiter([s[2] for s in solved], np.float64, len(solved))
+        scores, parts, second = zip(*solved, strict=True) if solved else ((), (), ())
+        ids = b"".join(parts)
+        best = float(sum(scores))
+        costs = np.array(second, np.float64)
         open_to = np.flatnonzero(np.isfinite(costs))
         if len(open_to) > n - 1:
             open_to = open_to[np.lexsort((open_to, costs[open_to]))[: n - 1]]
         results: list[tuple[float, list]] = [(0.0, [])]  # (cost, changes), the n best so far
-        starts = np.cumsum([0, *(len(s[1]) // 4 for s in solved)]) if len(open_to) else ()
+        starts = np.cumsum(np.array([0, *map(len, parts)], np.int64)) // 4
         for i in sorted(open_to.tolist()):
             options = self.n_best(_stretch(keys[i]), n)
-            own = solved[i][1]
+            own = parts[i]
             alternatives = [(0.0, None)]
             for score, other in options:
                 if np.array(other, "<u4").tobytes() != own:
-                    alternatives.append((solved[i][0] - score, (int(starts[i]), int(starts[i + 1]), other)))
+                    alternatives.append((scores[i] - score, (int(starts[i]), int(starts[i + 1]), other)))
             both = [
                 (cost + extra, changes if change is None else [*changes, change])
                 for cost, changes in results
@@ -275,15 +276,16 @@ def lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
-#: What encoding yields: the best ids, their CRC, the best score, and the n best as changes to the best ids.
+#: What encoding yields: the best ids, their CRC, whether they decode to the text, the best score, and the n
+#: best as changes to the best ids.
 ENCODED = (
-    "ids array<int>, ids_crc32 long, score double, "
+    "ids array<int>, ids_crc32 long, exact boolean, score double, "
     "nbest array<struct<rank:int,score:double,n_pieces:int,changes:array<struct<start:int,stop:int,ids:array<int>>>>>"
 )
 
 
 def encoded(docs: DataFrame, n: int = N_BEST, text_col: str = "text", vocabulary: str | None = None, out: str = "encoded") -> DataFrame:
-    """The rows with a struct of ids, ids_crc32, score and nbest."""
+    """The rows with a struct of ids, ids_crc32, exact (the ids decode to the text), score and nbest."""
     small_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
 
@@ -299,8 +301,8 @@ def encoded(docs: DataFrame, n: int = N_BEST, text_col: str = "text", vocabulary
                 size = len(flat) + sum(len(c[2]) - (c[1] - c[0]) for c in changes)
                 told = [{"start": a, "stop": b, "ids": list(c)} for a, b, c in changes]
                 nbest.append({"rank": rank, "score": s, "n_pieces": size, "changes": told})
-            rows.append((flat, zlib.crc32(ids), score, nbest))
-        return pd.DataFrame(rows, columns=["ids", "ids_crc32", "score", "nbest"])
+            rows.append((flat, zlib.crc32(ids), own.decode(flat.tolist()) == text, score, nbest))
+        return pd.DataFrame(rows, columns=["ids", "ids_crc32", "exact", "score", "nbest"])
 
     return docs.withColumn(out, encode(text_of(text_col)))
 

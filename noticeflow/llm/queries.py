@@ -18,8 +18,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = pieces.decoded(pieces.encoded(docs), F.col("encoded.ids"))
-    return rows.select(
+    return pieces.encoded(docs).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.size("encoded.ids").cast("long").alias("n_pieces"),
@@ -28,7 +27,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("encoded.nbest").alias("n_best"),
         F.transform("encoded.nbest", lambda x: F.round(x["score"], 3)).alias("scores"),
         F.transform("encoded.nbest", lambda x: x["n_pieces"]).alias("piece_counts"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        F.col("encoded.exact").alias("round_trip"),
     )
 
 
