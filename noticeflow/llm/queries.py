@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import ann, fingerprint, html_main, line_dedup, packing, pieces, sharding, suffix_dedup, toxicity
+from noticeflow.llm import ann, fingerprint, html_main, line_dedup, near_dedup, packing, pieces, sharding, suffix_dedup, toxicity
 from noticeflow.llm.common import table
 
 
@@ -89,6 +89,11 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_main_text": op8_main_text,
+        "op9_near_dedup": op9_near_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
