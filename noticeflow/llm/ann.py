@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, SHARE, WIDEN = 160, 0.6, 0.12, 1.1
 BLOCK, LEAST_BLOCK, QUERIES = 32_768, 4096, 4096
+assert PROJECTIONS < 256  # collisions are counted in bytes
 SEED = 7
 
 
@@ -54,7 +55,10 @@ class Block:
         self.directions = np.random.default_rng(SEED).standard_normal((dim + 1, PROJECTIONS))
         values = (self.vectors / longest) @ self.directions[:dim] + last[:, None] * self.directions[dim]
         at = np.argsort(values, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, at, 0).T)
+        # the sorted arrays behind each other, each raised above the one before, so that one search serves all
+        self.limit = float(np.abs(values).max()) + 1.0
+        self.raised = (2 * self.limit + 2.0) * np.arange(PROJECTIONS)
+        self.sorted = (np.take_along_axis(values, at, 0).T + self.raised[:, None]).ravel()
         self.kind = np.uint16 if n < 65_536 else np.uint32
         self.position = np.empty((PROJECTIONS, n), self.kind)
         for j in range(PROJECTIONS):
@@ -66,14 +70,15 @@ class Block:
     def colliding(self, projected: np.ndarray, step: int) -> np.ndarray:
         """Which vectors collide often enough with windows of the radius of this step."""
         radius = 0.02 * WIDEN**step
-        low = [a.searchsorted(p - radius) for a, p in zip(self.sorted, projected, strict=True)]
-        high = [a.searchsorted(p + radius, "right") for a, p in zip(self.sorted, projected, strict=True)]
-        low, wide = np.array(low, np.int64), np.array(high, np.int64) - np.array(low, np.int64)
+        n = self.position.shape[1]
+        edges = np.concatenate((np.maximum(projected - radius, -self.limit), np.minimum(projected + radius, self.limit)))
+        at = self.sorted.searchsorted(edges.reshape(2, -1) + self.raised) - n * np.arange(PROJECTIONS)
+        low, wide = at[0], at[1] - at[0]
         # unsigned: positions before the window wrap round to large numbers
         shifted = self.position - low.astype(self.kind)[:, None]
-        full = wide >= self.position.shape[1]
+        full = wide >= n
         hits = shifted < np.where(full, 0, wide).astype(self.kind)[:, None]
-        counts = hits.sum(axis=0, dtype=np.int32) + int(full.sum())
+        counts = np.add.reduce(hits.view(np.uint8), axis=0, dtype=np.uint8) + np.uint8(full.sum())
         return counts >= THRESHOLD * PROJECTIONS
 
     def search(self, own: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
