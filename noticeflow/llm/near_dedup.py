@@ -12,10 +12,11 @@ shares by so much that copies of it would no longer reach the threshold.
 Equal texts are one from the start. Of the others, a text less than 80 % of whose weight lies on shingles
 that any other text has can't reach the similarity with any, and isn't sampled; this filter is exact.
 
-In each band's bucket every text is compared with the bucket's least key (no pairs within a bucket are
-listed). Where a bucket then still holds several classes, its members of different classes are compared
-too, but for those that the triangle inequality of the weighted Jaccard distance rules out by their known
-distances from the least key; so no pair that shares a bucket is lost, and nothing is capped.
+In each band the texts of a bucket get the bucket's least key as their representative, and texts that
+share a representative are brought together, once however many bands they share it in. There an inverted
+index over their shingles yields all pairs of at least the similarity at once; only as many links leave
+the task as connect the same texts. Texts of a large group are cut into blocks, and every two blocks meet
+in a task of their own. So every pair that shares a bucket is compared, and nothing is capped.
 
 Edge cases: a null text is the empty text; texts without words are alike only if equal; texts under five
 words are one shingle; a null id has no class of its own and takes none; rows of one id and text are one
@@ -45,20 +46,20 @@ from noticeflow.llm.shingles import Sampler, bags, mixed
 SIMILARITY, IDF_WEIGHT = 0.8, 0.1
 BANDS, ROWS = 20, 5
 GROUP_BYTES, BUCKET_SHINGLES, MOST_BUCKETS = 16 << 20, 1_000_000, 1 << 16
-#: Members of one representative that are compared in one group.
-MEMBERS = 256
+#: Texts of one representative that are compared in one task.
+MEMBERS = 2048
 
 _TEXTS = pa.schema([("g", pa.int32()), ("key", pa.string()), ("packed", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _CODES = pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])
 _SAMPLED = pa.schema([("key", pa.string()), ("bands", pa.list_(pa.int64())), ("weight", pa.float64()), ("shared", pa.binary())])
-_COMPARED = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())])
+_LINKS = pa.schema([("a", pa.string()), ("b", pa.string())])
 _DDL = {
     "texts": "g int, key string, packed binary",
     "counts": "bucket int, g int, n int, hashes binary, counts binary",
     "codes": "g int, bucket int, codes binary",
     "sampled": "key string, bands array<bigint>, weight double, shared binary",
-    "compared": "a string, b string, similarity double",
+    "links": "a string, b string",
 }
 
 
@@ -153,35 +154,68 @@ def _vector(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[: 8 * n], np.uint64), np.frombuffer(raw[8 * n :], np.float64)
 
 
-def similarity(a: bytes, b: bytes, weight_a: float, weight_b: float) -> float:
-    """Weighted Jaccard of two texts, from their shingles that other texts have and their whole weights."""
-    (ha, wa), (hb, wb) = _vector(a), _vector(b)
-    at = np.searchsorted(hb, ha)
-    at[at == len(hb)] = 0
-    both = hb[at] == ha if len(hb) else np.zeros(len(ha), bool)
-    common = float(np.minimum(wa[both], wb[at[both]]).sum())
-    return common / (weight_a + weight_b - common)
+def _links(table: pa.Table) -> pa.Table:
+    """Links between the texts of one group, or of two blocks of a large one, found through an inverted index.
 
-
-def _compare(members: pa.Table, representative: pa.Table) -> pa.Table:
-    rows = []
-    if members.num_rows and representative.num_rows:
-        r = representative.slice(0, 1).to_pylist()[0]
-        for m in members.to_pylist():
-            rows.append((m["a"], r["r_b"], similarity(m["shared"], r["r_shared"], m["weight"], r["r_weight"])))
-    return _table(rows, _COMPARED)
-
-
-def compared(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with their similarity: members are brought to b, in groups of a bounded size."""
-    sets = sampled.select("key", "weight", "shared")
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    dealt = pairs.join(many.hint("shuffle_hash"), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    members = dealt.join(sets.withColumnRenamed("key", "a").hint("shuffle_merge"), "a").select("a", "b", "part", "weight", "shared")
-    spread = many.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    named = [F.col(c).alias(f"r_{c}") for c in ("b", "part", "weight", "shared")]
-    own = spread.join(sets.withColumnRenamed("key", "b").hint("shuffle_merge"), "b").select(named)
-    return members.groupBy("b", "part").cogroup(own.groupBy("r_b", "r_part")).applyInArrow(_compare, _DDL["compared"])
+    Of the pairs that are alike only as many come back as connect the same texts.
+    """
+    rows = table.to_pylist()
+    m = len(rows)
+    sets = [_vector(r["shared"]) for r in rows]
+    whole = np.array([r["weight"] for r in rows])
+    cross = rows[0]["i"] != rows[0]["j"] if m else False
+    block = np.array([r["part"] for r in rows])
+    sizes = np.array([len(h) for h, _ in sets])
+    owner = np.repeat(np.arange(m), sizes)
+    ids, element = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets])
+    order = np.argsort(element, kind="stable")
+    by_owner, by_weight = owner[order], weight[order]
+    ptr = np.concatenate(([0], np.cumsum(np.bincount(element, minlength=len(ids)))))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    root = list(range(m))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x in range(m):
+        if cross and block[x] != rows[0]["i"]:
+            continue
+        own = element[edges[x] : edges[x + 1]]
+        starts, counts = ptr[own], ptr[own + 1] - ptr[own]
+        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        least = np.minimum(np.repeat(weight[edges[x] : edges[x + 1]], counts), by_weight[at])
+        common = np.bincount(by_owner[at], least, m)
+        alike = common >= SIMILARITY * (whole[x] + whole - common) - 1e-9
+        alike[x] = False
+        if cross:
+            alike &= block != block[x]
+        else:
+            alike[:x] = False
+        for y in np.flatnonzero(alike).tolist():
+            a, b = find(x), find(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((rows[x]["a"], rows[y]["a"]))
+    return _table(out, _LINKS)
+
+
+def verified(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Links (a, b) among texts that share a representative: ``pairs`` has (text, representative).
+
+    A group of more than ``MEMBERS`` texts is cut into blocks, and every two blocks meet in a task of their own.
+    """
+    sets = sampled.select(F.col("key").alias("a"), "weight", "shared")
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).withColumnRenamed("b", "m")
+    dealt = pairs.join(many.hint("shuffle_hash"), F.col("b") == F.col("m")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = dealt.withColumn("other", other).select("a", "b", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    members = blocks.join(sets.hint("shuffle_merge"), "a")
+    return members.groupBy("b", "i", "j").applyInArrow(_links, _DDL["links"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,42 +275,10 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     codes = counts.groupBy("bucket").applyInArrow(_sum_counts, _DDL["codes"])
     sampled = written(texts.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(sample, _DDL["sampled"]), "sampled")
 
-    members = sampled.select(F.col("key").alias("a"), "weight", F.explode("bands").alias("band"))
-    least = members.groupBy("band").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    placed = written(members.join(least.select("band", "b").hint("shuffle_hash"), "band"), "placed")
-    stars = placed.filter(F.col("a") != F.col("b")).select("a", "b").distinct()
-    first = written(compared(stars, sampled), "compared")
-    links = first.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    labels = components(links)
-
-    # buckets that still hold several classes: their members with distances from the least key
-    classed = placed.join(labels.withColumnRenamed("key", "a").hint("shuffle_hash"), "a", "left").withColumn(
-        "label", F.coalesce("label", "a")
-    )
-    open_bands = classed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("band")
-    known = first.select("a", "b", (1 - F.col("similarity")).alias("distance"))
-    rest = classed.join(open_bands.hint("shuffle_hash"), "band").join(known.hint("shuffle_hash"), ["a", "b"]).select(
-        "band", "a", "weight", "label", "distance"
-    )
-    apart = 1 - SIMILARITY + 1e-9
-    other = rest.select("band", *[F.col(c).alias(f"o_{c}") for c in ("a", "weight", "label", "distance")])
-    missed = (
-        rest.join(other.hint("shuffle_merge"), "band")
-        .filter(
-            (F.col("a") > F.col("o_a"))
-            & (F.col("label") != F.col("o_label"))
-            & (F.abs(F.col("distance") - F.col("o_distance")) <= apart)
-            & (F.col("distance") + F.col("o_distance") > 0)
-            & (F.least("weight", "o_weight") >= SIMILARITY * F.greatest("weight", "o_weight"))
-        )
-        .select("a", F.col("o_a").alias("b"))
-        .distinct()
-    )
-    missed = written(missed, "missed")
-    if missed.isEmpty():
-        return labels
-    more = written(compared(missed, sampled).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "more-links")
-    return labels if more.isEmpty() else components(links.union(more))
+    members = sampled.select(F.col("key").alias("a"), F.explode("bands").alias("band"))
+    least = members.groupBy("band").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
+    pairs = written(members.join(least.hint("shuffle_hash"), "band").select("a", "b").distinct(), "near-pairs")
+    return components(written(verified(pairs, sampled), "near-links"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
