@@ -243,7 +243,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page."""
     found = blocks(page or "")
     for level in (2, 1):
-        own = [b for b in found if b.article >= level]
+        own = [b for b in found if b.article >= level and not b.bad]  # what interrupts an article labels no part of it
         if own:
             kept = [b.text for b, good in zip(own, _labels(own, True), strict=True) if good]
             if kept:
