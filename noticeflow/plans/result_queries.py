@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text
-from noticeflow.operators import cargos, classify, linkage, report, results, segments, state
+from noticeflow.operators import cargos, classify, linkage, report, requirements, results, segments, state
 from noticeflow.plans.state_queries import AS_OF, NOTICES, _notices
 from noticeflow.plans.tables import day, joined, table
+from noticeflow.sources import notices as notices_source
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,3 +158,82 @@ QUERIES = {
     "display_texts": (display_texts, DISPLAY_TEXTS),
     "state_order": (state_order, STATE_ORDER),
 }
+
+
+def condensed_requirements(spark: SparkSession, sf: str) -> DataFrame:
+    """Requirement phrases composed from part columns."""
+    k = F.col("p_partkey")
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit("exige mestrado e doutorado em "), "p_brand", F.lit(" com diploma reconhecido")))
+        .when(k % 4 == 1, F.concat(F.lit("Graduação em "), "p_type", F.lit("; mestrado em "), "p_brand", F.lit("; mestrado")))
+        .when(k % 4 == 2, F.lit("Portal da universidade: mestrado"))
+        .otherwise(F.col("p_name"))
+    )
+    docs = table(spark, sf, "part").select("p_partkey", said.alias("said"))
+    return requirements.condensed(docs, "p_partkey", "said")
+
+
+CONDENSED_REQUIREMENTS = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Mestrado e Doutorado em ' || p_brand WHEN 1 THEN 'Graduação em ' || p_type || ' · Mestrado em ' || p_brand
+  WHEN 3 THEN p_name END AS condensed FROM part"""
+
+
+def requirement_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The first sources of a part's requirement, in order of precedence."""
+    p = table(spark, sf, "part")
+    sources = p.select("p_partkey", F.lit(0).alias("r"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("t"))
+    sources = sources.unionByName(p.select("p_partkey", F.lit(1).alias("r"), F.col("p_type").alias("t")))
+    sources = sources.unionByName(p.select("p_partkey", F.lit(2).alias("r"), F.lower("p_type").alias("t")))
+    return requirements.first_sources(sources, "p_partkey", "r", "t")
+
+
+REQUIREMENT_COLUMNS = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ' / ' ELSE '' END || p_type AS t FROM part"
+
+
+def _notice_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders rendered as notice pages."""
+    d = day("o_orderdate")
+    k = F.col("o_orderkey").cast("string")
+    html = F.concat(
+        F.lit('<html><body><nav>menu</nav><article id="noticia"><h1 itemprop="headline">Inst '), F.col("o_custkey").cast("string"), F.lit(" abre vaga "), k,
+        F.lit('</h1><abbr class="published" title="'), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('">x</abbr><div itemprop="description">Desc &amp; '), k,
+        F.lit('</div><div itemprop="articleBody"><p>Na área de Física '), k, F.lit(", 40 horas semanais, R$ 1.000,00. São "), (F.col("o_orderkey") % 9 + 1).cast("string"),
+        F.lit(" vagas. As inscrições estarão abertas de "), F.date_format(d, "dd/MM/yyyy"), F.lit(" a "), F.date_format(F.date_add(d, 9), "dd/MM/yyyy"),
+        F.lit('. <a href="https://apply.example.org/'), k, F.lit('">inscrição</a> e <a href="https://www.inst.example.org/">página</a></p></div><a class="edital-pdf-link" data-link="'),
+        k, F.lit('" data-code="7">Edital</a><a class="edital-pdf-link" href="/d/'), k, F.lit('.pdf">PDF</a></article></body></html>'),
+    )
+    return table(spark, sf, "orders").select("o_orderkey", html.alias("html"))
+
+
+def notice_details(spark: SparkSession, sf: str) -> DataFrame:
+    found = notices_source.details(_notice_pages(spark, sf), "o_orderkey", "html", F.lit(AS_OF).cast("date"))
+    return found.select("o_orderkey", "title", "description", "institution", "area", "workload", "salary_text", "vacancies_count", "publication_date", "registration_start", "registration_end", "employment_type")
+
+
+NOTICE_DETAILS = """SELECT o_orderkey, 'Inst ' || o_custkey || ' abre vaga ' || o_orderkey AS title, 'Desc & ' || o_orderkey AS description, 'Inst ' || o_custkey AS institution,
+  'Física ' || o_orderkey || ', 40 horas semanais, R$ 1' AS area, '40 horas semanais' AS workload, 'R$ 1.000,00' AS salary_text, (o_orderkey % 9 + 1)::INT AS vacancies_count,
+  o_orderdate::DATE AS publication_date, o_orderdate::DATE AS registration_start, o_orderdate::DATE + 9 AS registration_end, 'Concurso público' AS employment_type FROM orders"""
+
+
+def link_roles(spark: SparkSession, sf: str) -> DataFrame:
+    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html")
+    return notices_source.link_roles(found, "o_orderkey", F.lit("https://list.example.org/n/"))
+
+
+LINK_ROLES = "SELECT o_orderkey, 'https://apply.example.org/' || o_orderkey AS official_url, 'https://www.inst.example.org/' AS institution_url FROM orders"
+
+
+def protected_refs(spark: SparkSession, sf: str) -> DataFrame:
+    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html")
+    return notices_source.references(found, "o_orderkey", F.lit("https://list.example.org/n/")).select("o_orderkey", "label", "url", "link_id", "news_code", "access")
+
+
+PROTECTED_REFS = """SELECT o_orderkey, 'Edital' AS label, NULL AS url, o_orderkey::VARCHAR AS link_id, '7' AS news_code, 'HUMAN_VERIFICATION_REQUIRED' AS access FROM orders
+UNION ALL SELECT o_orderkey, 'PDF', 'https://list.example.org/d/' || o_orderkey || '.pdf', NULL, NULL, 'DIRECT' FROM orders"""
+
+QUERIES |= {
+    "condensed_requirements": (condensed_requirements, CONDENSED_REQUIREMENTS),
+    "requirement_columns": (requirement_columns, REQUIREMENT_COLUMNS),
+    "notice_details": (notice_details, NOTICE_DETAILS),
+    "link_roles": (link_roles, LINK_ROLES),
+    "protected_refs": (protected_refs, PROTECTED_REFS),
+}

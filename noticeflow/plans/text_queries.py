@@ -321,7 +321,7 @@ def field_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Amounts, workload and counts written into a sentence, and read back."""
     k = F.col("p_partkey")
     amount = F.concat(F.lit("R$ "), (k % 900 + 100).cast("string"), F.lit(",50"))
-    body = F.concat(amount, F.lit(" ou "), amount, F.lit(" e R$ 1.200,00 por "), (k % 30 + 10).cast("string"), F.lit(" horas semanais, "), "p_size", F.lit(" vagas"))
+    body = F.concat(amount, F.lit(" ou "), amount, F.lit(" e R$ 1.200,00 para "), (k % 30 + 10).cast("string"), F.lit(" horas semanais, "), "p_size", F.lit(" vagas"))
     return table(spark, sf, "part").select("p_partkey", text.money(body).alias("money"), text.workload(body).alias("workload"), text.vacancies(body).alias("vacancies"))
 
 
