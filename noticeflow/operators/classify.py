@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import policy
@@ -152,10 +152,12 @@ def child_rollup(children: DataFrame, parent: Sequence[str], area: str = "area",
     """
     relevant = children.filter(F.col("thematic_score") > 0)
     rank = F.array_position(F.array(*[F.lit(e) for e in ELIGIBILITY]), F.col("formal_eligibility"))
-    top = F.array_sort(F.collect_list(F.struct((-F.col("thematic_score")).alias("s"), F.col(order).alias("o"), F.col(area).alias("a"))))
-    return relevant.groupBy(*parent).agg(
+    w = Window.partitionBy(*parent).orderBy(F.desc("thematic_score"), order, area)
+    best = relevant.withColumn("nf_k", F.row_number().over(w)).filter("nf_k <= 4")  # four rows of a parent at most are brought together
+    areas = F.transform(F.array_sort(F.collect_list(F.struct("nf_k", F.col(area).alias("a")))), lambda x: x["a"])
+    counts = relevant.groupBy(*parent).agg(
         F.min_by("formal_eligibility", rank).alias("formal_eligibility"),
         *[F.count_if(F.col("formal_eligibility") == e).alias(f"n_{e.lower()}") for e in ELIGIBILITY],
         F.max("thematic_score").alias("thematic_score"),
-        F.array_join(F.transform(F.slice(top, 1, 4), lambda x: x["a"]), ", ").alias("areas"),
     )
+    return counts.join(best.groupBy(*parent).agg(F.array_join(areas, ", ").alias("areas")).hint("merge"), [*parent])
