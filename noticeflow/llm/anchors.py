@@ -82,7 +82,8 @@ def _chunk(buffer: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, first: in
         context *= _K2
         context += words[pick - SIDE + k]
         context ^= context >> np.uint64(31)
-    return Found(doc + first, start, h[pick], _mix(context), left.astype(np.uint8), right.astype(np.uint8))
+    gram = _mix(h[pick] * _K1)  # anchors have small hashes by choice; mixed anew they spread evenly
+    return Found(doc + first, start, gram, _mix(context), left.astype(np.uint8), right.astype(np.uint8))
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:

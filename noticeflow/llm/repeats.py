@@ -22,24 +22,22 @@ class Suffixes:
     before: np.ndarray  # the byte in front; from 256 on where it is not known or there is none
 
 
-def suffixes(strings: np.ndarray, first: np.ndarray, last: np.ndarray, open_left: np.ndarray, least: int) -> Suffixes:
-    """Of strings of equal width, each filled from ``first`` to ``last``, all suffixes of ``least`` bytes or more.
-
-    ``open_left``: more bytes stand before the string than it holds.
-    """
+def padded(strings: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Strings of equal width, zero outside of ``first`` to ``last``, with room to read words beyond their end."""
     n, width = strings.shape
-    counts = np.maximum(0, last - first - least + 1)
-    string = np.repeat(np.arange(n), counts)
-    start = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-    room = 8 * -(-width // 8) + width
-    padded = np.zeros((n, room), np.uint8)
-    padded[:, :width] = strings
+    out = np.zeros((n, 2 * width + 8), np.uint8)
     inside = np.arange(width)[None, :]
-    padded[:, :width][(inside < first[:, None]) | (inside >= last[:, None])] = 0
-    n_words = -(-width // 8)
-    flat = padded.ravel()
+    out[:, :width] = np.where((inside >= first[:, None]) & (inside < last[:, None]), strings, 0)
+    return out
+
+
+def suffixes(rows: np.ndarray, first: np.ndarray, last: np.ndarray, string: np.ndarray, start: np.ndarray) -> Suffixes:
+    """Some suffixes of padded strings, given by string and start, in order."""
+    room = rows.shape[1]
+    n_words = -(-(room - 8) // 16)
+    flat = rows.ravel()
     at = string * room + start
-    words = [flat[(at[:, None] + np.arange(8 * k, 8 * k + 8))].view(">u8").ravel().astype(np.uint64) for k in range(n_words)]
+    words = [flat[at[:, None] + np.arange(8 * k, 8 * k + 8)].view(">u8").ravel().astype(np.uint64) for k in range(n_words)]
     order = np.lexsort(words[::-1])
     string, start, at = string[order], start[order], at[order]
     common = np.zeros(len(order), np.int64)
@@ -56,9 +54,8 @@ def suffixes(strings: np.ndarray, first: np.ndarray, last: np.ndarray, open_left
     ends = last[string] - start
     if len(common) > 1:
         common[1:] = np.minimum(common[1:], np.minimum(ends[1:], ends[:-1]))
-    at_first = start == first[string]
-    before = np.where(at_first, 0, flat[np.maximum(at - 1, 0)]).astype(np.int64)
-    unknown = at_first | (open_left[string] & at_first)
+    unknown = start == first[string]
+    before = np.where(unknown, 0, flat[np.maximum(at - 1, 0)]).astype(np.int64)
     before[unknown] = 256 + np.flatnonzero(unknown)
     return Suffixes(string, start, common, before)
 
@@ -99,28 +96,24 @@ def intervals(common: np.ndarray, before: np.ndarray, owner: np.ndarray, least:
     return out
 
 
-def covered(strings: np.ndarray, first: np.ndarray, last: np.ndarray, open_left: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(strings: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each string the span that maximal repeats shared with a smaller owner cover, (0, 0) if none.
 
-    Spans of one string are taken together; the caller's strings share a middle part, so they overlap.
+    The strings are aligned: what they share stands at the same place in each. So suffixes are taken start
+    by start, which bounds the memory; spans of one string are taken together, as they overlap.
     """
-    found = suffixes(strings, first, last, open_left, least)
-    own = owner[found.string]
+    rows = padded(strings, first, last)
     lo = np.full(len(strings), 255, np.int64)
     hi = np.zeros(len(strings), np.int64)
-    for length, a, b, smallest in intervals(found.common, found.before, own, least):
-        if b - a < 8:
-            for i in range(a, b + 1):
-                if own[i] > smallest:
-                    s, at = found.string[i], found.start[i]
-                    if at < lo[s]:
-                        lo[s] = at
-                    if at + length > hi[s]:
-                        hi[s] = at + length
+    for start in range(strings.shape[1] - least + 1):
+        chosen = np.flatnonzero((first <= start) & (last - start >= least))
+        if len(chosen) < 2:
             continue
-        later = np.flatnonzero(own[a : b + 1] > smallest) + a
-        np.minimum.at(lo, found.string[later], found.start[later])
-        np.maximum.at(hi, found.string[later], found.start[later] + length)
-    none = hi == 0
-    lo[none] = 0
+        found = suffixes(rows, first, last, chosen, np.full(len(chosen), start))
+        own = owner[found.string]
+        for length, a, b, smallest in intervals(found.common, found.before, own, least):
+            later = found.string[a : b + 1][own[a : b + 1] > smallest]
+            lo[later] = np.minimum(lo[later], start)
+            hi[later] = np.maximum(hi[later], start + length)
+    lo[hi == 0] = 0
     return lo, hi

@@ -45,7 +45,7 @@ from noticeflow.llm.common import small_batches
 from noticeflow.llm.repeats import covered
 
 #: Bytes of text in a group, and classes in a bucket, about.
-GROUP_BYTES, BUCKET_CLASSES = 16 << 20, 500_000
+GROUP_BYTES, BUCKET_CLASSES = 6 << 20, 200_000
 MOST_BUCKETS = 1 << 16
 NULL_ID = -(1 << 63)
 NOTHING, EARLIER, DIFFERS = 0, 1, 2
@@ -229,7 +229,7 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
     near = _shares(gram, part(SIDE - _MIDDLE, SIDE)) | _shares(gram, part(SIDE + GRAM, SIDE + GRAM + _MIDDLE))
     spans = np.zeros((len(strings), 2), np.uint8)
     if near.any():
-        lo, hi = covered(strings[near], SIDE - left[near], SIDE + GRAM + right[near], left[near] == SIDE, own[near], LENGTH)
+        lo, hi = covered(strings[near], SIDE - left[near], SIDE + GRAM + right[near], own[near], LENGTH)
         spans[near, 0], spans[near, 1] = lo, hi
     ends = np.cumsum(sizes)
     out = [(r["g"], r["bucket"], 2, zlib.compress(spans[e - r["n"] : e].tobytes(), 1)) for r, e in zip(rows, ends.tolist(), strict=True)]
@@ -301,7 +301,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parallel = spark.sparkContext.defaultParallelism
     groups = max(1, math.ceil(total / GROUP_BYTES), min(4 * parallel, total >> 20))
-    wanted = max(2 * parallel, int(total * 0.065) // BUCKET_CLASSES)
+    wanted = max(2 * parallel, int(total * 0.065) // BUCKET_CLASSES)  # 6.5 % of all bytes are anchors
     buckets = min(MOST_BUCKETS, 1 << max(0, wanted - 1).bit_length())
     fields = docs.columns
     keyed = docs.select(  # the same columns in every step, so that one shuffle of the texts serves them all
