@@ -45,7 +45,7 @@ from noticeflow.llm.shingles import Sampler, bags, mixed
 
 SIMILARITY, IDF_WEIGHT = 0.8, 0.1
 BANDS, ROWS = 20, 5
-GROUP_BYTES, BUCKET_SHINGLES, MOST_BUCKETS = 16 << 20, 1_000_000, 1 << 16
+GROUP_BYTES, BUCKET_SHINGLES, MOST_BUCKETS = 6 << 20, 400_000, 1 << 16
 #: Texts of one representative that are compared in one task.
 MEMBERS = 2048
 
