@@ -27,6 +27,7 @@ import re
 import zlib
 from itertools import count
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +48,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Where letters meet other characters, and at line ends: the places where a stretch may be cut.
+_EDGE = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=[\W\d_])(?=[^\W\d_])|(?<=\n)(?=.)|(?<=.)(?=\n)", re.S)
+
+
 def _key(stretch: str) -> str:
     """What a stretch is kept by: itself without its mark in front, or with a space where it has none."""
     return stretch[1:] if stretch[:1] == SPACE else " " + stretch
@@ -80,6 +85,11 @@ class Lattice(dict):
         self.lost = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         #: every beginning of a piece, with a score if it is a piece itself
         self.table = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
+        self.singles = {p for p in self.scores if len(p) == 1}
+        self.matches = ahocorasick.Automaton()
+        for p, score in self.scores.items():
+            self.matches.add_word(p, (len(p), score))
+        self.matches.make_automaton()
         self.longest = max(map(len, self.scores), default=1)
         self.raw = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.known: dict[tuple[str, int], list] = {}
@@ -123,30 +133,20 @@ class Lattice(dict):
         worst = float("-inf")
         first, second, back = [worst] * (n + 1), [worst] * (n + 1), [0] * (n + 1)
         first[0] = 0.0
-        get, longest = self.table.get, self.longest
-        for at in range(n):
-            a, b = first[at], second[at]
-            single = False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                score = get(text[at:end], 0)
-                if score is None:
-                    continue
-                if score == 0 and text[at:end] not in self.table:
-                    break
-                single = single or end == at + 1
-                x, f = a + score, first[end]
-                if x > f:
-                    y = b + score
-                    second[end] = f if f > y else y
-                    first[end], back[end] = x, at
-                elif x > second[end]:
-                    second[end] = x
-            if not single:
-                x, f = a + self.lost, first[at + 1]
-                if x > f:
-                    first[at + 1], second[at + 1], back[at + 1] = x, max(f, b + self.lost), at
-                elif x > second[at + 1]:
-                    second[at + 1] = x
+        if self.singles.issuperset(text):
+            found = self.matches.iter(text)
+        else:
+            found = ((end - 1, (end - at, score)) for end, at, score in sorted((e, a, s) for a in range(n) for e, s in self.edges(text, a)))
+        for last, (size, score) in found:  # by end, the longest first
+            end = last + 1
+            begin = end - size
+            x, f = first[begin] + score, first[end]
+            if x > f:
+                y = second[begin] + score
+                second[end] = f if f > y else y
+                first[end], back[end] = x, begin
+            elif x > second[end]:
+                second[end] = x
         ids, end, raw = [], n, self.raw
         while end:
             piece = text[back[end] : end]
@@ -192,7 +192,9 @@ class Lattice(dict):
     def __missing__(self, word: str) -> tuple[float, bytes, float]:
         """A stretch by its key, in parts between which no piece reaches."""
         stretch = _stretch(word)
-        cuts = [i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in self.pairs]
+        if word.isalpha():
+            return self.part(stretch)
+        cuts = [i for i in (m.start() for m in _EDGE.finditer(stretch)) if stretch[i - 1 : i + 1] not in self.pairs]
         if not cuts:
             return self.part(stretch)
         parts = [self.part(stretch[a:b]) for a, b in zip([0, *cuts], [*cuts, len(stretch)], strict=True)]
@@ -231,14 +233,17 @@ class Lattice(dict):
         A change (start, stop, ids) puts ids in place of the best ids from start to stop.
         """
         keys = self.stretches(text)
-        solved = [self[k] for k in keys]
+        solved = list(map(self.__getitem__, keys))
         scores, parts, second = zip(*solved, strict=True) if solved else ((), (), ())
         ids = b"".join(parts)
         best = float(sum(scores))
         costs = np.array(second, np.float64)
         open_to = np.flatnonzero(np.isfinite(costs))
         if len(open_to) > n - 1:
-            open_to = open_to[np.lexsort((open_to, costs[open_to]))[: n - 1]]
+            near = costs[open_to]
+            most = np.partition(near, n - 2)[n - 2] if n > 1 else -1.0
+            open_to = open_to[near <= most]
+            open_to = open_to[np.argsort(costs[open_to], kind="stable")[: n - 1]]
         results: list[tuple[float, list]] = [(0.0, [])]  # (cost, changes), the n best so far
         starts = np.cumsum(np.array([0, *map(len, parts)], np.int64)) // 4
         for i in sorted(open_to.tolist()):
