@@ -47,6 +47,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def hashed(buffer: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash (64 and 32 bits) of the ``LENGTH`` bytes from each of some positions on."""
+    high, low = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    if len(at):
+        words = _words(buffer)
+        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            w = words[at + k]
+            high = (high + w) * _K2
+            high ^= high >> np.uint64(31)
+            low = (low ^ w) * _K1
+            low ^= low >> np.uint64(29)
+    return _mix(high), (_mix(low) >> np.uint64(32)).astype(np.uint32)
+
+
 def _chunk(buffer: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, first: int) -> Found:
     """Anchors of texts that stand in one buffer, each with ``PAD`` zero bytes around it."""
     words = _words(buffer)

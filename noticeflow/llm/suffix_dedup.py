@@ -17,13 +17,22 @@ equal strings share an anchor with equal surroundings. Four steps, each a groupe
    with the span that repeats shared with a smaller id cover.
 4. The group joins the spans of both answers and cuts them out.
 
+An anchor with very many surroundings (a common phrase, the edge of a passage that many documents share) is
+never gathered in one place. A group that has more than ``HOT_HERE`` of its classes sends a mark in place
+of them in step 1; the bucket answers that the anchor is hot where it sees a mark or more than
+``HOT_CLASSES`` classes. In step 3 a group then sends the 50-byte strings around hot anchors, each
+once, as a hash (96 bits) and the least id to the bucket of that hash, which answers whether an earlier
+document has the string.
+
 Edge cases: a null text is the empty text; texts under 50 bytes lose nothing; a null id counts as smaller
 than any other; rows of one id are no duplicates of each other; equal rows get equal results; a span may
 cut a character in two, so the text form drops broken characters at its edges; an empty table gives an
 empty table; columns of the input pass through.
 
 Scale: a class of a third of all documents is one entry for each group, as groups send only its least
-id. All data go by hash, nothing is broadcast; the driver sees one number, the bytes in all.
+id; so is a string around a hot anchor. Of one anchor a bucket sees ``HOT_HERE`` classes of each group and
+``HOT_CLASSES`` surroundings at most. All data go by hash, nothing is broadcast; the driver sees one number,
+the bytes in all.
 """
 
 from __future__ import annotations
@@ -40,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.llm.anchors import CONTEXT, GRAM, LENGTH, SIDE, Found, anchors
+from noticeflow.llm.anchors import CONTEXT, GRAM, LENGTH, SIDE, Found, anchors, hashed
 from noticeflow.llm.common import small_batches
 from noticeflow.llm.repeats import covered
 
@@ -48,7 +57,10 @@ from noticeflow.llm.repeats import covered
 GROUP_BYTES, BUCKET_CLASSES = 6 << 20, 200_000
 MOST_BUCKETS = 1 << 16
 NULL_ID = -(1 << 63)
-NOTHING, EARLIER, DIFFERS = 0, 1, 2
+NOTHING, EARLIER, DIFFERS, HOT = 0, 1, 2, 3
+#: Classes of one anchor that a group sends, and of which a bucket asks for the surroundings, at most.
+HOT_HERE, HOT_CLASSES = 64, 4096
+MARK = (1 << 48) - 1  # in place of a class's hash: the group has more classes of this anchor than it sends
 _MIDDLE = 15  # two strings of 50 bytes around an anchor share so much on one side of it at least
 
 
@@ -66,6 +78,8 @@ class Group:
     gram: np.ndarray
     label: np.ndarray
     least: np.ndarray  # least id of each class in the group
+    crowded: np.ndarray  # classes of anchors that have too many of them here
+    sent: np.ndarray  # the classes that are sent, one alone of those that are crowded
 
     @classmethod
     def of(cls, table: pa.Table, buckets: int) -> Group:
@@ -78,13 +92,19 @@ class Group:
         bits = buckets.bit_length() - 1
         bucket = (found.gram >> np.uint64(64 - bits)) if bits else np.zeros(len(found.gram), np.uint64)
         gram = (found.gram >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
-        label = found.context & np.uint64((1 << 48) - 1)
+        label = np.minimum(found.context & np.uint64(MARK), np.uint64(MARK - 1))
         order = np.lexsort((ids[found.doc], label, gram, bucket))
         b, g, c = bucket[order], gram[order], label[order]
         new = np.ones(len(order), bool)
         new[1:] = (b[1:] != b[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])
         begins = np.flatnonzero(new)
-        return cls(table, ids, texts, found, order, begins, b[begins].astype(np.int64), g[begins], c[begins], ids[found.doc[order[begins]]])
+        b, g = b[begins].astype(np.int64), g[begins]
+        first = np.ones(len(begins), bool)
+        first[1:] = (b[1:] != b[:-1]) | (g[1:] != g[:-1])
+        at_gram = np.cumsum(first) - 1
+        crowded = (np.bincount(at_gram) > HOT_HERE)[at_gram] if len(begins) else first
+        sent = np.flatnonzero(first | ~crowded)
+        return cls(table, ids, texts, found, order, begins, b, g, c[begins], ids[found.doc[order[begins]]], crowded, sent)
 
     def slices(self) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of the classes of each bucket."""
@@ -94,23 +114,65 @@ class Group:
         edges = [0, *cuts.tolist(), len(self.bucket)]
         return [(int(self.bucket[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def status(self, answers: list[dict]) -> np.ndarray:
+        """What the buckets know of each class."""
+        out = np.full(len(self.begins), HOT, np.uint8)
+        out[self.sent] = _answers(self, answers, 1)
+        out[self.crowded] = HOT
+        return out
+
+
+@dataclass
+class Windows:
+    """The 50-byte strings around a group's hot anchors, and the distinct ones by bucket and hash."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    which: np.ndarray  # of the distinct ones
+    bucket: np.ndarray  # of each distinct one
+    high: np.ndarray
+    low: np.ndarray
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, group: Group, status: np.ndarray, buckets: int) -> Windows:
+        found = group.found
+        hot = group.order[np.repeat(status == HOT, np.diff(np.append(group.begins, len(group.order))))]
+        left = found.left[hot].astype(np.int64)
+        counts = left + found.right[hot] + GRAM - LENGTH + 1
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in group.texts]))).astype(np.int64)
+        at = np.unique(np.repeat(offsets[found.doc[hot]] + found.start[hot] - left, counts) + within)
+        doc = np.searchsorted(offsets, at, "right") - 1
+        high, low = hashed(np.frombuffer(b"".join(group.texts), np.uint8), at)
+        order = np.lexsort((group.ids[doc], low, high))
+        doc, at, high, low = doc[order], at[order], high[order], low[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        bits = buckets.bit_length() - 1
+        bucket = (high[new] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(new.sum(), np.int64)
+        # numbered after the buckets of anchors
+        return cls(doc, at - offsets[doc], np.cumsum(new) - 1, bucket + buckets, high[new], low[new], group.ids[doc[new]])
+
+    def slices(self) -> list[tuple[int, int, int]]:
+        return Group.slices(self)
+
 
 def _send_classes(table: pa.Table, buckets: int, name: int) -> pa.Table:
     """Step 1: a row for each bucket."""
     group = Group.of(table, buckets)
     rows: dict[str, list] = {"bucket": [], "g": [], "n": [], "gram": [], "label": [], "least": []}
     for bucket, a, b in group.slices():
-        label = group.label[a:b]
+        sent = group.sent[np.searchsorted(group.sent, a) : np.searchsorted(group.sent, b)]
+        label = np.where(group.crowded[sent], np.uint64(MARK), group.label[sent])
         parts = np.concatenate((label.astype(np.uint32).view(np.uint8), (label >> np.uint64(32)).astype(np.uint16).view(np.uint8)))
-        ids = group.least[a:b]
-        narrow = len(ids) and 0 <= ids.min() and ids.max() < 1 << 32
         for key, value in (
             ("bucket", bucket),
             ("g", name),
-            ("n", b - a),
-            ("gram", group.gram[a:b].astype(np.uint32).tobytes()),
+            ("n", len(sent)),
+            ("gram", group.gram[sent].astype(np.uint32).tobytes()),
             ("label", parts.tobytes()),
-            ("least", (ids.astype(np.uint32) if narrow else ids).tobytes()),
+            ("least", _packed(group.least[sent])),
         ):
             rows[key].append(value)
     return pa.table(rows, schema=_CLASSES)
@@ -122,6 +184,11 @@ _ANSWER = pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int3
 _ANSWER_DDL = "g int, bucket int, kind int, answer binary"
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    narrow = len(ids) and 0 <= ids.min() and ids.max() < 1 << 32
+    return (ids.astype(np.uint32) if narrow else ids).tobytes()
+
+
 def _ids(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.int64).astype(np.int64)
 
@@ -148,6 +215,9 @@ def _judge_classes(table: pa.Table) -> pa.Table:
     status = np.zeros(len(order), np.uint8)
     status[d > d[new][at_class]] = EARLIER
     status[new & (several & shared)[at_gram]] = DIFFERS
+    hot = np.bincount(at_gram[new]) > HOT_CLASSES
+    hot[at_gram[c == MARK]] = True
+    status[hot[at_gram] & (status != EARLIER)] = HOT
     back = np.empty(len(order), np.uint8)
     back[order] = status
     ends = np.cumsum(sizes)
@@ -155,18 +225,18 @@ def _judge_classes(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(_ANSWER.names, zip(*out, strict=True), strict=True)), schema=_ANSWER)
 
 
-def _answers(group: Group, rows: list[dict], kind: int) -> np.ndarray:
-    """The bytes that buckets answered, for all classes (kind 1) or those that differ (kind 2)."""
+def _answers(group: Group | Windows, rows: list[dict], kind: int) -> np.ndarray:
+    """The bytes that buckets answered, for the classes sent (kind 1), those that differ (kind 2) or strings (kind 3)."""
     by_bucket = {r["bucket"]: zlib.decompress(r["answer"]) for r in rows if r["kind"] == kind}
     return np.frombuffer(b"".join([by_bucket.get(b, b"") for b, _, _ in group.slices()]), np.uint8)
 
 
 def _send_contexts(table: pa.Table, answers: pa.Table, buckets: int, name: int) -> pa.Table:
-    """Step 3, first half: the surroundings of classes that differ from others with the same anchor."""
+    """Step 3, first half: the surroundings of classes that differ from others with the same anchor, and strings around hot anchors."""
     rows: dict[str, list] = {k: [] for k in _CONTEXTS.names}
     if table.num_rows and answers.num_rows:
         group = Group.of(table, buckets)
-        status = _answers(group, answers.to_pylist(), 1)
+        status = group.status(answers.to_pylist())
         pad = bytes(SIDE)
         for bucket, a, b in group.slices():
             chosen = np.flatnonzero(status[a:b] == DIFFERS) + a
@@ -191,6 +261,18 @@ def _send_contexts(table: pa.Table, answers: pa.Table, buckets: int, name: int)
                 ("least", ids.tobytes()),
             ):
                 rows[key].append(value)
+        windows = Windows.of(group, status, buckets)
+        for bucket, a, b in windows.slices():
+            for key, value in (
+                ("bucket", bucket),
+                ("g", name),
+                ("n", b - a),
+                ("strings", windows.high[a:b].tobytes()),
+                ("gram", windows.low[a:b].tobytes()),
+                ("sides", b""),
+                ("least", _packed(windows.least[a:b])),
+            ):
+                rows[key].append(value)
     return pa.table(rows, schema=_CONTEXTS)
 
 
@@ -236,14 +318,32 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(_ANSWER.names, zip(*out, strict=True), strict=True)), schema=_ANSWER)
 
 
-def _spans(group: Group, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _judge_windows(table: pa.Table) -> pa.Table:
+    """Step 3, second half, for strings around hot anchors: whether a smaller id has them."""
+    rows = table.to_pylist()
+    high = np.concatenate([np.frombuffer(r["strings"], np.uint64) for r in rows])
+    low = np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in rows])
+    own = np.concatenate([_ids(r["least"], r["n"]) for r in rows])
+    order = np.lexsort((own, low, high))
+    h, w, d = high[order], low[order], own[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    back = np.empty(len(order), np.uint8)
+    back[order] = d > d[new][np.cumsum(new) - 1]
+    ends = np.cumsum([r["n"] for r in rows])
+    out = [(r["g"], r["bucket"], 3, zlib.compress(back[e - r["n"] : e].tobytes(), 1)) for r, e in zip(rows, ends.tolist(), strict=True)]
+    return pa.table(dict(zip(_ANSWER.names, zip(*out, strict=True), strict=True)), schema=_ANSWER)
+
+
+def _spans(group: Group, answers: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, from, to) of what is to go, spans may overlap."""
     found, order = group.found, group.order
     sizes = np.diff(np.append(group.begins, len(order)))
-    status = np.repeat(_answers(group, answers, 1), sizes)
+    known = group.status(answers)
+    status = np.repeat(known, sizes)
     least = np.repeat(group.least, sizes)
     spans = np.zeros((len(group.begins), 2), np.int64)
-    differs = _answers(group, answers, 1) == DIFFERS
+    differs = known == DIFFERS
     if differs.any():
         spans[differs] = _answers(group, answers, 2).reshape(-1, 2)
     lo, hi = np.repeat(spans[:, 0], sizes), np.repeat(spans[:, 1], sizes)
@@ -252,7 +352,10 @@ def _spans(group: Group, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, n
     begin = np.where(whole, start - found.left[order], start - SIDE + lo)
     end = np.where(whole, start + GRAM + found.right[order], start - SIDE + hi)
     gone = whole | (hi > 0)
-    return doc[gone], begin[gone], end[gone]
+    windows = Windows.of(group, known, buckets)
+    has = (_answers(windows, answers, 3) == EARLIER)[windows.which] | (group.ids[windows.doc] > windows.least[windows.which])
+    at = windows.start[has]
+    return np.append(doc[gone], windows.doc[has]), np.append(begin[gone], at), np.append(end[gone], at + LENGTH)
 
 
 def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str], text_col: str) -> pa.Table:
@@ -263,7 +366,7 @@ def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str], te
     kept = list(group.texts)
     removed = np.zeros(n, np.int64)
     if answers.num_rows:
-        doc, begin, end = _spans(group, answers.to_pylist())
+        doc, begin, end = _spans(group, answers.to_pylist(), buckets)
         order = np.lexsort((begin, doc))
         doc, begin, end = doc[order], begin[order], end[order]
         edges = np.searchsorted(doc, np.arange(n + 1))
@@ -322,7 +425,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = (
         keyed.groupBy("nf_g").cogroup(first.groupBy("g")).applyInArrow(grouped(_send_contexts), _CONTEXTS_DDL)
     )
-    second = contexts.groupBy("bucket").applyInArrow(_judge_contexts, _ANSWER_DDL)
+
+    def judge(key: tuple, table: pa.Table) -> pa.Table:
+        return _judge_windows(table) if key[0].as_py() >= buckets else _judge_contexts(table)
+
+    second = contexts.groupBy("bucket").applyInArrow(judge, _ANSWER_DDL)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         return _cut(left, right, buckets, fields, text_col)

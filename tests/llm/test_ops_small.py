@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +266,66 @@ def test_suffix_dedup_random(spark):
 # 6: line dedup
 
 
+def by_hand_in_steps(rows, groups, buckets):
+    """The four steps without Spark: result rows, and the rows of each bucket of step 3."""
+    tables = []
+    for g in range(groups):
+        own = [r for r in rows if r[0] % groups == g]
+        rest = pa.StructArray.from_arrays([pa.array([False] * len(own))], ["nf_null"])
+        tables.append(pa.table({"nf_id": pa.array([i for i, _ in own], pa.int64()), "nf_text": pa.array([t.encode() for _, t in own], pa.binary()), "nf_rest": rest}))
+
+    def dealt(parts, key):
+        whole = pa.concat_tables(parts)
+        for k in sorted(set(whole[key].to_pylist())):
+            yield k, whole.filter(pc.equal(whole[key], k))
+
+    classes = [suffix_dedup._send_classes(t, buckets, g) for g, t in enumerate(tables)]
+    first = dict(dealt([suffix_dedup._judge_classes(t) for _, t in dealt(classes, "bucket")], "g"))
+    contexts = list(dealt([suffix_dedup._send_contexts(t, first[g], buckets, g) for g, t in enumerate(tables)], "bucket"))
+    judged = [suffix_dedup._judge_windows(t) if b >= buckets else suffix_dedup._judge_contexts(t) for b, t in contexts]
+    both = dict(dealt([*first.values(), *judged], "g"))
+    out = Counter()
+    for g, t in enumerate(tables):
+        for r in suffix_dedup._cut(t, both[g], buckets, ["text"], "text").to_pylist():
+            out[r["nf_n_bytes"], r["nf_n_removed"], len(r["nf_spans"]), r["nf_kept_sha256"]] += 1
+    sent = [sum(t["n"].to_pylist()) for _, t in dealt(classes, "bucket")]
+    return out, sent, {b: sum(t["n"].to_pylist()) for b, t in contexts}
+
+
+def edges_and_phrases(n):
+    """Texts that share a passage, or only a phrase, each with other surroundings."""
+    passage, phrase = prose(77, 25), "in the event of any such doubt"
+    return [(i, prose(5000 + i, 9) + (passage if i % 3 == 0 else phrase) + prose(9000 + i % 40, 9)) for i in range(n)]
+
+
+def test_suffix_dedup_hot_anchors_are_split():
+    rows = edges_and_phrases(700)
+    want = Counter()
+    for (_, *shown), n in cut_by_hand(rows).items():
+        want[tuple(shown)] += n
+    got, sent, contexts = by_hand_in_steps(rows, 2, 256)
+    assert got == want
+    assert max(sent) < 200 and max(contexts.values()) < 200  # 245 and 236 where all of an anchor's classes meet in one bucket
+
+
+@pytest.mark.parametrize(("here", "most"), [(1, 1), (2, 3), (3, 1000), (1000, 3)])
+def test_suffix_dedup_hot_anchors_give_the_same(monkeypatch, here, most):
+    monkeypatch.setattr(suffix_dedup, "HOT_HERE", here)
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", most)
+    rows = edges_and_phrases(120) + [(500 + k, "ab" * 60 + "c" * k) for k in range(5)] + [(600, ""), (601, "a" * 200), (602, "a" * 230)]
+    want = Counter()
+    for (_, *shown), n in cut_by_hand(rows).items():
+        want[tuple(shown)] += n
+    for buckets in (1, 16):
+        assert by_hand_in_steps(rows, 3, buckets)[0] == want
+
+
+def test_suffix_dedup_hot_anchors_in_spark(spark):
+    rows = edges_and_phrases(600)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert cut_by_spark(df) == cut_by_hand(rows)
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(i, f"menu\nbody {i}\n\n", "h" if i < 40 else "g", "kept") for i in range(50)]
     rows += [(100, None, "h", "kept"), (101, "menu\nmenu", "h", "kept"), (102, "menu", None, "kept"), (103, "", "h", "kept")]
