@@ -106,15 +106,17 @@ def registry_matches(notices: DataFrame, rows: DataFrame, notice_key: str, row_k
 
     Both sides have ``numbers``, ``words`` and ``dates`` arrays. 220 for a shared number, none at all for
     different ones, 10 for each shared word up to 80, 35 for each shared date; 90 at least; as many rows as
-    the notice has numbers, one at least and eight at most.
+    the notice has numbers, one at least and eight at most. Without a shared number both sides need words
+    and dates for 90, so rows that have fewer are looked for by number alone; this loses no match.
     """
 
     def keys(d: DataFrame, key: str) -> DataFrame:
-        parts = F.concat(
-            F.transform("numbers", lambda x: F.concat(F.lit("n:"), x)),
-            F.transform("words", lambda x: F.concat(F.lit("w:"), x)),
-            F.transform("dates", lambda x: F.concat(F.lit("d:"), x.cast("string"))),
+        numbers = F.transform("numbers", lambda x: F.concat(F.lit("n:"), x))
+        reach = F.least(F.lit(80), 10 * F.size(F.array_distinct("words"))) + 35 * F.size(F.array_distinct("dates"))
+        others = F.concat(
+            F.transform("words", lambda x: F.concat(F.lit("w:"), x)), F.transform("dates", lambda x: F.concat(F.lit("d:"), x.cast("string")))
         )
+        parts = F.when(reach >= 90, F.concat(numbers, others)).otherwise(numbers)
         return d.select(key, F.explode(F.array_distinct(parts)).alias("k"))
 
     pairs = keys(notices, notice_key).join(keys(rows, row_key).hint("merge"), "k").select(notice_key, row_key).distinct()

@@ -206,6 +206,19 @@ ID_MATCH = """SELECT o_orderkey, p_partkey, (o_orderkey % 50) || '/' || right(ye
   ON o_orderkey % 50 = p_partkey % 50 AND year(o_orderdate) = 1995 + p_size % 7 WHERE o_orderkey % 40 = 0"""
 
 
+def id_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all orders, with numbers that few of them share."""
+    label = lambda k, year: F.concat(F.lit("Concurso público, EDITAL Nº "), F.lpad((F.col(k) % 9973).cast("string"), 4, "0"), F.lit("/"), year)
+    notices = table(spark, sf, "orders").select("o_orderkey", linkage.notice_numbers(label("o_orderkey", F.date_format("o_orderdate", "yyyy"))).alias("numbers"))
+    named = label("p_partkey", (F.lit(1995) + F.col("p_size") % 7).cast("string"))
+    documents = table(spark, sf, "part").select("p_partkey", linkage.notice_numbers(named).alias("numbers"))
+    return linkage.id_matches(notices, documents, "o_orderkey", "p_partkey")
+
+
+ID_MATCH_ALL = """SELECT o_orderkey, p_partkey, (o_orderkey % 9973) || '/' || right(year(o_orderdate)::VARCHAR, 2) AS number FROM orders JOIN part
+  ON o_orderkey % 9973 = p_partkey % 9973 AND year(o_orderdate) = 1995 + p_size % 7"""
+
+
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Parts and suppliers' nations by words in common with benchmark items."""
     b = table(spark, sf, "benchmark").select("item_id", linkage.tokens(F.col("text"), (), 9).alias("words"))
@@ -219,14 +232,14 @@ SELECT doc_id, item_id, count(*) AS n_common FROM d JOIN b USING (w) GROUP BY 1,
 
 
 def registry_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as notices, lines of the first suppliers as registry rows: by order number, part words and dates."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(
+    """Orders as notices, lines as registry rows: by order number, words and dates."""
+    o = table(spark, sf, "orders").select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 3 != 0, F.array(F.col("o_orderkey").cast("string"))).otherwise(F.array().cast("array<string>")).alias("numbers"),
         F.array("o_orderpriority", F.col("o_custkey").cast("string")).alias("words"),
         F.array(day("o_orderdate"), F.date_add(day("o_orderdate"), 1)).alias("dates"),
     )
-    rows = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").select(
+    rows = table(spark, sf, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("long")).alias("row_id"),
         F.array(F.col("l_orderkey").cast("string")).alias("numbers"),
         F.array(F.col("l_suppkey").cast("string")).alias("words"),
@@ -359,6 +372,7 @@ QUERIES = {
     "heading_carry_down": (heading_carry_down, HEADING_CARRY_DOWN),
     "best_extractor": (best_extractor, BEST_EXTRACTOR),
     "id_match": (id_match, ID_MATCH),
+    "id_match_all": (id_match_all, ID_MATCH_ALL),
     "token_overlap": (token_overlap, TOKEN_OVERLAP),
     "registry_match": (registry_match, None),
     "best_first_links": (best_first_links, None),

@@ -227,6 +227,29 @@ def heap_walk(seeds, links, visits, depth):
     return out
 
 
+def test_registry_matches_equal_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    some = lambda letters, least, most: r.sample(letters, r.randint(least, most))
+    days = ["2026-01-01", "2026-01-02", "2026-01-03"]
+    words = [f"w{k}" for k in range(12)]
+    make = lambda n: [(i, some(["1/26", "2/26", "3/26"], 0, 2), some(words, 0, 12), some(days, 0, 3)) for i in range(n)]
+    left, right = make(40), make(60)
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, numbers array<string>, words array<string>, dates array<string>")
+    want = set()
+    for i, n, w, d in left:
+        scored = []
+        for k, m, v, e in right:
+            shared = bool(set(n) & set(m))
+            score = -1 if n and m and not shared else 220 * shared + min(80, 10 * len(set(w) & set(v))) + 35 * len(set(d) & set(e))
+            if score >= 90:
+                scored.append((-score, k))
+        want |= {(i, k, -s, rank) for rank, (s, k) in enumerate(sorted(scored)[: max(1, min(8, len(n)))], 1)}
+    got = {tuple(x) for x in linkage.registry_matches(frame(left, "a"), frame(right, "b"), "a", "b").collect()}
+    assert got == want and any(s < 220 for *_, s, _ in want)
+
+
 def test_best_first_equals_a_heap(spark, tmp_path):
     import random
 

@@ -52,3 +52,13 @@ def test_query(spark, sql, name):
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@needs_data
+def test_registry_match_takes_all_rows(spark, sql):
+    want = sql.sql("""WITH l AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc(l_extendedprice)::BIGINT) AS row_id, l_orderkey, l_suppkey, l_shipdate::DATE AS d FROM lineitem),
+    s AS (SELECT o_orderkey, row_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey <> l_orderkey THEN -1 ELSE 220 * (o_orderkey % 3 <> 0)::INT
+      + 10 * (o_custkey = l_suppkey)::INT + 35 * (d = o_orderdate::DATE OR d = o_orderdate::DATE + 1)::INT END AS score FROM orders, l)
+    SELECT o_orderkey, row_id, score, 1 AS rank FROM s WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, row_id) = 1""").df()
+    assert rows_of(plans.queries()["registry_match"](spark, SF).toPandas()) == rows_of(want)
+    assert (want["o_orderkey"] % 20 != 0).any()
