@@ -145,28 +145,49 @@ def seeds(sources: Sequence[DataFrame], key: str, url: str = "url") -> DataFrame
     return out.groupBy(key, url).agg(F.min("seed_rank").alias("seed_rank"))
 
 
-def best_first(seed_rows: DataFrame, links: DataFrame, checkpoint, visits: int = policy.VISITS, depth: int = policy.DEPTH) -> DataFrame:
+def best_first(
+    seed_rows: DataFrame, links: DataFrame, checkpoint, visits: int = policy.VISITS, depth: int = policy.DEPTH, captured: DataFrame | None = None
+) -> DataFrame:
     """(notice, url, depth, visit): which pages a best-first walk over captured links visits for each notice.
 
     Seeds come first in their order, then the highest score anywhere in what was found; ties go to what
     was found first. Each round visits one page of every notice and adds its links, so the walk takes as
     many rounds as the budget has visits, whatever the number of notices. ``links`` has page, url, score
     and position; ``checkpoint`` writes a table and reads it back, which cuts the lineage of each round.
+
+    ``captured`` has page, blocked and n_rows, one row for each page: links of a blocked page aren't followed,
+    and a walk ends with the visit of a seed whose ``override`` (a column of the seeds, if there is one) is
+    true and whose page gave more than one row.
     """
+    override = F.coalesce(F.col("override"), F.lit(False)) if "override" in seed_rows.columns else F.lit(False)
+    if captured is not None:
+        links = links.join(captured.filter("blocked").select("page").hint("merge"), "page", "left_anti")
     frontier = seed_rows.select(
-        "notice", "url", F.lit(0).alias("depth"), (F.lit(1 << 30) - F.col("seed_rank")).cast("long").alias("score"), F.col("seed_rank").cast("long").alias("found")
+        "notice",
+        "url",
+        F.lit(0).alias("depth"),
+        (F.lit(1 << 30) - F.col("seed_rank")).cast("long").alias("score"),
+        F.col("seed_rank").cast("long").alias("found"),
+        override.alias("ends"),
     )
+    if captured is not None:
+        several = captured.filter("n_rows > 1").select(F.col("page").alias("url"), F.lit(True).alias("several"))
+        frontier = frontier.join(several.hint("merge"), "url", "left").withColumn("ends", F.col("ends") & F.col("several").isNotNull()).drop("several")
+    else:
+        frontier = frontier.withColumn("ends", F.lit(False))
     frontier = checkpoint(frontier.withColumn("visit", F.lit(None).cast("int")), "frontier")
     for n in range(1, visits + 1):
-        waiting = F.col("visit").isNull()
-        w = Window.partitionBy("notice").orderBy(F.desc(waiting), F.desc("score"), "found", "url")
-        frontier = frontier.withColumn("visit", F.when(waiting & (F.row_number().over(w) == 1), n).otherwise(F.col("visit")))
+        over = F.max(F.col("ends") & F.col("visit").isNotNull()).over(Window.partitionBy("notice"))
+        waiting = F.col("visit").isNull() & ~over
+        w = Window.partitionBy("notice").orderBy(F.desc("waiting"), F.desc("score"), "found", "url")
+        frontier = frontier.withColumn("waiting", waiting)
+        frontier = frontier.withColumn("visit", F.when(F.col("waiting") & (F.row_number().over(w) == 1), n).otherwise(F.col("visit"))).drop("waiting")
         now = frontier.filter((F.col("visit") == n) & (F.col("depth") < depth)).select("notice", F.col("url").alias("page"), F.col("depth").alias("d"))
         found = (
             now.join(links.hint("merge"), "page")
             .groupBy("notice", "url")
             .agg(F.max("score").cast("long").alias("score"), F.min("position").alias("p"), F.first("d").alias("d"))
-            .select("notice", "url", (F.col("d") + 1).alias("depth"), "score", (F.lit(n * 1_000_000).cast("long") + F.col("p")).alias("found"), F.lit(None).cast("int").alias("visit"))
+            .select("notice", "url", (F.col("d") + 1).alias("depth"), "score", (F.lit(n * 1_000_000).cast("long") + F.col("p")).alias("found"), F.lit(False).alias("ends"), F.lit(None).cast("int").alias("visit"))
         )
         known = frontier.select("notice", "url")
         frontier = checkpoint(frontier.unionByName(found.join(known.hint("merge"), ["notice", "url"], "left_anti")), "frontier")

@@ -258,7 +258,7 @@ def best_first_links(spark: SparkSession, sf: str) -> DataFrame:
     back = lines.select(p.alias("page"), o.alias("url"), score.alias("score"), place.alias("position"))
     first = table(spark, sf, "orders").filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("notice"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
     start = linkage.seeds([first], "notice")
-    return linkage.best_first(start, out.unionByName(back), checkpointed(spark), visits=5)
+    return linkage.best_first(start, out.unionByName(back), checkpointed(spark))
 
 
 def state_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

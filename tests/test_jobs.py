@@ -271,6 +271,26 @@ def test_best_first_equals_a_heap(spark, tmp_path):
         assert sorted(got[n], key=lambda x: x[2]) == heap_walk([(0, f"p{n}"), (1, f"p{n + 9}")], links, 6, 2)
 
 
+def test_best_first_blocked_pages_and_override(spark, tmp_path):
+    links = spark.createDataFrame([("a", "b", 9, 0), ("a", "c", 5, 1), ("s", "x", 7, 0), ("x", "y", 7, 0)], "page string, url string, score int, position int")
+    start = spark.createDataFrame(
+        [(1, "a", 0, True), (1, "s", 1, False), (2, "a", 1, False), (2, "s", 0, True), (3, "a", 0, None)], "notice int, url string, seed_rank int, override boolean"
+    )
+    captured = spark.createDataFrame([("a", False, 2), ("s", False, 1), ("x", True, 5)], "page string, blocked boolean, n_rows int")
+    step = iter(range(100))
+
+    def write(d, name):
+        path = f"{tmp_path}/{name}{next(step)}"
+        d.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = {}
+    for row in linkage.best_first(start, links, write, captured=captured).orderBy("visit").collect():
+        got.setdefault(row.notice, []).append(row.url)
+    # an override seed with two rows ends the walk; one with a single row, or another seed, does not; x is blocked
+    assert got == {1: ["a"], 2: ["s", "a", "b", "x", "c"], 3: ["a", "b", "c"]}
+
+
 LISTING = """<div class="na"><div class="ca"><a href="/noticias/x-1?y=2" title="UFX - Universidade">UFX</a><div class="cc">PR</div>
 <div class="cd">2 vagas até R$ 10.000,00<br>Professor Adjunto<br>Superior</div><div class="ce">até <span>15/09/2026</span></div></div></div>
 <div class="na"><div class="ca"><a href="/noticias/x-1/">Later</a></div></div><div class="ca"><a href="/other">no</a></div>"""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from noticeflow import plans
+from noticeflow import plans, policy
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,3 +62,9 @@ def test_registry_match_takes_all_rows(spark, sql):
     SELECT o_orderkey, row_id, score, 1 AS rank FROM s WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, row_id) = 1""").df()
     assert rows_of(plans.queries()["registry_match"](spark, SF).toPandas()) == rows_of(want)
     assert (want["o_orderkey"] % 20 != 0).any()
+
+
+@needs_data
+def test_best_first_links_spends_the_whole_budget(spark):
+    walks = plans.queries()["best_first_links"](spark, SF).groupBy("notice").count().toPandas()
+    assert walks["count"].max() == policy.VISITS
