@@ -231,6 +231,18 @@ b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_N}, '[a-z0-9]{{9,}}')
 SELECT doc_id, item_id, count(*) AS n_common FROM d JOIN b USING (w) GROUP BY 1, 2 HAVING count(*) >= 3"""
 
 
+def token_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with all words of four letters and more, without common ones."""
+    b = table(spark, sf, "benchmark").select("item_id", linkage.tokens(F.col("text")).alias("words"))
+    d = table(spark, sf, "documents").select("doc_id", linkage.tokens(F.col("text")).alias("words"))
+    return linkage.token_matches(d, b, "doc_id", "item_id", "words").filter("n_common >= 3")
+
+
+_TOKENS = f"unnest(list_distinct(list_filter(regexp_extract_all({_N}, '[a-z0-9]{{4,}}'), lambda w: w NOT IN {linkage.COMMON_WORDS}))) AS w"
+TOKEN_OVERLAP_ALL = f"""WITH d AS (SELECT DISTINCT doc_id, {_TOKENS} FROM documents), b AS (SELECT DISTINCT item_id, {_TOKENS} FROM benchmark)
+SELECT doc_id, item_id, count(*) AS n_common FROM d JOIN b USING (w) GROUP BY 1, 2 HAVING count(*) >= 3"""
+
+
 def registry_match(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as notices, lines as registry rows: by order number, words and dates."""
     o = table(spark, sf, "orders").select(
@@ -374,6 +386,7 @@ QUERIES = {
     "id_match": (id_match, ID_MATCH),
     "id_match_all": (id_match_all, ID_MATCH_ALL),
     "token_overlap": (token_overlap, TOKEN_OVERLAP),
+    "token_overlap_all": (token_overlap_all, TOKEN_OVERLAP_ALL),
     "registry_match": (registry_match, None),
     "best_first_links": (best_first_links, None),
     "state_roundtrip": (state_roundtrip, STATE_ROUNDTRIP),
