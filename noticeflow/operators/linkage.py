@@ -94,11 +94,12 @@ def link_score(context: Column, url: Column, own_number: Column, n_overlap: Colu
     return score - F.when(late, 30).otherwise(0) - F.when(both.rlike(RESULT_WORDS), 120).otherwise(0)
 
 
-def best_links(links: DataFrame, key: Sequence[str], url: str, score: str, order: str, least: int, most: int) -> DataFrame:
-    """The best links of each page: each address once with its best score, by score and first appearance."""
+def best_links(links: DataFrame, key: Sequence[str], url: str, score: str, order: str, least: int, most: int | None = None) -> DataFrame:
+    """The links of each page that score ``least``, or the best of them: each address once with its best score, by score and first appearance."""
     once = links.filter(F.col(score) >= least).groupBy(*key, url).agg(F.max(score).alias(score), F.min(order).alias(order))
     w = Window.partitionBy(*key).orderBy(F.desc(score), order)
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    ranked = once.withColumn("rank", F.row_number().over(w))
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)
 
 
 def registry_matches(notices: DataFrame, rows: DataFrame, notice_key: str, row_key: str) -> DataFrame:

@@ -29,6 +29,19 @@ def targeted(needle: str, context: Column) -> Column:
     return F.array_contains(F.split(text, r"[^\p{L}\p{N}_]+"), own)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], checkpoint) -> DataFrame:
+    """The rows with their rank in an order of all of them, which must be total.
+
+    Rows are dealt out by ranges of the order and numbered within their range; to this the rows of the ranges
+    before are added, one number for each range. ``checkpoint`` writes a table and reads it back.
+    """
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("nf_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("nf_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("nf_range").count().select("nf_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("nf_before"))
+    within = F.row_number().over(Window.partitionBy("nf_range").orderBy(*order))
+    return parts.withColumn("nf_n", within).join(F.broadcast(sizes), "nf_range").withColumn("rank", F.col("nf_before") + F.col("nf_n")).drop("nf_range", "nf_before", "nf_n")
+
+
 def report_order(rows: DataFrame, key: str) -> list[Column]:
     """NEW first, then eligibility, score, priority, deadline, key."""
     rank = F.array_position(F.array(*[F.lit(e) for e in ELIGIBILITY_ORDER]), F.col("formal_eligibility"))

@@ -10,6 +10,7 @@ from noticeflow.functions.text import normalised
 from noticeflow.operators import classify, report
 from noticeflow.plans.state_queries import AS_OF, NOTICES, _notices
 from noticeflow.plans.tables import day, joined, table
+from noticeflow.plans.text_queries import checkpointed
 
 #: Terms for the driver's invented prose, in place of the policy's own.
 TERMS = (("that", 35), ("tion", 30), ("the of", 10), ("ing", 28), ("ent", 25), ("que", 24), ("der", 22), ("ción", 20), ("able", 15), ("sch", 12))
@@ -175,6 +176,17 @@ ORDER BY (status <> 'NEW')::INT, list_position(['YES', 'UNCERTAIN', 'UNKNOWN', '
   coalesce(registration_end, DATE '9999-12-31'), source_url LIMIT 100"""
 
 
+def report_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the report with their rank in report order."""
+    n = _notices(spark, sf)
+    return report.numbered(n, report.report_order(n, "source_url"), checkpointed(spark)).select("source_url", "status", "formal_eligibility", "thematic_score", "rank")
+
+
+REPORT_ALL = f"""WITH {NOTICES} SELECT source_url, status, formal_eligibility, thematic_score, row_number() OVER (
+ORDER BY (status <> 'NEW')::INT, list_position(['YES', 'UNCERTAIN', 'UNKNOWN', 'NO'], formal_eligibility), thematic_score DESC, geographic_priority,
+  coalesce(registration_end, DATE '9999-12-31'), source_url) AS rank FROM notices"""
+
+
 def common_details(spark: SparkSession, sf: str) -> DataFrame:
     return report.common_attributes(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus", "l_suppkey"])
 
@@ -228,6 +240,7 @@ QUERIES = {
     "facets": (facets, FACETS),
     "institution_groups": (institution_groups, INSTITUTION_GROUPS),
     "report_top": (report_top, REPORT_TOP),
+    "report_all": (report_all, REPORT_ALL),
     "common_details": (common_details, COMMON_DETAILS),
     "expand_rows": (expand_rows, EXPAND_ROWS),
     "targeted_filter": (targeted_filter, TARGETED_FILTER),

@@ -9,6 +9,7 @@ from noticeflow.functions import text
 from noticeflow.operators import cargos, classify, linkage, report, requirements, results, segments, state
 from noticeflow.plans.state_queries import AS_OF, NOTICES, _notices
 from noticeflow.plans.tables import day, joined, table
+from noticeflow.plans.text_queries import checkpointed
 from noticeflow.sources import notices as notices_source
 
 
@@ -148,6 +149,15 @@ def state_order(spark: SparkSession, sf: str) -> DataFrame:
 
 STATE_ORDER = "SELECT o_orderkey, o_orderdate::DATE AS first_seen FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey LIMIT 100"
 
+
+def state_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All notices, numbered from the one seen last."""
+    seen = table(spark, sf, "orders").select("o_orderkey", day("o_orderdate").alias("first_seen"))
+    return report.numbered(seen, [F.desc("first_seen"), F.asc("o_orderkey")], checkpointed(spark))
+
+
+STATE_ORDER_ALL = "SELECT o_orderkey, o_orderdate::DATE AS first_seen, row_number() OVER (ORDER BY o_orderdate::DATE DESC, o_orderkey) AS rank FROM orders"
+
 QUERIES = {
     "cargo_items": (cargo_items, CARGO_ITEMS),
     "cargo_from_prose": (cargo_from_prose, CARGO_FROM_PROSE),
@@ -157,6 +167,7 @@ QUERIES = {
     "page_carried_blocks": (page_carried_blocks, PAGE_CARRIED_BLOCKS),
     "display_texts": (display_texts, DISPLAY_TEXTS),
     "state_order": (state_order, STATE_ORDER),
+    "state_order_all": (state_order_all, STATE_ORDER_ALL),
 }
 
 

@@ -72,12 +72,12 @@ SELECT page_id, p::INT AS position, 'https://site.example.org' || h AS url, trim
 
 
 def link_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    """The three best links of each page, scored by what their labels say."""
+    """The links of each page that are worth following, scored by what their labels say."""
     weights = ((r"^th", 45), (r"tion", 24), (r"en", 20), (r"\.$", 25))
     found = page_links(spark, sf).filter(~urls.excluded(F.col("url")))
     score = linkage.link_score(text.normalised(F.col("label")), F.lit(""), F.lit(False), F.lit(0), 1900, weights)
     scored = found.withColumn("score", score)
-    return linkage.best_links(scored, ["page_id"], "url", "score", "position", linkage.LEAST_LINK, 3).select("page_id", "url", "score", "rank")
+    return linkage.best_links(scored, ["page_id"], "url", "score", "position", linkage.LEAST_LINK).select("page_id", "url", "score", "rank")
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:

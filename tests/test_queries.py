@@ -68,3 +68,9 @@ def test_registry_match_takes_all_rows(spark, sql):
 def test_best_first_links_spends_the_whole_budget(spark):
     walks = plans.queries()["best_first_links"](spark, SF).groupBy("notice").count().toPandas()
     assert walks["count"].max() == policy.VISITS
+
+
+@needs_data
+def test_link_top_k_has_all_links(spark):
+    ranks = plans.queries()["link_top_k"](spark, SF).groupBy("page_id").agg({"rank": "max", "url": "count"}).toPandas()
+    assert ranks["max(rank)"].max() > 3 and (ranks["max(rank)"] == ranks["count(url)"]).all()
