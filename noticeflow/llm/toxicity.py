@@ -61,8 +61,8 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str | None], toxic: np.ndarray) -> Model:
-    """Fit on texts that are in memory."""
+def train(texts: list[str | None], toxic: np.ndarray, odds: float = 0.0) -> Model:
+    """Fit on texts that are in memory; ``odds`` are those of label 1 where the texts come from, if not their own."""
     width = 1 << BITS
     y = toxic.astype(np.float64)
     n_pos = float(y.sum())
@@ -104,6 +104,8 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Model:
         c1, c2 = 1 - 0.9**k, 1 - 0.999**k
         v -= RATE * (m / c1) / (np.sqrt(s / c2) + 1e-9)
         b -= RATE * (mb / c1) / (np.sqrt(sb / c2) + 1e-9)
+    if odds:
+        b += float(np.log(odds) - np.log(n_pos / n_neg))
     return Model((v * r).astype(np.float32), b)
 
 
@@ -113,7 +115,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of each class that are not held out."""
+    """Fit on at most ``sample`` labelled rows of each class that are not held out, with the class shares of all of them."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("nf_id"))
@@ -122,13 +124,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hashed = known.withColumn("nf_k", F.xxhash64("nf_id"))
     first, other = (hashed.filter(F.col("nf_toxic") == t).orderBy("nf_k", "nf_id").limit(sample) for t in (0, 1))
     chosen = written(first.unionByName(other), "toxic-sample")
+    n_all, n_toxic = known.agg(F.count(F.lit(1)), F.sum("nf_toxic")).first()
+    odds = n_toxic / (n_all - n_toxic) if n_toxic and n_all > n_toxic else 0.0
     texts = docs.select(F.col(id_col).alias("nf_id"), F.col(text_col).alias("nf_text")).join(
         F.broadcast(chosen.select("nf_id", "nf_toxic", "nf_k")), "nf_id"
     )
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["nf_k", "nf_toxic", "nf_text"], kind="stable").drop_duplicates(["nf_id"])
-        model = train(pdf["nf_text"].tolist(), pdf["nf_toxic"].to_numpy())
+        model = train(pdf["nf_text"].tolist(), pdf["nf_toxic"].to_numpy(), odds)
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     # one group by intent: the sample is bounded by its parameter

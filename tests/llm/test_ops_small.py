@@ -512,3 +512,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, model).count() == len(TEXTS)
     flat = toxicity.fit(empty, known.limit(0))
     assert {round(r.score, 6) for r in toxicity.scored(docs, flat).collect()} == {0.5}
+
+
+def test_toxicity_bias_has_the_shares_of_all_labels(spark):
+    rows, labels = labelled(600)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learnt = known.filter(~toxicity.held_out())
+    odds = learnt.filter("toxic = 1").count() / learnt.filter("toxic = 0").count()
+    even = toxicity.fit(df, known, sample=20)
+    hashed = [r.doc_id for r in learnt.withColumn("k", F.xxhash64("doc_id")).orderBy("k").collect()]
+    by_id, toxic = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in labels}
+    chosen = [i for t in (0, 1) for i in [d for d in hashed if toxic[d] == t][:20]]
+    chosen.sort(key=hashed.index)
+    plain = toxicity.train([by_id[i] for i in chosen], np.array([toxic[i] for i in chosen]))
+    assert odds < 0.5 and even.bias == pytest.approx(plain.bias + np.log(odds), abs=1e-6)  # 20 of each: even odds in the sample
