@@ -28,6 +28,8 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("encoded.nbest", lambda x: F.round(x["score"], 3)).alias("scores"),
         F.transform("encoded.nbest", lambda x: x["n_pieces"]).alias("piece_counts"),
         F.col("encoded.exact").alias("round_trip"),
+        F.col("encoded.ids").alias("ids"),
+        F.transform("encoded.nbest", lambda x: x["changes"]).alias("segmentations"),
     )
 
 

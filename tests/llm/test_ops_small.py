@@ -90,8 +90,8 @@ def test_ann_few_and_no_rows(spark):
 # 2: pieces
 
 
-def apply(ids: bytes, changes) -> list[int]:
-    flat, out, at = np.frombuffer(ids, "<u4").tolist(), [], 0
+def apply(ids: np.ndarray, changes) -> list[int]:
+    flat, out, at = ids.tolist(), [], 0
     for a, b, c in sorted(changes):
         out += flat[at:a] + list(c)
         at = b
@@ -111,13 +111,14 @@ def test_pieces_match_the_library_as_a_unigram_lattice():
     texts = ["hello the", "a", "the tion of things", "né ñü est là", " two  spaces", "haenbleat, of. 12"]
     texts += [prose(s, 4).translate({ord(c): None for c in "0123456789"}) for s in range(40)]
     for t in texts:
-        ids, best, found = own.encode(t, 5)
+        whole = own.encode([t], 5)[0]
+        ids, best, found = whole.ids, whole.score, whole.nbest
         mine = [apply(ids, c) for _, c in found]
         theirs = library.nbest_encode(t, nbest_size=5, out_type=int)
         assert np.allclose([score(x) for x in mine], [score(x) for x in theirs]), t
         assert np.allclose([s for s, _ in found], [score(x) for x in mine]) and len({tuple(m) for m in mine}) == len(mine)
         assert all(own.decode(m) == t == library.decode(m) for m in mine)
-        assert mine[0] == np.frombuffer(ids, "<u4").tolist() and best == found[0][0]
+        assert mine[0] == ids.tolist() and best == found[0][0]
 
 
 def test_pieces_n_best_by_enumeration():
@@ -133,6 +134,23 @@ def test_pieces_n_best_by_enumeration():
         assert np.allclose([s for s, _ in own.n_best(stretch, 7)], ways[:7])
 
 
+def test_pieces_solved_together_equal_those_solved_alone(monkeypatch):
+    texts = [prose(s, 60) for s in range(12)] + ["née ñ! 12,3\nx\n\n y", "", " lead", "a  b", "中文 字, ok", "z" * 300, "snow☃man \u2581 x"]
+    found = []
+    for least in (0, 1 << 30):
+        monkeypatch.setattr(pieces, "LEAST_TOGETHER", least)
+        own = pieces.Lattice(pieces.vocabulary_path())
+        found.append([(s.ids.tolist(), round(s.score, 6), [(round(x, 6), c) for x, c in s.nbest]) for s in own.encode(texts, 4)])
+        assert [own.decode(x[0]) for x in found[-1]] == texts[:-1] + ["snow☃man   x"]
+    assert found[0] == found[1]
+
+
+def test_pieces_squeezes_spaces_where_the_vocabulary_says_so():
+    own = pieces.Lattice(pieces.vocabulary_path())
+    own.squeeze = True
+    assert own.stretches("  two   spaces ") == own.stretches("two spaces") == ["two", "spaces"] and own.stretches("   ") == []
+
+
 def test_pieces_rows(docs, empty):
     rows = pieces.encoded(docs.withColumn("encoded", F.lit(1)), n=3).collect()
     assert len(rows) == len(TEXTS) and all(r.encoded.exact for r in rows)
@@ -141,6 +159,13 @@ def test_pieces_rows(docs, empty):
         assert 1 <= len(r.encoded.nbest) <= 3 and r.encoded.nbest[0].score == r.encoded.score
         if not r.text:
             assert list(r.encoded.ids) == [] and len(r.encoded.nbest) == 1
+    wide = pieces.encoded(docs, n=3).withColumn("ways", F.expr("transform(encoded.nbest, x -> x.changes)"))
+    ways = F.transform("ways", lambda c: pieces.changed(F.col("encoded.ids"), c))
+    for r in wide.withColumn("ways", ways).collect():
+        assert [list(w) for w in r.ways] == [apply(np.array(r.encoded.ids), [(c.start, c.stop, c.ids) for c in b.changes]) for b in r.encoded.nbest]
+        assert [len(w) for w in r.ways] == [b.n_pieces for b in r.encoded.nbest] and list(r.ways[0]) == list(r.encoded.ids)
+    twice = pieces.encoded(docs.filter("doc_id = 11")).select("encoded.ids", "encoded.nbest").collect()  # repeated rows
+    assert len(twice) == 2 and twice[0] == twice[1]
     back = pieces.decoded(pieces.encoded(docs), F.col("encoded.ids")).collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert pieces.encoded(empty).count() == 0
