@@ -15,11 +15,18 @@ _WRITTEN = r"(?<!\d)\d{1,2}\s+de\s+(?:" + "|".join(MONTHS) + r")(?:\s+de\s+\d{4}
 _NUMERIC = r"(?<!\d)\d{1,2}[/-]\d{1,2}[/-]\d{4}(?!\d)"
 
 
+#: Blocks whose letters are decomposed: Latin, Greek, Cyrillic, ligatures, raised and full-width forms.
+_BLOCKS = ((0xA1, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+
+
 @cache
-def _letters() -> tuple[str, str, dict[str, str]]:
-    """Precomposed letters and what is left of them without marks: one letter each, or several."""
+def _letters() -> tuple[str, str, dict[str, str], str]:
+    """Precomposed letters and what is left of them without marks: one letter each, or several.
+
+    Last, a pattern that finds those of the second kind, and some others beside them.
+    """
     one, plain, several = [], [], {}
-    for code in [*range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0x2070, 0x209D)]:
+    for code in (c for a, b in _BLOCKS for c in range(a, b)):
         c = chr(code)
         left = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if left == c:
@@ -29,7 +36,14 @@ def _letters() -> tuple[str, str, dict[str, str]]:
             plain.append(left)
         else:
             several[c] = left
-    return "".join(one), "".join(plain), several
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, several)):
+        if spans and code - spans[-1][1] <= 8:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    rare = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans)
+    return "".join(one), "".join(plain), several, f"[{rare}]"
 
 
 def spaced(c: Column) -> Column:
@@ -38,15 +52,17 @@ def spaced(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """Text for matching: compatibility forms decomposed, marks dropped, spaces collapsed, lower case."""
-    one, plain, several = _letters()
+    """Text for matching: compatibility forms decomposed, marks dropped, spaces collapsed, lower case.
+
+    Texts of ASCII alone, told by their length in bytes, need no more than the last two.
+    """
+    one, plain, several, rare = _letters()
     text = F.coalesce(c, F.lit(""))
     pairs = F.map_from_arrays(F.array(*map(F.lit, several)), F.array(*map(F.lit, several.values())))
     replaced = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
-    rare = "[" + "".join(several) + "]"
-    text = F.when(text.rlike(rare), replaced).otherwise(text)
-    bare = F.regexp_replace(F.translate(text, one, plain), r"\p{Mn}+", "")
-    return F.lower(spaced(bare))
+    whole = F.when(text.rlike(rare), replaced).otherwise(text)
+    bare = F.regexp_replace(F.translate(whole, one, plain), r"\p{Mn}+", "")
+    return F.lower(spaced(F.when(F.octet_length(text) == F.length(text), text).otherwise(bare)))
 
 
 def content_hash(c: Column) -> Column:

@@ -15,12 +15,17 @@ ELIGIBILITY = ("YES", "UNCERTAIN", "UNKNOWN", "NO")
 
 
 def topic_matches(c: Column, terms: Sequence[tuple[str, int]], word_boundary: bool = False) -> Column:
-    """Terms that a normalised text contains, as (weight, position, term), by weight; ties in list order."""
-    table = F.array(*[F.struct(F.lit(-w).alias("w"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, (t, w) in enumerate(terms)])
+    """Terms that a normalised text contains, as (weight, position, term), by weight; ties in list order.
+
+    The text is tested once for each term; let it be a column that is computed already, not an expression.
+    """
     if word_boundary:
-        padded = F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9]+", " "), F.lit(" "))
-        return F.array_sort(F.filter(table, lambda x: padded.contains(F.concat(F.lit(" "), x["t"], F.lit(" ")))))
-    return F.array_sort(F.filter(table, lambda x: c.contains(x["t"])))
+        c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9]+", " "), F.lit(" "))
+    found = []
+    for weight, i, term in sorted((-w, i, t) for i, (t, w) in enumerate(terms)):
+        entry = F.struct(F.lit(weight).alias("w"), F.lit(i).alias("i"), F.lit(term).alias("t"))
+        found.append(F.when(c.contains(f" {term} " if word_boundary else term), entry))
+    return F.array_compact(F.array(*found))
 
 
 def topic_score(matches: Column) -> Column:
@@ -125,15 +130,14 @@ def analyzed(rows: DataFrame, terms: Sequence[tuple[str, int]] = policy.TOPIC_WE
         return F.coalesce(F.nullif(col(f"{name}_requirement_raw"), F.lit("")), col(f"{name}_requirement"))
 
     text = normalised(F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in _TOPIC_COLUMNS]))
-    found = topic_matches(text, terms)
-    judged = with_eligibility(rows, requirement("graduation"), requirement("masters"), requirement("doctorate"), col("other_requirements"))
+    judged = with_eligibility(rows.withColumn("nf_text", text), requirement("graduation"), requirement("masters"), requirement("doctorate"), col("other_requirements"))
     return (
-        judged.withColumn("nf_found", found)
+        judged.withColumn("nf_found", topic_matches(F.col("nf_text"), terms))
         .withColumn("thematic_score", topic_score(F.col("nf_found")))
         .withColumn("thematic_reason", topic_reason(F.col("nf_found"), F.col("thematic_score")))
         .withColumn("geographic_priority", geographic_priority(col("state")))
         .withColumn("visual_category", visual_category(F.col("formal_eligibility"), F.col("thematic_score")))
-        .drop("nf_found")
+        .drop("nf_text", "nf_found")
     )
 
 
