@@ -7,18 +7,21 @@ rehashing widens all windows by a common factor, and a vector collides once for
 it. The windows widen until enough vectors have collided in at least ``THRESHOLD`` of the arrays; all
 of these, with no cap, are verified by their exact inner product in double precision.
 
-Membership in a window is read from a vector's position in the sorted array, so one comparison of
-positions counts the collisions of all vectors of a block at once.
+Windows expand in place. Collisions with the first windows are read from each vector's places in the sorted
+arrays, for all vectors of a block at once; then two ends for each array move outwards, and only what they
+pass is counted anew. Wide windows tell vectors apart best here, so the first ones hold much of an array.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows without an id; only vectors of equal dimension are compared; equal vectors share one place in
-the arrays, and as many of them as there are results, smallest ids first, come back; ties go to the
-smaller id; a row never finds its own id; with fewer candidates than results all of them come back; an
-empty table gives an empty table; extra columns are not read.
+the arrays; an id comes back once for each query, with its best score, however many rows have it; a
+repeated query id asks once, with the least of its vectors; ties go to the smaller id; a row never finds
+its own id; with fewer candidates than results all of them come back; an empty table gives an empty
+table; extra columns are not read.
 
 Scale: vectors and queries are dealt to a grid of cells by hashes of their ids; a cell holds at most
-about ``BLOCK`` vectors and ``QUERIES`` queries whatever the table's size, builds its own arrays and
-yields its best results for each query. Nothing is broadcast.
+about ``BLOCK`` vectors and ``QUERIES`` queries whatever the table's size or the cluster, builds its own
+arrays (a few per cent of the work of its queries) and yields its best results for each query. Nothing
+is broadcast.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, SHARE, WIDEN = 160, 0.6, 0.12, 1.1
-BLOCK, LEAST_BLOCK, QUERIES = 32_768, 4096, 4096
-assert PROJECTIONS < 256  # collisions are counted in bytes
+PROJECTIONS, THRESHOLD, SHARE = 128, 0.82, 0.1
+#: The part of an array that the first windows hold, and the factor by which windows widen.
+FIRST, WIDEN = 0.72, 1.04
+BLOCK, QUERIES = 16_384, 1024
+assert PROJECTIONS < 256  # collisions with the first windows are counted in bytes
 SEED = 7
 
 
@@ -40,72 +45,85 @@ class Block:
     """The sorted arrays of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        order = np.lexsort(ids[None, :])
-        rows = np.ascontiguousarray(vectors[order])
+        order = np.argsort(ids, kind="stable")
+        rows = np.ascontiguousarray(vectors[order]) + 0.0  # no negative zeros, so that equal vectors have equal bytes
         keys = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.vectors = rows[first]
         by_class = np.argsort(inverse, kind="stable")  # ids ascend within a class
         bounds = np.concatenate(([0], np.cumsum(np.bincount(inverse))))
-        self.members = [ids[order[by_class[a : min(b, a + k + 1)]]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.members = [np.unique(ids[order[by_class[a:b]]])[: k + 1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         n, dim = self.vectors.shape
         squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
         longest = float(np.sqrt(squares.max()))
         last = np.sqrt(np.maximum(0.0, 1.0 - squares / longest**2))
         self.directions = np.random.default_rng(SEED).standard_normal((dim + 1, PROJECTIONS))
-        values = (self.vectors / longest) @ self.directions[:dim] + last[:, None] * self.directions[dim]
-        at = np.argsort(values, axis=0, kind="stable")
-        # the sorted arrays behind each other, each raised above the one before, so that one search serves all
+        values = ((self.vectors / longest) @ self.directions[:dim] + last[:, None] * self.directions[dim]).T
+        at = np.argsort(values, axis=1, kind="stable")
+        # the arrays behind each other, each raised above the one before, so that one search serves all
         self.limit = float(np.abs(values).max()) + 1.0
         self.raised = (2 * self.limit + 2.0) * np.arange(PROJECTIONS)
-        self.sorted = (np.take_along_axis(values, at, 0).T + self.raised[:, None]).ravel()
+        self.sorted = (np.take_along_axis(values, at, 1) + self.raised[:, None]).ravel()
+        self.at = at.ravel()
         self.kind = np.uint16 if n < 65_536 else np.uint32
-        self.position = np.empty((PROJECTIONS, n), self.kind)
-        for j in range(PROJECTIONS):
-            self.position[j, at[:, j]] = np.arange(n)
-        self.k = k
+        self.place = np.empty((PROJECTIONS, n), self.kind)
+        np.put_along_axis(self.place, at, np.arange(n, dtype=self.kind)[None, :], 1)
+        self.n, self.k = n, k
         self.enough = min(n, k + 1 + int(SHARE * n))
-        self.step = 36  # where the search for a radius begins: the last query's radius
+        few = values[:: max(1, PROJECTIONS // 16), :: max(1, n // 64)]
+        self.radius = max(1e-9, float(np.quantile(np.abs(few[:, :, None] - few[:, None, :]), FIRST)))
 
-    def colliding(self, projected: np.ndarray, step: int) -> np.ndarray:
-        """Which vectors collide often enough with windows of the radius of this step."""
-        radius = 0.02 * WIDEN**step
-        n = self.position.shape[1]
+    def _ends(self, projected: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows begin and end, counted over all arrays."""
         edges = np.concatenate((np.maximum(projected - radius, -self.limit), np.minimum(projected + radius, self.limit)))
-        at = self.sorted.searchsorted(edges.reshape(2, -1) + self.raised) - n * np.arange(PROJECTIONS)
-        low, wide = at[0], at[1] - at[0]
-        # unsigned: positions before the window wrap round to large numbers
-        shifted = self.position - low.astype(self.kind)[:, None]
-        full = wide >= n
-        hits = shifted < np.where(full, 0, wide).astype(self.kind)[:, None]
-        counts = np.add.reduce(hits.view(np.uint8), axis=0, dtype=np.uint8) + np.uint8(full.sum())
-        return counts >= THRESHOLD * PROJECTIONS
+        low, high = self.sorted.searchsorted(edges.reshape(2, -1) + self.raised)
+        return low, high
+
+    def _first(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many windows hold each vector; places before a window wrap round to large numbers."""
+        starts = self.n * np.arange(PROJECTIONS)
+        wide = high - low
+        inside = self.place - (low - starts).astype(self.kind)[:, None] < wide.astype(self.kind)[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+
+    def _passed(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often each vector stands in some stretches of the arrays."""
+        parts = [self.at[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if a < b]
+        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+
+    def colliding(self, query: np.ndarray) -> np.ndarray:
+        """The vectors that collide often enough with a query, once there are enough of them."""
+        projected = (query / np.sqrt(query @ query)) @ self.directions[: len(query)]
+        radius = self.radius
+        low, high = self._ends(projected, radius)
+        collisions = self._first(low, high)
+        while (found := collisions >= THRESHOLD * PROJECTIONS).sum() < self.enough:
+            radius *= WIDEN
+            lower, higher = self._ends(projected, radius)
+            collisions += self._passed(np.concatenate((lower, high)), np.concatenate((low, higher)))
+            low, high = lower, higher
+        return np.flatnonzero(found)
 
     def search(self, own: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the nearest vectors found for a query, best first."""
-        dim = len(query)
-        projected = (query / np.sqrt(query @ query)) @ self.directions[:dim]
-        step = self.step
-        found = self.colliding(projected, step)
-        if found.sum() >= self.enough:
-            while step > 0 and (less := self.colliding(projected, step - 1)).sum() >= self.enough:
-                step, found = step - 1, less
-        else:
-            while found.sum() < self.enough:
-                step += 1
-                found = self.colliding(projected, step)
-        self.step = step
-        classes = np.flatnonzero(found)
+        classes = self.colliding(query)
         scores = (self.vectors[classes] * query).sum(axis=1)  # equal vectors get equal scores in any block
         best = np.argsort(-scores, kind="stable")
-        last = scores[best[min(len(best), self.k + 1) - 1]]  # one class may be the query itself
-        best = best[scores[best] >= last]
-        ids = np.concatenate([self.members[classes[c]] for c in best])
-        each = np.concatenate([np.full(len(self.members[classes[c]]), scores[c]) for c in best])
-        other = ids != own
-        ids, each = ids[other], each[other]
-        top = np.lexsort((ids, -each))[: self.k]
-        return ids[top], each[top]
+        ids: list[int] = []
+        each: list[float] = []
+        seen = {own}
+        at = 0
+        while at < len(best) and len(ids) < self.k:
+            score = scores[best[at]]
+            tied = []
+            while at < len(best) and scores[best[at]] == score:
+                tied += self.members[classes[best[at]]].tolist()
+                at += 1
+            for i in sorted(set(tied) - seen):
+                seen.add(i)
+                ids.append(i)
+                each.append(score)
+        return np.array(ids[: self.k], np.int64), np.array(each[: self.k])
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -124,10 +142,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each row of ``queries``: query_id, rank, vec_id, score."""
     base, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    n, n_asked = base.count(), asked.count()
-    parallel = base.sparkSession.sparkContext.defaultParallelism
-    n_blocks = max(1, math.ceil(n / BLOCK), min(2 * parallel, n // LEAST_BLOCK))
-    n_groups = max(1, math.ceil(n_asked / QUERIES))
+    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    n_blocks = max(1, math.ceil(base.count() / BLOCK))
+    n_groups = max(1, math.ceil(asked.count() / QUERIES))
 
     def each(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

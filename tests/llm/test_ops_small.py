@@ -552,3 +552,35 @@ def test_toxicity_bias_has_the_shares_of_all_labels(spark):
     chosen.sort(key=hashed.index)
     plain = toxicity.train([by_id[i] for i in chosen], np.array([toxic[i] for i in chosen]))
     assert odds < 0.5 and even.bias == pytest.approx(plain.bias + np.log(odds), abs=1e-6)  # 20 of each: even odds in the sample
+
+
+def test_ann_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((60, 4))
+    rows = [(i, x.tolist(), "a") for i, x in enumerate(v)] + [(0, v[0].tolist(), "b")] * 3 + [(7, v[7].tolist(), "c")] * 4
+    rows += [(9, (5 * v[0]).tolist(), "d"), (20, (-v[20]).tolist(), "e")]  # ids with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert sorted(got) == [0, 20, 40]
+    for q, found in got.items():
+        own = min(x for i, x, _ in rows if i == q)
+        best = {}
+        for i, x, _ in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(own, x)))
+        assert [i for i, _ in found] == sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert len({i for i, _ in found}) == 20 and np.allclose([s for _, s in found], [best[i] for i, _ in found])
+
+
+def test_ann_windows_only_expand():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((900, 8))
+    block = ann.Block(np.arange(900), v, 5)
+    projected = (v[0] / np.sqrt(v[0] @ v[0])) @ block.directions[:8]
+    low, high = block._ends(projected, block.radius)
+    counts = block._first(low, high)
+    wider, higher = block._ends(projected, block.radius * 1.5)
+    counts = counts + block._passed(np.concatenate((wider, high)), np.concatenate((low, higher)))
+    assert (counts == block._first(wider, higher)).all() and (wider <= low).all() and (high <= higher).all()
