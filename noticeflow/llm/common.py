@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a written table of narrow rows is broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 200_000
 
+#: Keys that are broadcast at most because they are hot, and rows that a hot key has at least.
+HOT_KEYS, HOT_LEAST = 2000, 1000
+
 #: Bytes of an Arrow batch sent to Python; texts vary from a few bytes to megabytes.
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -55,6 +58,31 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.count() <= limit
 
 
+def row_of(df: DataFrame) -> F.Column:
+    """A whole row as one struct named ``row``: beside it, working columns clash with none of the row's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def own_columns(df: DataFrame) -> list[F.Column]:
+    """The columns of a table, out of the struct that ``row_of`` made."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns]
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of a written table with one that has each key once, where few keys may hold most rows of the first.
+
+    Keys with more than 1 / ``HOT_KEYS`` of all rows, so fewer than ``HOT_KEYS`` of them, are joined by
+    broadcast; only the others are shuffled by key. ``left`` should be written, as it is read three times.
+    """
+    most = left.count() // HOT_KEYS
+    hot = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(most, HOT_LEAST)).select(key), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right.hint("shuffle_hash"), key, how)
+    few = F.broadcast(hot)
+    own = F.broadcast(right.join(few, key, "left_semi"))
+    return left.join(few, key, "left_semi").join(own, key, how).unionByName(left.join(few, key, "left_anti").join(right.hint("shuffle_hash"), key, how))
+
+
 def text_of(column: str) -> F.Column:
     """A text column in which null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
