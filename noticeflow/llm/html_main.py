@@ -1,21 +1,27 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass gives each block a label of its own: from
-the containers it stands in (menus, headers, footers, sidebars, notices, adverts, forms and comments are
-bad), its link density, its length and its stop-word density. Blocks too short to judge stay open. The
-second pass gives them the label of the nearest decided blocks before and after: good where either is
-good inside an article, and where both are good, or the only one is, elsewhere.
+A page is cut into blocks at block-level tags. The first pass gives each block a label of its own by link
+density, length and stop-word density, inside and outside of articles: bad with many links, good if long
+enough and full of stop words, bad if long and without any outside of an article, else open. What stands in
+a container that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, comments)
+is bad whatever its density. The second pass gives open blocks the label of the nearest decided blocks before
+and after: good where either is good inside an article, and where both are good, or the only one is,
+elsewhere. ``decided`` tells for each block which rule labelled it.
 
 Where a page marks an article, only blocks inside it can be main text, unless none of them is good.
 White space inside a block becomes one space, character references are decoded, and the good blocks
-are joined in page order by one space. Nothing else is dropped.
+are joined in page order by one space. Nothing else is dropped. A class name that speaks against a container
+counts for nothing beside one that names main text, unless it is one of comments or adverts.
 
 Edge cases: a null or empty page has the empty text; unclosed elements end where their container ends or
 at the next block of their kind; a page cut off inside a tag, a script or a comment loses that part
-alone; a page in a language without known stop words is judged by length and links; equal pages have
-equal texts; an empty table gives an empty table; further columns pass through.
+alone; a quoted attribute ends at its closing quote, however long it is, and at the first > where it has
+none; a page in a language without known stop words is judged by length and links; of equally near decided
+blocks a good one counts inside an article; equal pages have equal texts; an empty table gives an empty
+table; columns of the input pass through, but for one named as the result.
 
-Scale: a map over pages without a shuffle; memory is bounded by the largest page and the Arrow batch.
+Scale: a map over pages without a shuffle; memory is bounded by the largest page and the Arrow batch, and
+the time for a page grows in proportion to it.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import small_batches
+from noticeflow.llm.common import row_of, small_batches
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -58,6 +64,8 @@ BAD_NAMES = frozenset(
     replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
     teaser toolbar widget""".split()
 )
+#: Those of them that the name of a main container overrules.
+WEAK_NAMES = frozenset("banner copyright feedback header login notice recommended search share sharing signup social tags teaser widget".split())
 #: Roles of what is not main text.
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Class and id names of main containers.
@@ -67,11 +75,9 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 LONG, SHORT = 140, 70  # characters
 MANY_STOP, SOME_STOP, MANY_LINKS = 0.2, 0.05, 0.5
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^\"'>]++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)?/?>|[^>]*(?:>|\Z))",
-    re.S,
-)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r"=\s*[\"']|>")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW_TAGS}
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|>|=|$)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[^a-z0-9]+")
@@ -86,6 +92,28 @@ class Block:
     article: int  # 2 in an article, 1 in a container named like one, else 0
 
 
+class Tags:
+    """Finds where the tags of a page end."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.open_quotes: set[str] = set()  # quotes without another one in the rest of the page
+
+    def end(self, begin: int) -> int:
+        """The place of the > that ends the tag whose name ends at ``begin``, -1 if it has none."""
+        page, at = self.page, begin
+        while True:
+            m = _TAG_STOP.search(page, at)
+            if not m or m[0] == ">":
+                return m.start() if m else -1
+            quote = m[0][-1]
+            close = -1 if quote in self.open_quotes else page.find(quote, m.end())
+            if close < 0:
+                self.open_quotes.add(quote)
+                return page.find(">", begin)
+            at = close + 1
+
+
 def _kind(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
     """Whether an element's content is bad, and how strongly it is marked as an article."""
     bad, article = tag in BAD_TAGS, 2 if tag in ("article", "main") else 0
@@ -112,7 +140,10 @@ def _kind(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
         return bad or bool(names & {"comment", "comments", "reply", "teaser", "related"}), 2
     if _HIDDEN.search(rest):
         bad = True
-    return bad or bool(names & BAD_NAMES), 1 if names & GOOD_NAMES else 0
+    good, against = names & GOOD_NAMES, names & BAD_NAMES
+    if good:
+        against = against - WEAK_NAMES
+    return bad or bool(against), 1 if good else 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -137,34 +168,48 @@ def blocks(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
-    n = len(page)
+    n, tags = len(page), Tags(page)
+
+    def say(piece: str) -> None:
+        nonlocal links
+        text.append(piece)
+        if in_link:
+            links += len(piece.strip())
+
     while at < n:
-        m = _TAG.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
-        if piece:
-            text.append(piece)
-            if in_link:
-                links += len(piece.strip())
-        if not m:
+        begin = page.find("<", at)
+        if begin != at:
+            say(page[at:begin] if begin >= 0 else page[at:])
+        if begin < 0:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        closing = page.startswith("/", begin + 1)
+        name = _TAG_NAME.match(page, begin + 1 + closing)
+        if not name:
+            if closing or page[begin + 1 : begin + 2] in ("!", "?"):
+                end = page.find(">", begin)
+                at = end + 1 if end >= 0 else n
+            else:
+                say("<")
+                at = begin + 1
             continue
-        if m[1]:
+        end = page.find(">", name.end()) if closing else tags.end(name.end())
+        end = n if end < 0 else end
+        at, tag, rest = end + 1, name[0].lower(), page[name.end() : end]
+        if closing:
             if tag == "a":
                 in_link = 0
-            if tag in BLOCK_TAGS:
-                flush()
-                close(tag)
-            elif any(x[0] == tag for x in stack):
+            if tag in BLOCK_TAGS or any(x[0] == tag for x in stack):
                 flush()
                 close(tag)
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/>"):
-                at = end.end() if end else n
+            if not rest.rstrip().endswith("/"):
+                shut = _RAW_END[tag].search(page, at)
+                at = shut.end() if shut else n
             continue
         if tag == "br":
             text.append(" ")
@@ -172,7 +217,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             in_link = 1
             continue
-        bad, article = _kind(tag, m[3], any(x[2] == 2 for x in stack))
+        bad, article = _kind(tag, rest, any(x[2] == 2 for x in stack))
         if tag in BLOCK_TAGS:
             flush()
             if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):
@@ -198,65 +243,88 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _labels(page_blocks: list[Block], inside: bool) -> list[bool]:
-    """Which of a run of blocks are good; ``inside``: they stand in an article."""
+CONTAINER, DENSITY, NEIGHBOURS = "container", "density", "neighbours"
+
+
+def _first_pass(page_blocks: list[Block], inside: bool) -> list[bool | None]:
+    """Labels by density and length; None for what stays open."""
     shares = [_stop_share(b.text) for b in page_blocks]
     known = any(s >= SOME_STOP for s in shares)  # the page's language is one of those with stop words
-    first: list[bool | None] = []
+    out: list[bool | None] = []
     for b, share in zip(page_blocks, shares, strict=True):
         n = len(b.text)
+        dense = share >= MANY_STOP or not known
         if b.bad:
-            first.append(False)
+            out.append(False)
         elif b.links > MANY_LINKS * n:
-            first.append(False if n >= SHORT or not inside else None)
-        elif inside:
-            first.append(True if n >= SHORT or share >= MANY_STOP else None)
+            out.append(False if n >= SHORT or not inside else None)
         elif n < SHORT:
-            first.append(None)
-        elif n >= LONG and (share >= MANY_STOP or not known):
-            first.append(True)
+            out.append(True if inside and share >= MANY_STOP else None)
+        elif dense and (inside or n >= LONG):
+            out.append(True)
         elif share >= SOME_STOP or not known:
-            first.append(True if share >= MANY_STOP else None)
+            out.append(True if inside else None)
         else:
-            first.append(False)
-    before: list[bool | None] = []
-    last = None
-    for x in first:
-        before.append(last)
-        last = x if x is not None else last
-    after: list[bool | None] = []
-    last = None
-    for x in reversed(first):
-        after.append(last)
-        last = x if x is not None else last
-    after.reverse()
+            out.append(None if inside else False)
+    return out
+
+
+def _nearest(labels: list[bool | None]) -> list[bool | None]:
+    """For each place the last decided label before it."""
+    out, last = [], None
+    for x in labels:
+        out.append(last)
+        last = last if x is None else x
+    return out
+
+
+def decided(page_blocks: list[Block], inside: bool) -> list[tuple[bool, str]]:
+    """Of each of a run of blocks whether it is good, and by which rule; ``inside``: they stand in an article."""
+    first = _first_pass(page_blocks, inside)
     out = []
-    for x, a, b in zip(first, before, after, strict=True):
-        if x is None:
-            near = [v for v in (a, b) if v is not None]
-            x = (any(near) or not near) if inside else bool(near) and all(near)
-        out.append(x)
+    for b, x, before, after in zip(page_blocks, first, _nearest(first), reversed(_nearest(first[::-1])), strict=True):
+        if x is not None:
+            out.append((x, CONTAINER if b.bad else DENSITY))
+            continue
+        near = [v for v in (before, after) if v is not None]
+        out.append(((any(near) or not near) if inside else bool(near) and all(near), NEIGHBOURS))
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page."""
+def judged(page: str | None) -> list[tuple[Block, bool, str]]:
+    """A page's blocks with their labels and what gave them; outside of an article that has text, nothing is good."""
     found = blocks(page or "")
     for level in (2, 1):
         own = [b for b in found if b.article >= level and not b.bad]  # what interrupts an article labels no part of it
-        if own:
-            kept = [b.text for b, good in zip(own, _labels(own, True), strict=True) if good]
-            if kept:
-                return " ".join(kept)
-    return " ".join(b.text for b, good in zip(found, _labels(found, False), strict=True) if good)
+        labels = dict(zip(map(id, own), decided(own, True), strict=True))
+        if any(good for good, _ in labels.values()):
+            return [(b, *labels.get(id(b), (False, CONTAINER))) for b in found]
+    return [(b, *x) for b, x in zip(found, decided(found, False), strict=True)]
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page."""
+    return " ".join(b.text for b, good, _ in judged(page) if good)
+
 
+def extracted(pages: DataFrame, html_col: str = "html", out: str = "text", rules: str | None = None) -> DataFrame:
+    """The pages with their main text.
 
-def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """The pages with their main text."""
+    ``rules`` names one more column: a struct of how many blocks were labelled by ``container``, ``density`` and
+    ``neighbours``.
+    """
     small_batches(pages.sparkSession)
 
-    @F.pandas_udf("string")
-    def extract(column: pd.Series) -> pd.Series:
-        return pd.Series([main_text(x) for x in column], dtype=object)
+    @F.pandas_udf("text string, container int, density int, neighbours int")
+    def extract(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in column:
+            found = judged(page)
+            by = [x[2] for x in found]
+            rows.append((" ".join(b.text for b, good, _ in found if good), *map(by.count, (CONTAINER, DENSITY, NEIGHBOURS))))
+        return pd.DataFrame(rows, columns=["text", CONTAINER, DENSITY, NEIGHBOURS])
 
-    return pages.withColumn(out, extract(F.col(html_col)))
+    done = pages.select(row_of(pages), extract(F.col(html_col)).alias("found"))
+    columns = [c for c in pages.columns if c not in (out, rules)]
+    shown = [F.col("row").getField(c).alias(c) for c in columns] + [F.col("found.text").alias(out)]
+    return done.select(*shown, *([F.struct("found.container", "found.density", "found.neighbours").alias(rules)] if rules else []))

@@ -88,7 +88,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return html_main.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = html_main.extracted(pages, rules="rules")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "rules.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -505,6 +506,75 @@ def test_main_text_rows(spark):
     assert html_main.extracted(pages.limit(0)).count() == 0
 
 
+def main_text_by_hand(parts, inside):
+    """Parts (text, links share, container is bad) labelled straight from the rules, each open one by a search both ways."""
+    shown = [p for p in parts if not (inside and p[2])]
+    stop = [sum(w in html_main.STOP_WORDS for w in re.findall("[a-z]+", t.lower())) / max(1, len(re.findall("[a-z]+", t))) for t, *_ in shown]
+    known, labels = any(s >= 0.05 for s in stop), []
+    for (t, links, bad), s in zip(shown, stop, strict=True):
+        if bad:
+            labels.append(False)
+        elif links:
+            labels.append(None if inside and len(t) < 70 else False)
+        elif len(t) < 70:
+            labels.append(True if inside and s >= 0.2 else None)
+        elif (s >= 0.2 or not known) and (inside or len(t) >= 140):
+            labels.append(True)
+        elif s >= 0.05 or not known:
+            labels.append(True if inside else None)
+        else:
+            labels.append(None if inside else False)
+    out = []
+    for i, (t, *_) in enumerate(shown):
+        label = labels[i]
+        if label is None:
+            near = [next((x for x in side if x is not None), None) for side in (labels[:i][::-1], labels[i + 1 :])]
+            near = [x for x in near if x is not None]
+            label = (any(near) or not near) if inside else bool(near) and all(near)
+        if label:
+            out.append(t)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_main_text_equals_brute_force(seed):
+    r = random.Random(seed)
+    dense = lambda n: " ".join(r.choice(["the", "of", "and", "with", "was", "stone", "river", "green"]) for _ in range(n))
+    bare = lambda n: " ".join(r.choice(["stone", "river", "green", "walks", "table"]) for _ in range(n))
+    kinds = [(dense, 40, 0, 0), (dense, 18, 0, 0), (dense, 3, 0, 0), (bare, 3, 0, 0), (bare, 30, 0, 0), (bare, 6, 1, 0), (dense, 25, 1, 0), (dense, 40, 0, 1), (bare, 2, 0, 1)]
+    inside, parts, html = r.random() < 0.5, [], []
+    for _ in range(r.randint(1, 14)):
+        words, n, links, bad = r.choice(kinds)
+        text = words(r.randint(max(1, n - 2), n + 2))
+        parts.append((text, links, bad))
+        shown = f"<a href='/x?a=1&b=\">\"'>{text}</a>" if links else text
+        html.append(r.choice([f'<div class="ad">{shown}</div>', f"<aside><p>{shown}</aside>", f"<nav>{shown}</nav>"]) if bad else r.choice([f"<p>{shown}", f"<p>{shown}</p>", f"<div class={'share-content' if inside else 'x'}>{shown}</div>"]))
+    if inside and all(b for *_, b in parts):
+        inside = False
+    page = "".join(html)
+    got = html_main.main_text(f"<html><body>{'<article>' if inside else ''}{page}")
+    want = main_text_by_hand(parts, inside) or (main_text_by_hand(parts, False) if inside else "")
+    assert got == want
+
+
+def test_main_text_long_attributes_names_and_pages(spark):
+    f = html_main.main_text
+    body = "the story of it all and more of that with some of the rest to be read by us"
+    assert f(f"<article><div data-x=\"{'y' * 9000}>LEAK\">{body}</div></article>") == body
+    assert f(f"<article><p title='{'y' * 5000}>LEAK{body}</article>").endswith(body)  # no closing quote: the first > ends the tag
+    assert f(f'<article><div class="content share"><p>{body}</p></div></article>') == body
+    assert f(f'<article><div class="share">{body}</div><p>{body} too</p></article>') == f"{body} too"
+    assert f(f'<article><div class="comment content"><p>{body}</p></div><p>{body} too</p></article>') == f"{body} too"
+    assert f("<article><p>1 < 2 & 3 <b>x</b> of the and</article>") == "1 < 2 & 3 x of the and"
+    long_page = "<article>" + f"<p>{body}</p>" * 30_000 + "</article>"
+    assert f(long_page) == " ".join([body] * 30_000)
+    assert len(f("<a \"" * 20_000)) < 100_000 and len(f("<a href='" * 20_000)) < 200_000
+    pages = spark.createDataFrame([(1, "u", PAGE, "own")] * 2, "page_id long, url string, html string, row string").withColumn("text", F.lit("old")).withColumn("found", F.lit(1))
+    rows = html_main.extracted(pages, rules="rules").collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].row == "own" and rows[0].found == 1 and rows[0].text.startswith("The title")
+    assert rows[0].rules.container > 0 and rows[0].rules.neighbours > 0
+
+
 # 9: near copies
 
 
