@@ -68,14 +68,18 @@ def own_columns(df: DataFrame) -> list[F.Column]:
     return [F.col("row").getField(c).alias(c) for c in df.columns]
 
 
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than 1 / ``HOT_KEYS`` of all rows of a written table: fewer than ``HOT_KEYS`` of them."""
+    most = max(rows.count() // HOT_KEYS, HOT_LEAST)
+    return written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(key), "hot-keys")
+
+
+def hot_split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """A join of a written table with one that has each key once, where few keys may hold most rows of the first.
 
-    Keys with more than 1 / ``HOT_KEYS`` of all rows, so fewer than ``HOT_KEYS`` of them, are joined by
-    broadcast; only the others are shuffled by key. ``left`` should be written, as it is read three times.
+    Hot keys are joined by broadcast; only the others are shuffled by key.
     """
-    most = left.count() // HOT_KEYS
-    hot = written(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(most, HOT_LEAST)).select(key), "hot-keys")
+    hot = hot_keys(left, key) if hot is None else hot
     if hot.isEmpty():
         return left.join(right.hint("shuffle_hash"), key, how)
     few = F.broadcast(hot)

@@ -5,9 +5,9 @@ Consistent weighted samples agree between two texts with the probability of thei
 similarity; they are banded, texts that share a band's key are compared, and pairs of at least
 ``SIMILARITY`` by their exact weighted Jaccard are linked. Classes are the connected texts.
 
-The weight is count * (1 + IDF_WEIGHT * ln(N / df) / ln N), with df over all distinct texts. The idf part
-is kept small on purpose: with plain idf an edit's own shingles outweigh what a large group of copies
-shares by so much that copies of it would no longer reach the threshold.
+The weight is count * (1 + IDF_WEIGHT * ln(N / df) / ln N), with N distinct texts and df over them. The idf
+part is kept small on purpose: with count * (1 + ln(N / df)) an edit's own shingles outweigh what a large
+group of copies shares by so much that most copies of it no longer reach the threshold (README, with figures).
 
 Equal texts are one from the start. Of the others, a text less than 80 % of whose weight lies on shingles
 that any other text has can't reach the similarity with any, and isn't sampled; this filter is exact.
@@ -15,16 +15,22 @@ that any other text has can't reach the similarity with any, and isn't sampled;
 In each band the texts of a bucket get the bucket's least key as their representative, and texts that
 share a representative are brought together, once however many bands they share it in. There an inverted
 index over their shingles yields all pairs of at least the similarity at once; only as many links leave
-the task as connect the same texts. Texts of a large group are cut into blocks, and every two blocks meet
-in a task of their own. So every pair that shares a bucket is compared, and nothing is capped.
+the task as connect the same texts. A group of more than ``MEMBERS`` texts is dealt out in parts: first each
+part meets about ``GUIDES`` texts of the whole group; then the texts that this left outside of the group's
+largest class meet all others, part by part. Two texts of one class need no further link, so every pair that
+shares a bucket is compared or connected, and nothing is capped.
 
 Edge cases: a null text is the empty text; texts without words are alike only if equal; texts under five
 words are one shingle; a null id has no class of its own and takes none; rows of one id and text are one
-document; an empty table gives an empty table; extra columns are not read.
+document; an empty table gives an empty table; extra columns are not read by ``classes`` and pass through
+``drop_near_copies`` whatever their names.
 
 Scale: texts are shuffled once, packed, with copies taken out before; document frequencies are counted
 over hashes dealt by value, and come back as one byte for each shingle; everything after the sampling
-handles ids, keys and the weighted sets of texts that have near copies. Nothing is broadcast or collected.
+handles ids, keys and the weighted sets of texts that have near copies. Keys that hold more than a two
+thousandth of all rows (a text with very many copies, the label of a large class, the representative of a
+large group) are joined by broadcast, as there are fewer than two thousand of them; nothing else is
+broadcast, and no row is collected.
 """
 
 from __future__ import annotations
@@ -40,14 +46,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import small_batches, text_of, written
+from noticeflow.llm.common import hot_keys, hot_split_join, own_columns, row_of, small_batches, text_of, written
 from noticeflow.llm.shingles import Sampler, bags, mixed
 
 SIMILARITY, IDF_WEIGHT = 0.8, 0.1
 BANDS, ROWS = 20, 5
-GROUP_BYTES, BUCKET_SHINGLES, MOST_BUCKETS = 6 << 20, 400_000, 1 << 16
-#: Texts of one representative that are compared in one task.
-MEMBERS = 2048
+GROUP_BYTES, BUCKET_SHINGLES, MOST_BUCKETS = 6 << 20, 400_000, 1 << 24
+#: Texts of one representative that are compared in one task, and those that all parts of a larger group meet first.
+MEMBERS, GUIDES = 512, 16
 
 _TEXTS = pa.schema([("g", pa.int32()), ("key", pa.string()), ("packed", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -155,16 +161,16 @@ def _vector(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links(table: pa.Table) -> pa.Table:
-    """Links between the texts of one group, or of two blocks of a large one, found through an inverted index.
+    """Links between the texts of one task, found through an inverted index.
 
-    Of the pairs that are alike only as many come back as connect the same texts.
+    Rows of side 0 are compared with each other, rows of side 1 with those of side 2. Of the pairs that are
+    alike only as many come back as connect the same texts.
     """
     rows = table.to_pylist()
     m = len(rows)
     sets = [_vector(r["shared"]) for r in rows]
     whole = np.array([r["weight"] for r in rows])
-    cross = rows[0]["i"] != rows[0]["j"] if m else False
-    block = np.array([r["part"] for r in rows])
+    side = np.array([r["side"] for r in rows])
     sizes = np.array([len(h) for h, _ in sets])
     owner = np.repeat(np.arange(m), sizes)
     ids, element = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
@@ -182,40 +188,61 @@ def _links(table: pa.Table) -> pa.Table:
         return x
 
     out = []
-    for x in range(m):
-        if cross and block[x] != rows[0]["i"]:
-            continue
+    for x in np.flatnonzero(side < 2).tolist():
         own = element[edges[x] : edges[x + 1]]
         starts, counts = ptr[own], ptr[own + 1] - ptr[own]
         at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         least = np.minimum(np.repeat(weight[edges[x] : edges[x + 1]], counts), by_weight[at])
         common = np.bincount(by_owner[at], least, m)
         alike = common >= SIMILARITY * (whole[x] + whole - common) - 1e-9
-        alike[x] = False
-        if cross:
-            alike &= block != block[x]
+        if side[x] == 0:
+            alike[: x + 1] = False
         else:
-            alike[:x] = False
+            alike &= side == 2
         for y in np.flatnonzero(alike).tolist():
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((rows[x]["a"], rows[y]["a"]))
+                if rows[x]["a"] != rows[y]["a"]:
+                    out.append((rows[x]["a"], rows[y]["a"]))
     return _table(out, _LINKS)
 
 
-def verified(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Links (a, b) among texts that share a representative: ``pairs`` has (text, representative).
+def _parts(n: str) -> F.Column:
+    return F.ceil(F.col(n) / MEMBERS).cast("int")
 
-    A group of more than ``MEMBERS`` texts is cut into blocks, and every two blocks meet in a task of their own.
-    """
+
+def _each(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def verified(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Links (a, b) among texts that share a representative: ``pairs`` has (text a, representative b)."""
     sets = sampled.select(F.col("key").alias("a"), "weight", "shared")
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).withColumnRenamed("b", "m")
-    dealt = pairs.join(many.hint("shuffle_hash"), F.col("b") == F.col("m")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    blocks = dealt.withColumn("other", other).select("a", "b", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    members = blocks.join(sets.hint("shuffle_merge"), "a")
-    return members.groupBy("b", "i", "j").applyInArrow(_links, _DDL["links"])
+    sizes = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    dealt = hot_split_join(pairs, sizes, "b")
+
+    def compared(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.join(sets.hint("shuffle_merge"), "a").groupBy(*keys).applyInArrow(_links, _DDL["links"])
+
+    links = compared(dealt.filter(F.col("n") <= MEMBERS).select("a", "b", F.lit(0).alias("side")), "b")
+    if sizes.filter(F.col("n") > MEMBERS).isEmpty():
+        return links
+    part = F.pmod(F.xxhash64("a"), _parts("n")).cast("int")
+    large = written(dealt.filter(F.col("n") > MEMBERS).select("a", "b", "n", part.alias("part")), "large-groups")
+    guides = large.filter(F.pmod(F.xxhash64("b", "a"), F.ceil(F.col("n") / GUIDES)) == 0).select("a", "b", _each(_parts("n")).alias("part"))
+    first = large.select("a", "b", "part", F.lit(2).alias("side")).unionByName(guides.withColumn("side", F.lit(1)))
+    known = written(compared(first, "b", "part"), "guide-links")
+    labelled = large.join(components(known).withColumnRenamed("key", "a").hint("shuffle_hash"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    labelled = written(labelled, "large-labels")
+    counts = labelled.groupBy("b", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("b").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("n_rest"))
+    told = hot_split_join(labelled, written(main, "largest-classes"), "b").filter("n_rest > 0")
+    others = told.select("a", "b", "part", _each(_parts("n_rest")).alias("rest"), F.lit(2).alias("side"))
+    own = F.pmod(F.xxhash64("a"), _parts("n_rest")).cast("int").alias("rest")
+    rest = told.filter("label <> main").select("a", "b", _each(_parts("n")).alias("part"), own, F.lit(1).alias("side"))
+    second = compared(others.unionByName(rest), "b", "part", "rest")
+    return links.unionByName(known).unionByName(second)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,26 +253,25 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "key"), "labels")
+    hubs = hot_keys(both, "b")
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b").hint("shuffle_hash"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = hot_split_join(both, labels.withColumnRenamed("key", "b"), "b", hot=hubs).groupBy("a").agg(F.min("label").alias("near"))
         met = labels.join(near.withColumnRenamed("a", "key").hint("shuffle_hash"), "key").select(
             "key", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        after = written(
-            met.join(jump.hint("shuffle_hash"), "label").select("key", "old", F.least("label", "further").alias("label")), "labels"
-        )
+        met = written(met, "labels")
+        after = written(hot_split_join(met, jump, "label").select("key", "old", F.least("label", "further").alias("label")), "labels")
         if after.filter(F.col("old") != F.col("label")).isEmpty():
             return after.select("key", "label")
         labels = after.select("key", "label")
 
 
-def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, label) of the texts that have near copies; the key of a text is its MD5 in hex."""
+def linked(docs: DataFrame, n_texts: int, text_col: str = "text") -> DataFrame:
+    """(key, label) of the texts that have near copies, of ``n_texts`` distinct ones; a text's key is its MD5 in hex."""
     spark = docs.sparkSession
     small_batches(spark)
-    total, n_rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
-    total = total or 0
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parallel = spark.sparkContext.defaultParallelism
     groups = max(1, math.ceil(total / GROUP_BYTES), min(4 * parallel, total >> 20))
     wanted = max(2 * parallel, total // 7 // BUCKET_SHINGLES)
@@ -268,7 +294,7 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return _send_counts(key, table, bits)
 
     def sample(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return _sample(texts, answers, bits, n_rows)
+        return _sample(texts, answers, bits, n_texts)
 
     texts = docs.select(text_of(text_col).alias("text")).mapInArrow(pack, _DDL["texts"])
     counts = texts.groupBy("g").applyInArrow(send, _DDL["counts"])
@@ -277,30 +303,32 @@ def linked(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     members = sampled.select(F.col("key").alias("a"), F.explode("bands").alias("band"))
     least = members.groupBy("band").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    pairs = written(members.join(least.hint("shuffle_hash"), "band").select("a", "b").distinct(), "near-pairs")
+    pairs = written(hot_split_join(written(members, "bands"), least, "band").select("a", "b").distinct(), "near-pairs")
     return components(written(verified(pairs, sampled), "near-links"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, nf_key, class_id): for each row the least id of its class of near copies."""
-    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text_of(text_col)).alias("nf_key")), "text-keys")
-    labels = linked(docs, text_col)
-    labelled = rows.join(labels.select(F.col("key").alias("nf_key"), "label").hint("shuffle_hash"), "nf_key", "left").withColumn(
-        "nf_label", F.coalesce("label", "nf_key")
+    """(doc_id, text_key, class_id, class_size): for each row the least id of its class of near copies, and the rows of that class."""
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text_of(text_col)).alias("text_key")), "text-keys")
+    texts = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "texts")
+    labels = linked(docs, texts.count(), text_col).withColumnRenamed("key", "text_key")
+    members = written(labels.join(texts.hint("shuffle_hash"), "text_key"), "members")
+    tops = members.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_text = hot_split_join(members.select("text_key", "label"), written(tops, "class-ids"), "label").drop("label")
+    by_text = texts.join(of_text.hint("shuffle_hash"), "text_key", "left").select(
+        "text_key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_size", "copies").alias("class_size")
     )
-    least = labelled.groupBy("nf_label").agg(F.min("doc_id").alias("class_id"))
-    return labelled.join(least.hint("shuffle_hash"), "nf_label").select(
-        "doc_id", "nf_key", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
+    return hot_split_join(rows, written(by_text, "class-of-text"), "text_key").select(
+        "doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "class_size"
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that of the least id, with its own columns; rows without an id stay."""
     found = written(classes(docs, id_col, text_col), "classes")
-    kept = found.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("nf_id"), F.col("nf_key").alias("nf_own")).distinct()
-    keyed = docs.withColumns({"nf_at": F.col(id_col).cast("long"), "nf_text_key": F.md5(text_of(text_col))})
-    same = (F.col("nf_at") == F.col("nf_id")) & (F.col("nf_text_key") == F.col("nf_own"))
-    out = keyed.join(kept.hint("shuffle_hash"), same, "left_semi")
-    if found.count() != found.select("doc_id", "nf_key").distinct().count():
-        out = out.dropDuplicates(["nf_at", "nf_text_key"])
-    return out.unionByName(keyed.filter(F.col("nf_at").isNull())).select(docs.columns)
+    kept = found.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("id"), "text_key").distinct()
+    keyed = docs.select(row_of(docs), F.col(id_col).cast("long").alias("id"), F.md5(text_of(text_col)).alias("text_key"))
+    out = keyed.join(kept.hint("shuffle_hash"), ["id", "text_key"], "left_semi")
+    if found.count() != found.select("doc_id", "text_key").distinct().count():
+        out = out.dropDuplicates(["id", "text_key"])
+    return out.unionByName(keyed.filter(F.col("id").isNull())).select(own_columns(docs))

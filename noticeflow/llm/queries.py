@@ -94,7 +94,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"), "class_size")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.llm import ann, fingerprint, html_main, line_dedup, near_dedup, packing, pieces, sharding, suffix_dedup, toxicity
+from noticeflow.llm import ann, common, fingerprint, html_main, line_dedup, near_dedup, packing, pieces, sharding, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -590,7 +590,7 @@ def classes_by_hand(rows):
         bags[t] = Counter(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     df = Counter(s for b in bags.values() for s in b)
     code = {s: 0 if n == 1 else min(255, round(8 * np.log2(n))) for s, n in df.items()}
-    weight = {t: {s: n * (1 + near_dedup.IDF_WEIGHT * min(1, max(0, 1 - code[s] * np.log(2) / 8 / np.log(len(rows))))) for s, n in b.items()} for t, b in bags.items()}
+    weight = {t: {s: n * (1 + near_dedup.IDF_WEIGHT * min(1, max(0, 1 - code[s] * np.log(2) / 8 / np.log(len(bags))))) for s, n in b.items()} for t, b in bags.items()}
     root = {t: t for t in bags}
 
     def find(t):
@@ -633,14 +633,41 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.drop_near_copies(empty).count() == 0
 
 
-def test_near_dedup_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("guides", [1, 3])
+def test_near_dedup_large_groups_in_parts(spark, monkeypatch, guides):
     monkeypatch.setattr(near_dedup, "MEMBERS", 8)
+    monkeypatch.setattr(near_dedup, "GUIDES", guides)
     base = prose(77, 200)
     rows = [(k, edited(base, k, 2)) for k in range(40)]
+    # a chain from text to text: its ends share a bucket with the middle, but are no copies of each other
+    for k in range(12):
+        rows.append((100 + k, edited(rows[-1][1], 500 + k, 4)))
+    rows += [(300 + k, edited(prose(78, 200), k, 1 + 9 * (k % 3))) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect()) == classes_by_hand(rows)
 
 
+def test_near_dedup_hot_keys_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    base = prose(70, 120)
+    rows = [(k, base) for k in range(60)] + [(100 + k, edited(base, k, 2)) for k in range(30)] + [(200 + k, prose(600 + k, 30)) for k in range(50)] + [(None, base)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.classes(df).collect()
+    assert Counter((r.doc_id, r.class_id) for r in found) == classes_by_hand(rows)
+    sizes = Counter(r.class_id for r in found if r.doc_id is not None)
+    assert all(r.class_size == sizes[r.class_id] + 3 * (r.class_id == 0) for r in found if r.doc_id is not None)
+
+
+def test_drop_near_copies_clashing_names(spark):
+    rows = [(1, BASE), (2, BASE), (3, prose(9, 40)), (None, "x y")]
+    names = ["nf_id", "nf_own", "nf_at", "nf_text_key", "id", "text_key", "row", "key", "class_id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names])
+    kept = near_dedup.drop_near_copies(df).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3] and kept[0].asDict().keys() == {"doc_id", "text", *names}
+    assert all(r[n] == "-".join([n, *([str(r.doc_id)] if r.doc_id else [])]) for r in kept for n in names)
+
+
 # 10: toxicity
 
 
