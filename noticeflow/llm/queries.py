@@ -43,13 +43,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select(
-        "doc_id",
-        F.col("nf_n_bytes").alias("n_bytes"),
-        F.col("nf_n_removed").alias("n_removed"),
-        F.size("nf_spans").cast("long").alias("n_spans"),
-        F.col("nf_kept_sha256").alias("kept_sha256"),
-    )
+    return rows.select("doc_id", "cut.n_bytes", "cut.n_removed", F.size("cut.spans").cast("long").alias("n_spans"), "cut.kept_sha256")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ equal strings share an anchor with equal surroundings. Four steps, each a groupe
    with the span that repeats shared with a smaller id cover.
 4. The group joins the spans of both answers and cuts them out.
 
+A class is what equal surroundings collapse to before suffixes are sorted: one string with all its occurrences,
+which are at least ``LENGTH`` bytes alike as a whole. It is told by 96 bits at least: a hash of the anchor (32 bits
+and those of its bucket) and one of the surroundings (64 bits).
+
 An anchor with very many surroundings (a common phrase, the edge of a passage that many documents share) is
 never gathered in one place. A group that has more than ``HOT_HERE`` of its classes sends a mark in place
 of them in step 1; the bucket answers that the anchor is hot where it sees a mark or more than
@@ -27,12 +31,13 @@ document has the string.
 Edge cases: a null text is the empty text; texts under 50 bytes lose nothing; a null id counts as smaller
 than any other; rows of one id are no duplicates of each other; equal rows get equal results; a span may
 cut a character in two, so the text form drops broken characters at its edges; an empty table gives an
-empty table; columns of the input pass through.
+empty table; columns of the input pass through whatever their names, but for one named as the result.
 
 Scale: a class of a third of all documents is one entry for each group, as groups send only its least
 id; so is a string around a hot anchor. Of one anchor a bucket sees ``HOT_HERE`` classes of each group and
 ``HOT_CLASSES`` surroundings at most. All data go by hash, nothing is broadcast; the driver sees one number,
-the bytes in all.
+the bytes in all. There are as many buckets as the input asks for, so what meets in one stays of the same
+size; beyond some hundreds of GB a group's rows for each bucket get narrower, which costs shuffled bytes.
 """
 
 from __future__ import annotations
@@ -55,12 +60,12 @@ from noticeflow.llm.repeats import covered
 
 #: Bytes of text in a group, and classes in a bucket, about.
 GROUP_BYTES, BUCKET_CLASSES = 6 << 20, 200_000
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 26
 NULL_ID = -(1 << 63)
 NOTHING, EARLIER, DIFFERS, HOT = 0, 1, 2, 3
 #: Classes of one anchor that a group sends, and of which a bucket asks for the surroundings, at most.
 HOT_HERE, HOT_CLASSES = 64, 4096
-MARK = (1 << 48) - 1  # in place of a class's hash: the group has more classes of this anchor than it sends
+MARK = (1 << 64) - 1  # in place of a class's hash: the group has more classes of this anchor than it sends
 _MIDDLE = 15  # two strings of 50 bytes around an anchor share so much on one side of it at least
 
 
@@ -83,16 +88,16 @@ class Group:
 
     @classmethod
     def of(cls, table: pa.Table, buckets: int) -> Group:
-        ids = table["nf_id"].to_numpy()
-        sha = [hashlib.md5(t).digest() for t in table["nf_text"].to_pylist()]
+        ids = table["id"].to_numpy()
+        sha = [hashlib.md5(t).digest() for t in table["text"].to_pylist()]
         rank = np.lexsort((np.array(sha, "S16"), ids)) if len(ids) else np.zeros(0, np.int64)
         table = table.take(pa.array(rank))
-        ids, texts = ids[rank], table["nf_text"].to_pylist()
+        ids, texts = ids[rank], table["text"].to_pylist()
         found = anchors(texts)
         bits = buckets.bit_length() - 1
         bucket = (found.gram >> np.uint64(64 - bits)) if bits else np.zeros(len(found.gram), np.uint64)
         gram = (found.gram >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
-        label = np.minimum(found.context & np.uint64(MARK), np.uint64(MARK - 1))
+        label = np.minimum(found.context, np.uint64(MARK - 1))
         order = np.lexsort((ids[found.doc], label, gram, bucket))
         b, g, c = bucket[order], gram[order], label[order]
         new = np.ones(len(order), bool)
@@ -165,13 +170,12 @@ def _send_classes(table: pa.Table, buckets: int, name: int) -> pa.Table:
     for bucket, a, b in group.slices():
         sent = group.sent[np.searchsorted(group.sent, a) : np.searchsorted(group.sent, b)]
         label = np.where(group.crowded[sent], np.uint64(MARK), group.label[sent])
-        parts = np.concatenate((label.astype(np.uint32).view(np.uint8), (label >> np.uint64(32)).astype(np.uint16).view(np.uint8)))
         for key, value in (
             ("bucket", bucket),
             ("g", name),
             ("n", len(sent)),
             ("gram", group.gram[sent].astype(np.uint32).tobytes()),
-            ("label", parts.tobytes()),
+            ("label", label.tobytes()),
             ("least", _packed(group.least[sent])),
         ):
             rows[key].append(value)
@@ -198,9 +202,7 @@ def _judge_classes(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     sizes = np.array([r["n"] for r in rows])
     gram = np.concatenate([np.frombuffer(r["gram"], np.uint32) for r in rows])
-    low = np.concatenate([np.frombuffer(r["label"][: 4 * r["n"]], np.uint32) for r in rows]).astype(np.uint64)
-    high = np.concatenate([np.frombuffer(r["label"][4 * r["n"] :], np.uint16) for r in rows]).astype(np.uint64)
-    label = low | high << np.uint64(32)
+    label = np.concatenate([np.frombuffer(r["label"], np.uint64) for r in rows])
     own = np.concatenate([_ids(r["least"], r["n"]) for r in rows])
     order = np.lexsort((own, label, gram))
     g, c, d = gram[order], label[order], own[order]
@@ -216,7 +218,7 @@ def _judge_classes(table: pa.Table) -> pa.Table:
     status[d > d[new][at_class]] = EARLIER
     status[new & (several & shared)[at_gram]] = DIFFERS
     hot = np.bincount(at_gram[new]) > HOT_CLASSES
-    hot[at_gram[c == MARK]] = True
+    hot[at_gram[c == np.uint64(MARK)]] = True
     status[hot[at_gram] & (status != EARLIER)] = HOT
     back = np.empty(len(order), np.uint8)
     back[order] = status
@@ -358,7 +360,7 @@ def _spans(group: Group, answers: list[dict], buckets: int) -> tuple[np.ndarray,
     return np.append(doc[gone], windows.doc[has]), np.append(begin[gone], at), np.append(end[gone], at + LENGTH)
 
 
-def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str], text_col: str) -> pa.Table:
+def _cut(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Step 4: documents with their spans and what is left."""
     group = Group.of(table, buckets)
     n = len(group.ids)
@@ -381,23 +383,26 @@ def _cut(table: pa.Table, answers: pa.Table, buckets: int, fields: list[str], te
             kept[i] = b"".join([text[x:y] for x, y in zip([0, *tos], [*froms, len(text)], strict=True)])
             spans[i] = [{"start": x, "stop": y} for x, y in zip(froms, tos, strict=True)]
             removed[i] = len(text) - len(kept[i])
-    rest = group.table["nf_rest"].combine_chunks()
-    out = {f: rest.field(f) for f in fields if f != text_col}
-    missing = rest.field("nf_null").to_pylist()
-    out[text_col] = pa.array([None if m else k.decode("utf-8", "ignore") for m, k in zip(missing, kept, strict=True)], pa.string())
-    out = {f: out[f] for f in fields}
-    out["nf_n_bytes"] = pa.array([len(t) for t in group.texts], pa.int64())
-    out["nf_n_removed"] = pa.array(removed)
-    out["nf_spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
-    out["nf_kept_sha256"] = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
-    return pa.table(out)
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rest = group.table["rest"].combine_chunks()
+    missing = group.table["missing"].to_pylist()
+    texts = pa.array([None if m else k.decode("utf-8", "ignore") for m, k in zip(missing, kept, strict=True)], pa.string())
+    cut = {
+        "n_bytes": pa.array([len(t) for t in group.texts], pa.int64()),
+        "n_removed": pa.array(removed),
+        "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+        "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+    }
+    return pa.table({"rest": rest, "text": texts, "cut": pa.StructArray.from_arrays(list(cut.values()), list(cut))})
+
+
+_CUT = "n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept_sha256 string"
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "cut") -> DataFrame:
     """The rows with their text cut.
 
-    Adds nf_n_bytes, nf_n_removed, nf_spans (start and stop in bytes of each maximal removed run) and
-    nf_kept_sha256 (of the remaining bytes) to the rows' own columns.
+    Adds a struct of n_bytes, n_removed, spans (start and stop in bytes of each maximal removed run) and
+    kept_sha256 (of the remaining bytes) to the rows' own columns.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -406,12 +411,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = max(1, math.ceil(total / GROUP_BYTES), min(4 * parallel, total >> 20))
     wanted = max(2 * parallel, int(total * 0.065) // BUCKET_CLASSES)  # 6.5 % of all bytes are anchors
     buckets = min(MOST_BUCKETS, 1 << max(0, wanted - 1).bit_length())
-    fields = docs.columns
+    others = [f for f in docs.columns if f != text_col]
     keyed = docs.select(  # the same columns in every step, so that one shuffle of the texts serves them all
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("nf_g"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("nf_id"),
-        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("nf_text"),
-        F.struct(*[F.col(f) for f in fields if f != text_col], F.col(text_col).isNull().alias("nf_null")).alias("nf_rest"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("g"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+        F.struct(*[F.col(f"`{f}`") for f in others]).alias("rest"),
+        F.col(text_col).isNull().alias("missing"),
     )
 
     def grouped(step: Callable) -> Callable:
@@ -420,10 +426,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def send_classes(key: tuple, table: pa.Table) -> pa.Table:
         return _send_classes(table, buckets, key[0].as_py())
 
-    classes = keyed.groupBy("nf_g").applyInArrow(send_classes, _CLASSES_DDL)
+    classes = keyed.groupBy("g").applyInArrow(send_classes, _CLASSES_DDL)
     first = classes.groupBy("bucket").applyInArrow(_judge_classes, _ANSWER_DDL)
     contexts = (
-        keyed.groupBy("nf_g").cogroup(first.groupBy("g")).applyInArrow(grouped(_send_contexts), _CONTEXTS_DDL)
+        keyed.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(grouped(_send_contexts), _CONTEXTS_DDL)
     )
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
@@ -432,15 +438,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     second = contexts.groupBy("bucket").applyInArrow(judge, _ANSWER_DDL)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _cut(left, right, buckets, fields, text_col)
-
-    schema = T.StructType(
-        [
-            *docs.schema.fields,
-            T.StructField("nf_n_bytes", T.LongType()),
-            T.StructField("nf_n_removed", T.LongType()),
-            T.StructField("nf_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
-            T.StructField("nf_kept_sha256", T.StringType()),
-        ]
-    )
-    return keyed.groupBy("nf_g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(cut, schema)
+        return _cut(left, right, buckets)
+
+    schema = T.StructType().add("rest", T.StructType([docs.schema[f] for f in others])).add("text", "string").add("cut", T.StructType.fromDDL(_CUT))
+    done = keyed.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(cut, schema)
+    columns = [F.col("text").alias(f) if f == text_col else F.col("rest").getField(f).alias(f) for f in docs.columns if f != out]
+    return done.select(*columns, F.col("cut").alias(out))

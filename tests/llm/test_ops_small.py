@@ -299,14 +299,25 @@ def cut_by_hand(rows):
 
 def cut_by_spark(df):
     rows = suffix_dedup.deduplicated(df).collect()
-    return Counter((r.doc_id, r.nf_n_bytes, r.nf_n_removed, len(r.nf_spans), r.nf_kept_sha256) for r in rows)
+    return Counter((r.doc_id, r.cut.n_bytes, r.cut.n_removed, len(r.cut.spans), r.cut.kept_sha256) for r in rows)
 
 
 def test_suffix_dedup_small(docs, empty):
     assert cut_by_spark(docs) == cut_by_hand(TEXTS)
     assert suffix_dedup.deduplicated(empty).count() == 0
     row = suffix_dedup.deduplicated(docs).filter("doc_id = 2").first()
-    assert row.text == "" and row.source == "src" and row.nf_spans[0].asDict() == {"start": 0, "stop": len(BASE)}
+    assert row.text == "" and row.source == "src" and row.cut.spans[0].asDict() == {"start": 0, "stop": len(BASE)}
+
+
+def test_suffix_dedup_clashing_names_and_repeated_rows(spark):
+    names = ["nf_n_bytes", "nf_null", "nf_g", "g", "id", "rest", "missing", "bucket", "n_bytes", "spans", "kept"]
+    rows = [*TEXTS, (2, BASE), (3, BASE + " one more word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(*[F.concat_ws("-", F.lit(n), "doc_id").alias(n) for n in names], "doc_id", "text")
+    found = suffix_dedup.deduplicated(df)
+    assert found.columns == [*df.columns, "cut"] and cut_by_spark(df) == cut_by_hand(rows)
+    assert all(r[n] == "-".join([n, *([str(r.doc_id)] if r.doc_id is not None else [])]) for r in found.collect() for n in names)
+    again = suffix_dedup.deduplicated(found.filter("doc_id = 6"), out="cut").first()  # a column named as the result is replaced
+    assert again.text == "short" and again.cut.n_removed == 0
 
 
 def test_suffix_dedup_random(spark):
@@ -332,8 +343,9 @@ def by_hand_in_steps(rows, groups, buckets):
     tables = []
     for g in range(groups):
         own = [r for r in rows if r[0] % groups == g]
-        rest = pa.StructArray.from_arrays([pa.array([False] * len(own))], ["nf_null"])
-        tables.append(pa.table({"nf_id": pa.array([i for i, _ in own], pa.int64()), "nf_text": pa.array([t.encode() for _, t in own], pa.binary()), "nf_rest": rest}))
+        ids = pa.array([i for i, _ in own], pa.int64())
+        missing = pa.array([False] * len(own))
+        tables.append(pa.table({"id": ids, "text": pa.array([t.encode() for _, t in own], pa.binary()), "missing": missing, "rest": pa.StructArray.from_arrays([ids], ["doc_id"])}))
 
     def dealt(parts, key):
         whole = pa.concat_tables(parts)
@@ -347,8 +359,8 @@ def by_hand_in_steps(rows, groups, buckets):
     both = dict(dealt([*first.values(), *judged], "g"))
     out = Counter()
     for g, t in enumerate(tables):
-        for r in suffix_dedup._cut(t, both[g], buckets, ["text"], "text").to_pylist():
-            out[r["nf_n_bytes"], r["nf_n_removed"], len(r["nf_spans"]), r["nf_kept_sha256"]] += 1
+        for r in suffix_dedup._cut(t, both[g], buckets)["cut"].to_pylist():
+            out[r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]] += 1
     sent = [sum(t["n"].to_pylist()) for _, t in dealt(classes, "bucket")]
     return out, sent, {b: sum(t["n"].to_pylist()) for b, t in contexts}
 
