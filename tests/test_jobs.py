@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow import policy
 from noticeflow.functions import dates as windows
 from noticeflow.functions import text, urls
-from noticeflow.operators import classify, linkage, report, segments, state
+from noticeflow.operators import cargos, classify, linkage, report, requirements, segments, state
 from noticeflow.sources import pages, state_store
 from noticeflow.streaming import incremental
 
@@ -291,6 +291,62 @@ def test_best_first_blocked_pages_and_override(spark, tmp_path):
     assert got == {1: ["a"], 2: ["s", "a", "b", "x", "c"], 3: ["a", "b", "c"]}
 
 
+def test_posts(spark):
+    cases = [
+        ("Professor Licenciado: Área - Professor de Geografia (CR)", "Geografia", None, None, True),
+        ("Professor Licenciado - Área III / Matemática (1 vaga + CR)", "Matemática", None, 1, False),
+        ("Professor de Computação (Pós ou cursos de aperfeiçoamento)", "Computação", "Pós ou cursos de aperfeiçoamento", None, False),
+        ("Professor 1 - Arte (6º ao 9º ano) (5 vagas)", "Arte", None, 5, False),
+        ("Professor II (Educação Física) (cadastro de reserva)", "Educação Física", None, None, True),
+        ("Professor 20h (5 vagas)", None, None, 5, False),
+        ("Professor I (4 vagas + CR)", None, None, 4, False),
+        ("Professor de Espanhol (Magistério)", "Espanhol", "Magistério", None, False),
+        ("Professora Adjunta da Carreira do Magistério Superior: Área de Química Orgânica/Analítica", "Química Orgânica/Analítica", None, None, False),
+        ("Docente de nível médio para Língua Portuguesa", "Língua Portuguesa", None, None, False),
+        ("Enfermeiro (2 vagas)", "-", None, None, False),
+        ("Regente de Classe (3 vagas)", "Regente de Classe", None, 3, False),
+    ]
+    df = spark.createDataFrame([(1, i, c[0]) for i, c in enumerate(cases)] + [(1, 50, cases[0][0].upper()), (1, 51, None), (1, 52, "Professor " + "x" * 300)], "k int, p int, item string")
+    got = {r.p: (r.course, r.requirement_hint, r.vacancies_count, r.reserve_only) for r in cargos.posts(df, ["k"], "item", "p").collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases) if c[1] != "-"}
+
+
+def test_posts_from_prose(spark):
+    said = "Aviso. As vagas são para os cargos de: Professor de Arte (2 vagas), Motorista (1 vaga), Professora Substituta de História - Docente de Física (CR) A jornada é de 20h (3 vagas)."
+    areas = "O edital contempla as seguintes áreas: Botânica (1 vaga); Ecologia (2 vagas + CR). As inscrições abrem."
+    df = spark.createDataFrame([(1, said), (2, areas), (3, "nothing"), (4, None)], "k int, t string")
+    got = sorted((r.k, r.position, r.course, r.vacancies_count) for r in cargos.posts_from_prose(df, "k", "t").collect())
+    assert [g[0] for g in got] == [1, 1, 1, 2, 2]
+    assert [g[2:] for g in got] == [("Arte", 2), ("História", None), ("Física", None), ("Botânica", 1), ("Ecologia", 2)]
+
+
+def test_condensed_requirements(spark):
+    cases = [
+        ("título de Livre-Docente outorgado pela USP ou por ela reconhecido", "Título de Livre-Docente outorgado pela USP ou por ela reconhecido"),
+        ("Doutorado em Letras, Estudos da Linguagem ou Educação, e ▪ 02 anos de atuação efetiva em sala de aula da Educação Básica", "Doutorado em Letras, Estudos da Linguagem ou Educação"),
+        ("exige mestrado e doutorado em Música ou áreas correlatas", "Mestrado e Doutorado em Música ou áreas correlatas"),
+        ("Graduação em Física; mestrado em Astronomia; mestrado", "Graduação em Física · Mestrado em Astronomia"),
+        ("Residência reconhecida pelo MEC nas áreas de Clínica Médica ou Cardiologia; e ▪ Registro no CRM", "Residência em Clínica Médica ou Cardiologia"),
+        ("Licenciatura Curta", "Licenciatura Curta"),
+        ("GRADUAÇÃO", "Graduação"),
+        ("Pós ou cursos de aperfeiçoamento", "Pós ou cursos de aperfeiçoamento"),
+        ("Doutorado obtido em programa de pós-graduação cadastrado em uma das seguintes áreas básicas na plataforma Sucupira (CAPES): Química", "Doutorado em Química"),
+        ("Professor no Programa de Pós-Graduação em Letras", "Professor no Programa de Pós-Graduação em Letras"),
+        ("Licenciatura com habilitação em Inglês, conforme edital", "Licenciatura em Inglês"),
+        ("Mestrado em A; Mestrado em B; Mestrado em C; Doutorado em D", "Mestrado em A · Mestrado em B · Mestrado em C (+1 alternativas no edital)"),
+        ("Portal da universidade: mestrado", None),
+        ("Mestrado R$ 1.000,00 por 40 horas", None),
+        ("Doutorado ........ 12", None),
+        ("x" * 100, None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "k int, t string")
+    got = {r.k: r.condensed for r in requirements.condensed(df, "k", "t").collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+    field = requirements.condensed(df.filter("k = 3"), "k", "t", keep_degree=False).first().condensed
+    assert field == "Física · Astronomia · Mestrado"
+
+
 LISTING = """<div class="na"><div class="ca"><a href="/noticias/x-1?y=2" title="UFX - Universidade">UFX</a><div class="cc">PR</div>
 <div class="cd">2 vagas até R$ 10.000,00<br>Professor Adjunto<br>Superior</div><div class="ce">até <span>15/09/2026</span></div></div></div>
 <div class="na"><div class="ca"><a href="/noticias/x-1/">Later</a></div></div><div class="ca"><a href="/other">no</a></div>"""
