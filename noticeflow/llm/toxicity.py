@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import small_batches, written
+from noticeflow.llm.common import own_columns, row_of, small_batches, written
 
 BITS, SIZES = 18, (3, 4, 5)
 SAMPLE, SAMPLE_FEATURES = 3000, 40_000_000
@@ -171,4 +171,5 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the fitted classifier scores below the threshold, with their own columns."""
     model = fit(docs, labels, id_col, text_col)
-    return scored(docs, model, text_col, "nf_score").filter(F.col("nf_score") < threshold).drop("nf_score")
+    rows = docs.select(row_of(docs), F.col(text_col).alias("text"))
+    return scored(rows, model).filter(F.col("score") < threshold).select(own_columns(docs))
