@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeflow import policy
-from noticeflow.functions.text import normalised
+from noticeflow.functions.text import has_any, normalised
 
 #: Fixed value: an announcement's number and year in a normalised text.
 _NUMBER = r"(?:edital|concurso|selecao|processo)[^0-9/]{0,40}?(\d{1,4}\s*/\s*(?:\d{4}|\d{2}))(?!\d)"
 #: Words too common to tell one notice from another.
 COMMON_WORDS = (
-    "area", "areas", "conhecimento", "concurso", "edital", "ensino", "professor", "publico", "selecao", "superior", "universidade", "federal",
+    "professor", "professora", "concurso", "processo", "seletivo", "publico", "vaga", "vagas", "universidade", "instituto", "federal", "estadual",
+    "substituto", "titular", "adjunto", "assistente", "campus", "edital", "abre", "publica", "para", "area", "areas", "atuacao", "cargo",
+    "avaliacao", "didatica", "prova", "provas", "titulos", "curriculo", "requisito", "requisitos", "local", "carga", "horaria", "semanal",
+    "temporario", "temporarios", "colaborador", "colaboradores",
 )
 
 
@@ -73,25 +76,31 @@ def relevance(own: Column, named: Column, area_exact: Column, area_tokens: Colum
     return good, why
 
 
-#: Weights of what a link says of itself; links under LEAST aren't followed.
-LINK_WEIGHTS = (
-    (r"\.pdf(?:$|[?#])", 25), (r"\bedita[li]s?\b|\bedital", 45), (r"concurso|selecao|processo seletivo", 24), (r"inscri", 24), (r"professor|docente|magisterio", 20),
+#: Words in what a link says of itself and their weights; links under LEAST_LINK aren't followed.
+LINK_WORDS = (
+    (("edital",), 45),
+    (("concurso", "processo-seletivo", "processo seletivo", "selecao"), 24),
+    (("inscricoes", "inscricao"), 24),
+    (("professor", "docente", "magisterio"), 20),
+)
+OWN_NUMBER, DOCUMENT, THIS_YEAR, LATE, RESULT = 120, 25, 30, -30, -120
+#: Words of links to results, forms and other business.
+RESULT_WORDS = (
+    "resultado", "gabarito", "homologacao", "isencao", "login", "vestibular", "premio", "bolsa", "residencia", "licitacao", "fale conosco", "meus concursos",
+    "register", "password", "procuracao", "recurso", "requerimento", "comprovacao", "impugnacao", "formulario", "sorteio", "transmissao",
 )
-RESULT_WORDS = r"resultado|gabarito|login|senha"
 LEAST_LINK = 20
 
 
-def link_score(context: Column, url: Column, own_number: Column, n_overlap: Column, year: int, weights: Sequence[tuple[str, int]] = LINK_WEIGHTS) -> Column:
-    """How likely a link leads to a notice's document, from its normalised label and surroundings."""
-    both = F.concat_ws(" ", context, F.lower(url))
-    score = F.when(own_number, 120).otherwise(0) + F.least(F.lit(30), 6 * n_overlap)
-    for pattern, weight in weights:
-        score = score + F.when(both.rlike(pattern), weight).otherwise(0)
-    late = F.lit(False)
-    for w in policy.LATE_WORDS:
-        late = late | both.contains(w)
-    score = score + F.when(both.contains(str(year)), 30).otherwise(0)
-    return score - F.when(late, 30).otherwise(0) - F.when(both.rlike(RESULT_WORDS), 120).otherwise(0)
+def link_score(label: Column, url: Column, own_number: Column, n_overlap: Column, year: int, words: Sequence[tuple[Sequence[str], int]] = LINK_WORDS) -> Column:
+    """How likely a link leads to a notice's document, from its normalised label and its address."""
+    both = F.concat_ws(" ", label, F.lower(url))
+    path = F.lower(F.regexp_extract(url, r"^[^?#]*", 0))
+    score = F.when(own_number, OWN_NUMBER).otherwise(0) + F.least(F.lit(30), 6 * n_overlap)
+    score = score + F.when(path.endswith(".pdf") | label.contains("pdf"), DOCUMENT).otherwise(0)
+    for some, weight in (*words, ((str(year),), THIS_YEAR), (policy.LATE_WORDS, LATE), (RESULT_WORDS, RESULT)):
+        score = score + F.when(has_any(both, some), weight).otherwise(0)
+    return score
 
 
 def best_links(links: DataFrame, key: Sequence[str], url: str, score: str, order: str, least: int, most: int | None = None) -> DataFrame:
@@ -103,35 +112,42 @@ def best_links(links: DataFrame, key: Sequence[str], url: str, score: str, order
 
 
 def registry_matches(notices: DataFrame, rows: DataFrame, notice_key: str, row_key: str) -> DataFrame:
-    """Registry rows of notices, blocked by number, word or date; the best few of each.
-
-    Both sides have ``numbers``, ``words`` and ``dates`` arrays. 220 for a shared number, none at all for
-    different ones, 10 for each shared word up to 80, 35 for each shared date; 90 at least; as many rows as
-    the notice has numbers, one at least and eight at most. Without a shared number both sides need words
-    and dates for 90, so rows that have fewer are looked for by number alone; this loses no match.
+    """Registry rows of notices, blocked by number, serial, word or date; the best few of each.
+
+    Both sides have ``numbers``, ``words`` and ``dates`` arrays. A notice with numbers matches only rows that
+    share one. 220 for a shared number, 90 for a row's number that the notice's labels name without a year, 10 for
+    each shared word up to 80, 35 for each shared date; 90 at least; as many rows as the notice has numbers, one
+    at least and eight at most. The notice's ``serials`` and the row's ``serial``, columns that may be missing,
+    are what the 90 are for. Without numbers and serials both sides need words and dates for 90, so rows that have
+    fewer are looked for by number and serial alone; this loses no match.
     """
+    none = F.array().cast("array<string>")
+    left = notices.select(notice_key, "numbers", "words", "dates", (F.col("serials") if "serials" in notices.columns else none).alias("serials"))
+    right = rows.select(row_key, "numbers", "words", "dates", (F.col("serial") if "serial" in rows.columns else F.lit(None).cast("string")).alias("serial"))
 
-    def keys(d: DataFrame, key: str) -> DataFrame:
-        numbers = F.transform("numbers", lambda x: F.concat(F.lit("n:"), x))
+    def keys(d: DataFrame, key: str, serials: Column, free: Column) -> DataFrame:
+        """The keys that rows are brought together by; words and dates of those that are ``free`` to match by them."""
+        tagged = lambda c, tag: F.transform(c, lambda x: F.concat(F.lit(f"{tag}:"), x.cast("string")))
         reach = F.least(F.lit(80), 10 * F.size(F.array_distinct("words"))) + 35 * F.size(F.array_distinct("dates"))
-        others = F.concat(
-            F.transform("words", lambda x: F.concat(F.lit("w:"), x)), F.transform("dates", lambda x: F.concat(F.lit("d:"), x.cast("string")))
-        )
-        parts = F.when(reach >= 90, F.concat(numbers, others)).otherwise(numbers)
-        return d.select(key, F.explode(F.array_distinct(parts)).alias("k"))
-
-    pairs = keys(notices, notice_key).join(keys(rows, row_key).hint("merge"), "k").select(notice_key, row_key).distinct()
-    left = notices.select(notice_key, *[F.col(c).alias(f"a_{c}") for c in ("numbers", "words", "dates")])
-    right = rows.select(row_key, *[F.col(c).alias(f"b_{c}") for c in ("numbers", "words", "dates")])
+        parts = F.concat(tagged("numbers", "n"), F.when(free, tagged(serials, "s")).otherwise(none))
+        others = F.concat(tagged("words", "w"), tagged("dates", "d"))
+        return d.select(key, F.explode(F.array_distinct(F.when(free & (reach >= 90), F.concat(parts, others)).otherwise(parts))).alias("k"))
+
+    a = keys(left, notice_key, F.col("serials"), F.size("numbers") == 0)  # one with numbers needs a shared one
+    b = keys(right, row_key, F.array_compact(F.array("serial")), F.lit(True))
+    pairs = a.join(b.hint("merge"), "k").select(notice_key, row_key).distinct()
+    left = left.select(notice_key, *[F.col(c).alias(f"a_{c}") for c in ("numbers", "words", "dates", "serials")])
+    right = right.select(row_key, *[F.col(c).alias(f"b_{c}") for c in ("numbers", "words", "dates", "serial")])
     both = pairs.join(left.hint("merge"), notice_key).join(right.hint("merge"), row_key)
     shared = F.arrays_overlap("a_numbers", "b_numbers")
-    conflict = (F.size("a_numbers") > 0) & (F.size("b_numbers") > 0) & ~shared
     score = (
         F.when(shared, 220).otherwise(0)
+        + F.when(F.array_contains("a_serials", F.col("b_serial")), 90).otherwise(0)
         + F.least(F.lit(80), 10 * F.size(F.array_intersect("a_words", "b_words")))
         + 35 * F.size(F.array_intersect("a_dates", "b_dates"))
     )
-    scored = both.withColumn("score", F.when(F.coalesce(conflict, F.lit(False)), -1).otherwise(score)).filter("score >= 90")
+    other = (F.size("a_numbers") > 0) & ~F.coalesce(shared, F.lit(False))
+    scored = both.withColumn("score", F.when(other, -1).otherwise(score)).filter("score >= 90")
     w = Window.partitionBy(notice_key).orderBy(F.desc("score"), row_key)
     most = F.greatest(F.lit(1), F.least(F.lit(8), F.size("a_numbers")))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select(notice_key, row_key, "score", "rank")
@@ -188,7 +204,7 @@ def best_first(
             now.join(links.hint("merge"), "page")
             .groupBy("notice", "url")
             .agg(F.max("score").cast("long").alias("score"), F.min("position").alias("p"), F.first("d").alias("d"))
-            .select("notice", "url", (F.col("d") + 1).alias("depth"), "score", (F.lit(n * 1_000_000).cast("long") + F.col("p")).alias("found"), F.lit(False).alias("ends"), F.lit(None).cast("int").alias("visit"))
+            .select("notice", "url", (F.col("d") + 1).alias("depth"), "score", (F.lit(n << 40).cast("long") + F.col("p")).alias("found"), F.lit(False).alias("ends"), F.lit(None).cast("int").alias("visit"))
         )
         known = frontier.select("notice", "url")
         frontier = checkpoint(frontier.unionByName(found.join(known.hint("merge"), ["notice", "url"], "left_anti")), "frontier")

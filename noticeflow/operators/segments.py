@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import normalised
+from noticeflow.functions.text import normalised, spaced
 
 
 def lines(pages: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
-    """(keys, line_no, line): a page's lines; a page of one line is cut at the ends of its sentences instead."""
-    by_line = F.split(F.col(text_col), r"\n", -1)
-    by_sentence = F.split(F.col(text_col), r"(?<=[.;:])\s+", -1)
-    parts = F.when(F.size(by_line) < 2, by_sentence).otherwise(by_line)
-    return pages.select(*keys, F.posexplode(parts).alias("line_no", "line"))
+    """(keys, line_no, line): a page's lines without white space around them, blank ones left out.
+
+    A page of one line is cut at the ends of its sentences instead.
+    """
+    cut = lambda pattern, c: F.filter(F.transform(F.split(c, pattern, -1), spaced), lambda x: x != "")
+    by_line = cut(r"\R", F.coalesce(F.col(text_col), F.lit("")))
+    by_sentence = cut(r"(?<=[.;:])\s+", spaced(F.col(text_col)))
+    return pages.select(*keys, F.posexplode(F.when(F.size(by_line) < 2, by_sentence).otherwise(by_line)).alias("line_no", "line"))
 
 
 def marker_runs(marks: DataFrame, key: Sequence[str], level: str, offset: str, most_apart: float, ties: Sequence[str] = ()) -> DataFrame:

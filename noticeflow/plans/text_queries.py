@@ -23,7 +23,12 @@ _URL = "regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)([^?#]*)', {})"
 
 def _shared(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-noticeflow-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-noticeflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/noticeflow/{uuid.uuid4().hex}"
 
 
@@ -71,11 +76,14 @@ PAGE_LINKS = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a h
 SELECT page_id, p::INT AS position, 'https://site.example.org' || h AS url, trim(t) AS label FROM l"""
 
 
+#: Words for the driver's invented labels, in place of the policy's own.
+LABEL_WORDS = ((("the", "der", "des"), 45), (("tion", "que"), 24), (("en",), 20))
+
+
 def link_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """The links of each page that are worth following, scored by what their labels say."""
-    weights = ((r"^th", 45), (r"tion", 24), (r"en", 20), (r"\.$", 25))
-    found = page_links(spark, sf).filter(~urls.excluded(F.col("url")))
-    score = linkage.link_score(text.normalised(F.col("label")), F.lit(""), F.lit(False), F.lit(0), 1900, weights)
+    found = page_links(spark, sf).filter(~urls.excluded(F.col("url"))).withColumn("said", text.normalised(F.col("label")))
+    score = linkage.link_score(F.col("said"), F.col("url"), F.lit(False), F.lit(0), 1900, LABEL_WORDS)
     scored = found.withColumn("score", score)
     return linkage.best_links(scored, ["page_id"], "url", "score", "position", linkage.LEAST_LINK).select("page_id", "url", "score", "rank")
 

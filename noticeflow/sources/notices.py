@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from noticeflow.functions import urls
 from noticeflow.functions.dates import application_window
-from noticeflow.functions.text import area, campus, city_state, dates, employment_type, money, normalised, position, spaced, subarea, vacancies, workload
+from noticeflow.functions.fields import area, position, subarea
+from noticeflow.functions.text import campus, city_state, dates, employment_type, money, normalised, spaced, vacancies, workload
 from noticeflow.sources.pages import _fed, _rows, _Walker
 
 #: Words beside a link to the place where one applies.

@@ -242,7 +242,7 @@ def test_registry_matches_equal_brute_force(spark):
         scored = []
         for k, m, v, e in right:
             shared = bool(set(n) & set(m))
-            score = -1 if n and m and not shared else 220 * shared + min(80, 10 * len(set(w) & set(v))) + 35 * len(set(d) & set(e))
+            score = -1 if n and not shared else 220 * shared + min(80, 10 * len(set(w) & set(v))) + 35 * len(set(d) & set(e))
             if score >= 90:
                 scored.append((-score, k))
         want |= {(i, k, -s, rank) for rank, (s, k) in enumerate(sorted(scored)[: max(1, min(8, len(n)))], 1)}
