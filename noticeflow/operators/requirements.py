@@ -192,3 +192,44 @@ def first_sources(candidates: DataFrame, key: str, source_rank: str, text: str,
     )
     ordered = F.array_sort(F.collect_list(F.struct("nf_r", "nf_t")))
     return once.groupBy(key).agg(F.substring(F.array_join(F.transform(F.slice(ordered, 1, most_parts), lambda x: x["nf_t"]), " / "), 1, most).alias(text))
+
+
+#: Degrees that are graduations; all others come after one.
+GRADUATIONS = ("graduacao", "licenciatura", "bacharelado", "curso superior", "ensino superior", "formacao superior")
+MOST_SEGMENT = 300
+LEVELS = ("graduation_requirement_raw", "postgraduate_requirement_raw", "masters_requirement_raw", "doctorate_requirement_raw")
+_TAIL = r"(?iu)(?:[\s;,.:]|\b(?:e|ou|com|além de|alem de)\b|[▪•/])+$"
+
+
+def with_levels(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with a column for each of ``LEVELS``: the segments of a text that state graduations and what comes after.
+
+    A segment reaches from a degree to the next one of the other kind, or to a bullet; null where there is none.
+    Segments on masters and on doctorates are those after graduation that name them.
+    """
+    t, w = F.col("nf_t"), F.col("nf_w")
+    rows = rows.withColumn("nf_t", tokens(spaced(F.col(text)))).withColumn("nf_w", plain(t))
+    rows = rows.withColumn("nf_c", _degrees(classes(t, w, WORDS)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<graduation:boolean,text:string>>").alias("out"))
+
+    def take(done: Column, piece: Column) -> Column:
+        n = F.length(piece)
+        said = F.array_join(F.slice(w, done["at"] + 1, F.length(F.regexp_extract(piece, "^Kx*", 0))), " ")
+        one = F.struct(said.isin(*GRADUATIONS).alias("graduation"), F.array_join(F.slice(t, done["at"] + 1, n), "").alias("text"))
+        last = F.get(done["out"], F.size(done["out"]) - 1)
+        longer = F.struct(one["graduation"].alias("graduation"), F.concat(last["text"], one["text"]).alias("text"))
+        same = F.coalesce(last["graduation"] == one["graduation"], F.lit(False))
+        out = F.when(~piece.startswith("K"), done["out"]).when(same, F.concat(F.slice(done["out"], 1, F.greatest(F.lit(0), F.size(done["out"]) - 1)), F.array(longer)))
+        return F.struct((done["at"] + n).alias("at"), out.otherwise(F.concat(done["out"], F.array(one))).alias("out"))
+
+    found = F.aggregate(F.split("nf_c", "(?=K)", -1), start, take, lambda d: d["out"])
+    clean = lambda x: F.regexp_replace(F.substring(F.trim(F.get(F.split(x, "[▪•]", 2), F.lit(0))), 1, MOST_SEGMENT), _TAIL, "")
+    rows = rows.withColumn("nf_s", F.transform(found, lambda x: F.struct(x["graduation"].alias("graduation"), clean(x["text"]).alias("text"))))
+
+    def joined(which: Column) -> Column:
+        return F.nullif(F.array_join(F.array_distinct(F.transform(which, lambda x: x["text"])), " / "), F.lit(""))
+
+    after = F.filter("nf_s", lambda x: ~x["graduation"])
+    names = lambda stem: F.filter("nf_s", lambda x: ~x["graduation"] & normalised(x["text"]).rlike(stem))
+    columns = (F.filter("nf_s", lambda x: x["graduation"]), after, names(r"mestrado|\bmestre\b"), names(r"doutorado|\bdoutora?\b"))
+    return rows.withColumns({c: joined(v) for c, v in zip(LEVELS, columns, strict=True)}).drop("nf_t", "nf_w", "nf_c", "nf_s")

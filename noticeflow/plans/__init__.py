@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.plans import report_queries, result_queries, state_queries, text_queries
+from noticeflow.plans import layout_queries, report_queries, result_queries, state_queries, text_queries
 
-_ALL = {**state_queries.QUERIES, **report_queries.QUERIES, **text_queries.QUERIES, **result_queries.QUERIES}
+_ALL = {**state_queries.QUERIES, **report_queries.QUERIES, **text_queries.QUERIES, **result_queries.QUERIES, **layout_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

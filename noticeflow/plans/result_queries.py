@@ -136,18 +136,19 @@ def display_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts cut at a word for display, with their dates."""
     d = table(spark, sf, "documents")
     shown = text.cut_at_word(text.spaced(F.col("text")), 180)
-    return d.select("doc_id", (F.length(shown) <= 181).alias("fits"), shown.endswith("…").alias("is_cut"), report.display_date(F.lit(None).cast("string")).alias("deadline"))
+    return d.select("doc_id", F.regexp_extract(shown, r"^[^…]*", 0).alias("shown"), (F.length(shown) <= 181).alias("fits"), shown.endswith("…").alias("is_cut"), report.display_date(F.lit(None).cast("string")).alias("deadline"))
 
 
-DISPLAY_TEXTS = """SELECT doc_id, true AS fits, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 180 AS is_cut, 'Não informado' AS deadline FROM documents"""
+DISPLAY_TEXTS = """SELECT doc_id, CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 180
+  THEN regexp_replace(substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 180), '\\s+\\S*$', '') ELSE trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) END AS shown, true AS fits, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 180 AS is_cut, 'Não informado' AS deadline FROM documents"""
 
 
 def state_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The hundred notices seen last."""
-    return table(spark, sf, "orders").select("o_orderkey", day("o_orderdate").alias("first_seen")).orderBy(F.desc("first_seen"), "o_orderkey").limit(100)
+    """All notices, those seen last first."""
+    return table(spark, sf, "orders").select("o_orderkey", day("o_orderdate").alias("first_seen")).orderBy(F.desc("first_seen"), "o_orderkey")
 
 
-STATE_ORDER = "SELECT o_orderkey, o_orderdate::DATE AS first_seen FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey LIMIT 100"
+STATE_ORDER = "SELECT o_orderkey, o_orderdate::DATE AS first_seen FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey"
 
 
 def state_order_all(spark: SparkSession, sf: str) -> DataFrame:

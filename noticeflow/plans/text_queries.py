@@ -88,12 +88,26 @@ def link_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.best_links(scored, ["page_id"], "url", "score", "position", linkage.LEAST_LINK).select("page_id", "url", "score", "rank")
 
 
+_SAID = lambda words: " OR ".join(f"contains(s, '{w}')" for w in words)
+_WEIGHED = " + ".join(f"CASE WHEN {_SAID(ws)} THEN {n} ELSE 0 END" for ws, n in (*LABEL_WORDS, (("1900",), 30), (policy.LATE_WORDS, -30), (linkage.RESULT_WORDS, -120)))
+LINK_TOP_K = f"""WITH l AS ({PAGE_LINKS}),
+s AS (SELECT page_id, url, position, lower(trim(regexp_replace(strip_accents(label), '\\s+', ' ', 'g'))) || ' ' || lower(url) AS s FROM l
+  WHERE NOT regexp_matches(lower(regexp_replace(url, '^https?://[^/]*', '')), '^({"|".join(policy.EXCLUDED_PATHS)})(/|$)')),
+k AS (SELECT page_id, url, max({_WEIGHED}) AS score, min(position) AS p FROM s GROUP BY 1, 2)
+SELECT page_id, url, score::INT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, p)::INT AS rank FROM k WHERE score >= {linkage.LEAST_LINK}"""
+
+
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.visible_text(table(spark, sf, "pages"), "page_id", "html").select("page_id", "title", "blocked")
+    found = pages.visible_text(table(spark, sf, "pages"), "page_id", "html", None)
+    said = F.regexp_replace("text", r"[^\p{L}]+", " ")  # tags are gone: what is left between letters may differ
+    return found.select("page_id", "title", "blocked", F.trim(said).alias("said"))
 
 
-PAGE_TEXT = """SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '"'), '\\s+', ' ', 'g')) AS title,
-  false AS blocked FROM pages"""
+_VISIBLE = "html"
+for _tag in ("head", "script", "style", "nav", "footer"):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '<{_tag}[ >].*?</{_tag}>', ' ', 'gs')"
+PAGE_TEXT = f"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&quot;', '"'), '\\s+', ' ', 'g')) AS title,
+  false AS blocked, trim(regexp_replace(regexp_replace(regexp_replace({_VISIBLE}, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[^\\p{{L}}]+', ' ', 'g')) AS said FROM pages"""
 
 
 def date_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,10 +174,13 @@ REQUIREMENT_FIELDS = """SELECT p_partkey, 'graduação em ' || p_brand || '; e /
 
 
 def evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of documents that hold a word, with the two lines before and after."""
-    rows = segments.lines(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[^\n]+$", "$0\n").alias("text")), ["doc_id"], "text")
-    found = segments.context_windows(rows, ["doc_id"], "line_no", "line", F.col("line").contains("with"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_windows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    """Turns of a conversation as lines; those of users hold evidence, with the two turns before and after."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("line"), F.col("role").alias("r"))
+    return segments.context_windows(c, ["conv_id"], "turn", "line", F.col("r") == "user").select("conv_id", "turn", "excerpt")
+
+
+EVIDENCE_WINDOWS = """WITH c AS (SELECT conv_id, turn, role, string_agg(role || ' ' || turn, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS excerpt FROM conversations)
+SELECT conv_id, turn, excerpt FROM c WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id, excerpt ORDER BY turn) = 1"""
 
 
 def marker_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,17 +218,18 @@ SELECT doc_id, (b > a)::INT AS extractor, greatest(a, b) AS n_rows FROM n"""
 
 
 def id_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as notices with a number in their label, lines as documents that name one."""
+    """Orders as notices with a number in their label, parts as documents that name one."""
     year = F.date_format("o_orderdate", "yyyy")
-    label = F.concat(F.lit("EDITAL Nº 00"), (F.col("o_orderkey") % 50).cast("string"), F.lit("/"), year)
-    notices = table(spark, sf, "orders").filter("o_orderkey % 40 = 0").select("o_orderkey", linkage.notice_numbers(label).alias("numbers"))
-    name = F.concat(F.lit("Concurso público, edital n. "), (F.col("p_partkey") % 50).cast("string"), F.lit("/"), (F.lit(1995) + F.col("p_size") % 7).cast("string"))
+    label = F.concat(F.lit("EDITAL Nº 00"), (F.col("o_orderkey") % 997).cast("string"), F.lit("/"), year)
+    label = F.regexp_replace(label, "00([0-9]{3})/", "$1/")
+    notices = table(spark, sf, "orders").select("o_orderkey", linkage.notice_numbers(label).alias("numbers"))
+    name = F.concat(F.lit("Concurso público, edital n. "), (F.col("p_partkey") % 997).cast("string"), F.lit("/"), (F.lit(1995) + F.col("p_size") % 7).cast("string"))
     documents = table(spark, sf, "part").select("p_partkey", linkage.notice_numbers(name).alias("numbers"))
     return linkage.id_matches(notices, documents, "o_orderkey", "p_partkey")
 
 
-ID_MATCH = """SELECT o_orderkey, p_partkey, (o_orderkey % 50) || '/' || right(year(o_orderdate)::VARCHAR, 2) AS number FROM orders JOIN part
-  ON o_orderkey % 50 = p_partkey % 50 AND year(o_orderdate) = 1995 + p_size % 7 WHERE o_orderkey % 40 = 0"""
+ID_MATCH = """SELECT o_orderkey, p_partkey, (o_orderkey % 997) || '/' || right(year(o_orderdate)::VARCHAR, 2) AS number FROM orders JOIN part
+  ON o_orderkey % 997 = p_partkey % 997 AND year(o_orderdate) = 1995 + p_size % 7"""
 
 
 def id_match_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,13 +288,13 @@ def registry_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_first_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders lead to their parts, parts to the orders they stand in: a walk of bounded budget from some orders."""
+    """Orders lead to their parts, parts to the orders they stand in: a walk of bounded budget from every order."""
     lines = table(spark, sf, "lineitem")
     o, p = F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")
     score, place = F.col("l_quantity").cast("long"), (F.col("l_linenumber") + 10 * (F.col("l_orderkey") % 1000)).cast("long")
     out = lines.select(o.alias("page"), p.alias("url"), score.alias("score"), place.alias("position"))
     back = lines.select(p.alias("page"), o.alias("url"), score.alias("score"), place.alias("position"))
-    first = table(spark, sf, "orders").filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("notice"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
+    first = table(spark, sf, "orders").select(F.col("o_orderkey").alias("notice"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
     start = linkage.seeds([first], "notice")
     return linkage.best_first(start, out.unionByName(back), checkpointed(spark))
 
@@ -379,14 +397,14 @@ QUERIES = {
     "normalised_fingerprint": (normalised_fingerprint, NORMALISED_FINGERPRINT),
     "canonical_pages": (canonical_pages, CANONICAL_PAGES),
     "page_links": (page_links, PAGE_LINKS),
-    "link_top_k": (link_top_k, None),
+    "link_top_k": (link_top_k, LINK_TOP_K),
     "page_text": (page_text, PAGE_TEXT),
     "date_mentions": (date_mentions, DATE_MENTIONS),
     "window_choice": (window_choice, WINDOW_CHOICE),
     "interval_check": (interval_check, INTERVAL_CHECK),
     "marker_runs": (marker_runs, MARKER_RUNS),
     "requirement_fields": (requirement_fields, REQUIREMENT_FIELDS),
-    "evidence_windows": (evidence_windows, None),
+    "evidence_windows": (evidence_windows, EVIDENCE_WINDOWS),
     "evidence_scope": (evidence_scope, EVIDENCE_SCOPE),
     "marker_blocks": (marker_blocks, MARKER_BLOCKS),
     "heading_carry_down": (heading_carry_down, HEADING_CARRY_DOWN),

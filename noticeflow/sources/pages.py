@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -12,6 +15,8 @@ from pyspark.sql import types as T
 
 from noticeflow.functions import urls
 from noticeflow.functions.text import content_hash, dates, spaced, vacancies
+from noticeflow.operators.requirements import LEVELS, with_levels
+from noticeflow.operators.requirements import NAMES as DEGREE_NAMES
 
 #: Elements without visible text.
 HIDDEN = frozenset(("script", "style", "noscript", "nav", "footer"))
@@ -183,12 +188,15 @@ def links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
     return out.filter(F.col("url") != urls.fetch_form(F.col("nf_base"))).drop("nf_base")
 
 
-def visible_text(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, title, text, blocked): visible text of a page, bounded; blocked by a check for humans."""
+def visible_text(pages: DataFrame, key: str, html: str, most: int | None = MOST_TEXT) -> DataFrame:
+    """(key, title, text, blocked): visible text of a page; blocked by a check for humans.
+
+    ``most`` bounds the characters of a text, as the policy does; None takes whole texts.
+    """
 
     def read(page: str) -> list[tuple]:
         w = _fed(_Text(), page)
-        return [(" ".join(w.title.split()), " ".join(" ".join(w.parts).split())[:MOST_TEXT])]
+        return [(" ".join(w.title.split()), " ".join(" ".join(w.parts).split())[:most])]
 
     found = _rows(pages, key, html, read, [("title", T.StringType()), ("text", T.StringType())])
     return found.withColumn("blocked", F.col("text").rlike(CAPTCHA) & (F.length("text") < LEAST_TEXT))
@@ -257,3 +265,104 @@ def combined(sources: list[DataFrame], columns: list[str]) -> DataFrame:
             raise ValueError(f"a source doesn't give {', '.join(missing)}")
         out = s.select(columns) if out is None else out.unionByName(s.select(columns))
     return out
+
+
+#: Labels of requirements and of other details on cards, and words of pages that offer teaching posts.
+REQUIREMENT_LABELS = ("requisito", "requisitos", "requisito minimo", "requisitos minimos", "escolaridade", "titulacao minima", "formacao exigida")
+DETAIL_LABELS = (
+    "observacao", "observacoes", "remuneracao", "salario", "vencimento", "jornada", "carga horaria", "regime de trabalho", "numero de vagas", "no de vagas", "inscricao", "inscricoes",
+)
+TEACHING = ("professor", "docente", "magisterio", "ebtt")
+MOST_CARD, MOST_AREA, PAGE_HEAD = 5000, 350, 8000
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p dt".split())
+
+
+def _folded(text: str) -> str:
+    """A text normalised for matching, as ``functions.text.normalised`` does it."""
+    left = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return " ".join(left.lower().split())
+
+
+class _Node:
+    """An element with its texts: stretches of one list of the page's texts."""
+
+    __slots__ = ("tag", "parent", "begin", "end")
+
+    def __init__(self, tag: str, parent: _Node | None, begin: int) -> None:
+        self.tag, self.parent, self.begin, self.end = tag, parent, begin, begin
+
+
+class _LabelledCards(_Walker):
+    """Cards whose parts are told by labels: (area, requirement) around each label of requirements."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.root = self.node = _Node("", None, 0)
+        self.texts: list[str] = []
+        self.nodes: list[_Node] = []
+        self.labels: list[tuple[int, _Node]] = []
+
+    def enter(self, tag: str, attrs: dict) -> None:
+        if tag not in VOID:
+            self.node = _Node(tag, self.node, len(self.texts))
+            self.nodes.append(self.node)
+
+    def leave(self, tag: str, attrs: dict) -> None:
+        self.node.end = len(self.texts)
+        self.node = self.node.parent or self.root
+
+    def text(self, data: str) -> None:
+        own = " ".join(data.split())
+        if own and not (self.open and self.open[-1][0] in ("script", "style")):
+            if _folded(own).rstrip(" :") in REQUIREMENT_LABELS:
+                self.labels.append((len(self.texts), self.node))
+            self.texts.append(own)
+
+    def said(self, node: _Node) -> str:
+        return " ".join(self.texts[node.begin : node.end])
+
+    def rows(self) -> list[tuple]:
+        degrees = re.compile(r"\b(?:" + "|".join(DEGREE_NAMES) + r")\b")
+        details = re.compile(r"\b(?:" + "|".join(DETAIL_LABELS) + r")\s*:")
+        if not re.search(r"\b(?:" + "|".join(TEACHING) + r")\b", _folded(" ".join(self.texts))[:PAGE_HEAD]):
+            return []
+        places = [at for at, _ in self.labels]
+        out = []
+        for at, node in self.labels:
+            inside = node.parent
+            while inside and inside.tag not in ("", "body", "html") and not degrees.search(_folded(self.said(inside))):
+                inside = inside.parent
+            if inside is None or inside.tag in ("", "body", "html"):
+                continue
+            requirement = " ".join(self.texts[at + 1 if at == inside.begin else inside.begin : inside.end]).strip(" .;:-–")
+            stop = details.search(_folded(requirement))
+            if stop:  # as many words as stand before the detail stay
+                requirement = " ".join(requirement.split()[: len(_folded(requirement)[: stop.start()].split())]).strip(" .;:-–")
+            if not degrees.search(_folded(requirement)):
+                continue
+            card = inside
+            while card.parent and card.parent.tag not in ("", "body", "html"):
+                up = card.parent
+                if len(self.said(up)) > MOST_CARD or bisect.bisect_left(places, up.end) - bisect.bisect_left(places, up.begin) != 1:
+                    break
+                card = up
+            for n in self.nodes:
+                if n.tag in _HEADINGS and card.begin <= n.begin and n.end <= inside.begin and n.begin < n.end:
+                    area = self.said(n).strip(" .;:-–")
+                    plain = _folded(area)
+                    if 2 <= len(area) <= MOST_AREA and plain.rstrip(" :") not in REQUIREMENT_LABELS and not details.search(plain) and not degrees.search(plain):
+                        out.append((len(out), area, requirement))
+                        break
+        return out
+
+
+def labelled_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, position, area, requirement_text, levels) of cards that name their requirements by a label.
+
+    A card is the largest element around a label that holds no other one; its area is the first heading or
+    paragraph before the requirement. Pages that don't speak of teaching, and labels without a degree, give nothing.
+    """
+    kinds = [("position", T.IntegerType()), ("area", T.StringType()), ("requirement_text", T.StringType())]
+    found = _rows(pages, key, html, lambda p: _fed(_LabelledCards(), p).rows(), kinds)
+    levelled = with_levels(found, "requirement_text")
+    return levelled.filter(F.coalesce(*LEVELS).isNotNull())

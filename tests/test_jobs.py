@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noticeflow import policy
 from noticeflow.functions import dates as windows
 from noticeflow.functions import text, urls
-from noticeflow.operators import cargos, classify, linkage, report, requirements, segments, state
+from noticeflow.operators import cargos, classify, extractors, linkage, report, requirements, segments, state
 from noticeflow.sources import pages, state_store
 from noticeflow.streaming import incremental
 
@@ -347,6 +347,81 @@ def test_condensed_requirements(spark):
     assert field == "Física · Astronomia · Mestrado"
 
 
+ANNEX = """
+    Anexo V ao Edital nº 9/2026
+    SEQ. AREA REQUISITOS MINIMOS CONTEÚDOS PROGRAMATICOS VAGA
+    1 CASCAVEL CCBS - Bioestatística
+    Graduação em: Ciências Biológicas
+    Doutorado em: Ciências Ambientais ou Bioestatística
+    1. Estatística descritiva
+    1 20
+    2 Foz do Iguaçu CCBS - Botânica
+    Graduação em: Ciências Biológicas
+"""
+
+
+def test_numbered_rows_over_pages(spark):
+    rest = "Mestrado em: Botânica ou Ciências Ambientais 12\n1. Filo\n2 20\n3 TOLEDO sem grau\n"
+    df = spark.createDataFrame([(1, 4, ANNEX), (1, 5, rest), (2, 1, ANNEX.replace("Anexo V", "Anexo")), (3, 1, None)], "d int, page int, t string")
+    got = [r.asDict() for r in extractors.numbered_rows(df, "d", "page", "t").orderBy("d", "reference").collect()]
+    assert [(r["d"], r["page"], r["reference"], r["campus"], r["area"]) for r in got] == [(1, 4, "Seq. 1", "Cascavel", "Bioestatística"), (1, 4, "Seq. 2", "Foz Do Iguacu", "Botânica")]
+    assert got[0]["graduation_requirement_raw"] == "Graduação em: Ciências Biológicas" and got[0]["doctorate_requirement_raw"] == "Doutorado em: Ciências Ambientais ou Bioestatística"
+    assert got[1]["masters_requirement_raw"] == "Mestrado em: Botânica ou Ciências Ambientais" and got[1]["doctorate_requirement_raw"] is None
+
+
+def test_profile_rows_over_pages(spark):
+    top = "\n".join([
+        " " * 98 + "QUANT.",
+        "Nº    DEP. OU UNID.            ÁREA DE                     PERFIL DO CANDIDATO*                      DE",
+        " " * 46 + "GRADUAÇÃO EM LICENCIATURA EM",
+        "     DEPARTAMENTO               TÓPICOS               PEDAGOGIA COM DOUTORADO EM",
+        "01    DE EDUCAÇÃO           ESPECÍFICOS DE        EDUCAÇÃO OU SOCIOLOGIA                              01",
+        "        (DED/SEDE)            EDUCAÇÃO",
+        " " * 46 + "GRADUAÇÃO EM AGRONOMIA OU",
+    ])
+    bottom = "\n".join([
+        "     DEPARTAMENTO             PLANTAS              ENGENHARIA AGRONÔMICA COM",
+        "02   DE AGRONOMIA         ALIMENTÍCIAS           DOUTORADO EM PRODUÇÃO VEGETAL                       01",
+        "      (DEPA/SEDE)",
+        "*Exigência de comprovação.",
+        " " * 46 + "GRADUAÇÃO EM NADA",
+    ])
+    df = spark.createDataFrame([(1, 4, top), (1, 5, bottom), (2, 1, "x"), (3, 1, None)], "d int, page int, t string")
+    got = [r.asDict() for r in extractors.profile_rows(df, "d", "page", "t").orderBy("reference").collect()]
+    assert [(r["page"], r["reference"], r["area"]) for r in got] == [(4, "1", "TÓPICOS ESPECÍFICOS DE EDUCAÇÃO"), (4, "2", "PLANTAS ALIMENTÍCIAS")]
+    assert got[0]["department"] == "DEPARTAMENTO DE EDUCAÇÃO (DED/SEDE)" and got[0]["graduation_requirement_raw"] == "GRADUAÇÃO EM LICENCIATURA EM PEDAGOGIA"
+    assert got[0]["postgraduate_requirement_raw"] == "DOUTORADO EM EDUCAÇÃO OU SOCIOLOGIA" and got[1]["doctorate_requirement_raw"] == "DOUTORADO EM PRODUÇÃO VEGETAL"
+
+
+def test_labelled_cards(spark):
+    card = '<div class="i"><div><p><span>{}</span></p><div>Observações: sim</div><div>{}{}</div><div><b>Remuneração:</b> R$ 1</div></div></div>'
+    html = "<html><head><title>Edital EBTT</title></head><body><div>" + card.format("Direito / Processo", "<div>Requisitos:</div>", "Graduação em Direito (Bacharelado)")
+    html += card.format("Letras", "<strong>Requisitos:</strong>", "Licenciatura em Letras e mestrado. Jornada: 40h") + "</div></body></html>"
+    prose = "<html><body><p>docente</p><article><h2>Acesso</h2><p><strong>Requisitos:</strong> documento.</p></article></body></html>"
+    df = spark.createDataFrame([(1, html), (2, prose), (3, html.replace("EBTT", "x")), (4, None)], "d int, h string")
+    got = [(r.d, r.area, r.requirement_text, r.graduation_requirement_raw, r.masters_requirement_raw) for r in pages.labelled_cards(df, "d", "h").orderBy("position").collect()]
+    assert got == [
+        (1, "Direito / Processo", "Graduação em Direito (Bacharelado)", "Graduação em Direito (Bacharelado)", None),
+        (1, "Letras", "Licenciatura em Letras e mestrado", "Licenciatura em Letras", "mestrado"),
+    ]
+
+
+def test_requirement_levels(spark):
+    said = [
+        "Graduação em Medicina; ▪ Residência reconhecida pelo MEC nas áreas de Clínica Médica ou Cardiologia; e ▪ Registro no CRM",
+        "Graduacao em Agronomia com pos-graduacao em Ciencias Agrarias.",
+        "Mestrado e Doutorado em Música ou áreas correlatas",
+        "Titulo de Doutor em Administracao",
+        "nada", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "k int, t string")
+    got = [tuple(r)[2:] for r in requirements.with_levels(df, "t").orderBy("k").collect()]
+    assert got[0] == ("Graduação em Medicina", "Residência reconhecida pelo MEC nas áreas de Clínica Médica ou Cardiologia", None, None)
+    assert got[1] == ("Graduacao em Agronomia", "pos-graduacao em Ciencias Agrarias", None, None)
+    both = "Mestrado e Doutorado em Música ou áreas correlatas"
+    assert got[2] == (None, both, both, both) and got[3][3] == "Titulo de Doutor em Administracao" and got[4] == got[5] == (None,) * 4
+
+
 LISTING = """<div class="na"><div class="ca"><a href="/noticias/x-1?y=2" title="UFX - Universidade">UFX</a><div class="cc">PR</div>
 <div class="cd">2 vagas até R$ 10.000,00<br>Professor Adjunto<br>Superior</div><div class="ce">até <span>15/09/2026</span></div></div></div>
 <div class="na"><div class="ca"><a href="/noticias/x-1/">Later</a></div></div><div class="ca"><a href="/other">no</a></div>"""
