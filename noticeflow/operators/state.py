@@ -28,7 +28,7 @@ def snapshot_diff(cards: DataFrame, seen: DataFrame, key: str = "source_url", pr
     before = seen.select(F.col(key), F.col(print_col).alias("nf_before"), F.lit(True).alias("nf_seen"))
     changed = F.col("nf_before").isNotNull() & (F.col("nf_before") != "") & ~F.col("nf_before").eqNullSafe(F.col(print_col))
     return (
-        cards.join(before, key, "left")
+        cards.join(before.hint("merge"), key, "left")
         .withColumns({"is_known": F.coalesce("nf_seen", F.lit(False)), "fingerprint_changed": F.coalesce(changed, F.lit(False))})
         .drop("nf_before", "nf_seen")
     )
@@ -37,7 +37,7 @@ def snapshot_diff(cards: DataFrame, seen: DataFrame, key: str = "source_url", pr
 def refreshed_seen(cards: DataFrame, seen: DataFrame, as_of: Column, carried: Sequence[str], key: str = "source_url") -> DataFrame:
     """The seen index after a snapshot: first_seen stays, last_seen and carried columns come from the cards."""
     now = cards.select(key, F.lit(True).alias("nf_now"), *[F.col(c).alias(f"nf_{c}") for c in carried])
-    joined = seen.join(now, key, "full")
+    joined = seen.join(now.hint("merge"), key, "full")
     here = F.coalesce("nf_now", F.lit(False))
     return joined.select(
         key,
@@ -58,7 +58,7 @@ def upsert(previous: DataFrame, listing: DataFrame, detail: DataFrame, as_of: Co
     for tag, side in (("p", previous), ("l", listing), ("d", detail)):
         columns = [F.col(c).alias(f"{tag}_{c}") for c in side.columns if c != key]
         sides.append(side.select(F.col(key), F.lit(True).alias(f"{tag}_here"), *columns))
-    joined = sides[0].join(sides[1], key, "full").join(sides[2], key, "full")
+    joined = sides[0].join(sides[1].hint("merge"), key, "full").join(sides[2].hint("merge"), key, "full")
 
     def pick(name: str) -> Column:
         out = F.col(f"p_{name}") if name in previous.columns else F.lit(None)
@@ -110,7 +110,7 @@ def aged(notices: DataFrame, as_of: Column) -> DataFrame:
 def carried_status(seen: DataFrame, notices: DataFrame, key: str = "source_url") -> DataFrame:
     """The seen index with the notices' status."""
     now = notices.select(key, F.col("status").alias("nf_status"))
-    return seen.join(now, key, "left").withColumn("status", F.coalesce("nf_status", "status")).drop("nf_status")
+    return seen.join(now.hint("merge"), key, "left").withColumn("status", F.coalesce("nf_status", "status")).drop("nf_status")
 
 
 def recheck_due(state: Column, checked: Column, end: Column, as_of: Column) -> Column:
@@ -138,7 +138,7 @@ def due_notices(notices: DataFrame, results: DataFrame, as_of: Column, key: str
     due = document_due(
         F.coalesce("nf_known", F.lit(False)), F.col("nf_status"), F.col("nf_checked"), F.col("nf_version"), F.col("nf_truncated"), as_of
     )
-    return notices.join(cache, key, "left").filter((F.col("status") != "CLOSED") & due).drop("nf_known", "nf_status", "nf_checked", "nf_version", "nf_truncated")
+    return notices.join(cache.hint("merge"), key, "left").filter((F.col("status") != "CLOSED") & due).drop("nf_known", "nf_status", "nf_checked", "nf_version", "nf_truncated")
 
 
 def work_queue(due: DataFrame, key: str = "source_url", limit: int | None = None) -> DataFrame:

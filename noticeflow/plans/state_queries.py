@@ -12,7 +12,7 @@ from noticeflow.plans.tables import day, joined, table
 AS_OF = "1998-06-01"
 
 
-def _listing(spark: SparkSession, sf: str, which: int) -> DataFrame:
+def listing(spark: SparkSession, sf: str, which: int) -> DataFrame:
     """Orders as the cards of one snapshot: every tenth is missing in each, and some have changed in the later one."""
     o = table(spark, sf, "orders").filter(F.col("o_orderkey") % 10 != which)
     late = (F.col("o_orderkey") % 7 == 0) & F.lit(which == 1)
@@ -30,43 +30,43 @@ _LISTING = """{name} AS (
          CASE WHEN {late} AND o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate::DATE END AS registration_end,
          o_orderpriority || '|' || CASE WHEN {late} THEN 'b' ELSE 'a' END AS listing_fingerprint
   FROM orders WHERE o_orderkey % 10 <> {which})"""
-_BEFORE = _LISTING.format(name="before", late="false", which=0)
-_NOW = _LISTING.format(name="now_", late="o_orderkey % 7 = 0", which=1)
+BEFORE = _LISTING.format(name="before", late="false", which=0)
+NOW = _LISTING.format(name="now_", late="o_orderkey % 7 = 0", which=1)
 
 
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return state.snapshot_diff(state.guarded(_listing(spark, sf, 1)), _listing(spark, sf, 0)).select(
+    return state.snapshot_diff(state.guarded(listing(spark, sf, 1)), listing(spark, sf, 0)).select(
         "source_url", "is_known", "fingerprint_changed"
     )
 
 
-SNAPSHOT_DIFF = f"""WITH {_BEFORE}, {_NOW}
+SNAPSHOT_DIFF = f"""WITH {BEFORE}, {NOW}
 SELECT n.source_url, b.source_url IS NOT NULL AS is_known,
        b.source_url IS NOT NULL AND b.listing_fingerprint <> n.listing_fingerprint AS fingerprint_changed
 FROM now_ n LEFT JOIN before b USING (source_url)"""
 
 
 def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return state.run_metrics(state.snapshot_diff(_listing(spark, sf, 1), _listing(spark, sf, 0)))
+    return state.run_metrics(state.snapshot_diff(listing(spark, sf, 1), listing(spark, sf, 0)))
 
 
-RUN_METRICS = f"""WITH {_BEFORE}, {_NOW}
+RUN_METRICS = f"""WITH {BEFORE}, {NOW}
 SELECT count(*) AS discovered, count(b.source_url) AS known, count(*) - count(b.source_url) AS "new",
        count(*) FILTER (WHERE b.listing_fingerprint <> n.listing_fingerprint) AS changed_listings
 FROM now_ n LEFT JOIN before b USING (source_url)"""
 
 
 def _upserted(spark: SparkSession, sf: str) -> DataFrame:
-    previous = _listing(spark, sf, 0).withColumns({"first_seen": F.lit("1998-01-01").cast("date"), "last_seen": F.lit("1998-01-01").cast("date")})
-    details = _listing(spark, sf, 1).filter(F.col("source_url") % 3 == 0).select("source_url", F.upper("title").alias("title"), "registration_end")
-    return state.upsert(previous, _listing(spark, sf, 1), details, F.lit(AS_OF).cast("date"))
+    previous = listing(spark, sf, 0).withColumns({"first_seen": F.lit("1998-01-01").cast("date"), "last_seen": F.lit("1998-01-01").cast("date")})
+    details = listing(spark, sf, 1).filter(F.col("source_url") % 3 == 0).select("source_url", F.upper("title").alias("title"), "registration_end")
+    return state.upsert(previous, listing(spark, sf, 1), details, F.lit(AS_OF).cast("date"))
 
 
 def state_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return _upserted(spark, sf).select("source_url", "title", "registration_end", "listing_fingerprint", "first_seen", "last_seen", "was_known")
 
 
-STATE_UPSERT = f"""WITH {_BEFORE}, {_NOW}
+STATE_UPSERT = f"""WITH {BEFORE}, {NOW}
 SELECT coalesce(n.source_url, b.source_url) AS source_url,
        CASE WHEN n.source_url % 3 = 0 THEN upper(n.title) WHEN n.source_url IS NOT NULL THEN n.title ELSE b.title END AS title,
        CASE WHEN n.source_url IS NOT NULL THEN n.registration_end ELSE b.registration_end END AS registration_end,
@@ -78,7 +78,7 @@ FROM before b FULL JOIN now_ n USING (source_url)"""
 
 
 def change_labels(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = _listing(spark, sf, 0), _listing(spark, sf, 1)
+    old, new = listing(spark, sf, 0), listing(spark, sf, 1)
     fields = ("title", "registration_end")
     both = old.select("source_url", *[F.col(c).alias(f"old_{c}") for c in (*fields, "listing_fingerprint")]).join(new, "source_url")
     before = {c: F.col(f"old_{c}") for c in fields} | {"content_hash": F.col("old_listing_fingerprint")}
@@ -87,7 +87,7 @@ def change_labels(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("source_url", F.array_join(found, "; ").alias("changes")).filter("changes <> ''")
 
 
-CHANGE_LABELS = f"""WITH {_BEFORE}, {_NOW}, found AS (
+CHANGE_LABELS = f"""WITH {BEFORE}, {NOW}, found AS (
   SELECT n.source_url, concat_ws('; ', CASE WHEN n.title IS DISTINCT FROM b.title THEN 'título alterado' END,
          CASE WHEN n.registration_end IS DISTINCT FROM b.registration_end THEN 'prazo alterado' END) AS changes,
          n.listing_fingerprint <> b.listing_fingerprint AS content

@@ -12,7 +12,7 @@ from noticeflow import policy
 from noticeflow.functions import dates as windows
 from noticeflow.functions import text, urls
 from noticeflow.operators import linkage, segments, state
-from noticeflow.plans.state_queries import AS_OF, SEEN_INDEX
+from noticeflow.plans.state_queries import AS_OF, BEFORE, NOW, SEEN_INDEX, listing
 from noticeflow.plans.tables import day, joined, table
 from noticeflow.sources import pages, state_store
 from noticeflow.streaming import incremental
@@ -321,6 +321,36 @@ def incremental_state(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", F.to_date("first_ts").alias("first_seen"), F.to_date("last_ts").alias("last_seen"), "n_seen", "status")
 
 
+NEXT_DAY = "1998-06-10"
+
+
+def incremental_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Two daily snapshots of orders that arrive one after the other, each brought into the state by a run of its own."""
+    root = _shared(spark)
+    details = lambda due: due.filter(F.col("source_url") % 3 == 0).select("source_url", F.upper("title").alias("title"), "registration_end")
+    for which, as_of in enumerate((AS_OF, NEXT_DAY)):
+        cards = listing(spark, sf, which).withColumn("seen_on", F.lit(as_of).cast("date"))
+        cards.write.mode("append").parquet(f"{root}/arrivals")
+        found = incremental.run_snapshots(spark, f"{root}/arrivals", f"{root}/state", cards.schema, details)
+    listed = found["seen"].select("source_url", F.col("last_seen").alias("listed_on"), F.col("status").alias("seen_status"))
+    return found["notices"].join(listed.hint("merge"), "source_url").select(
+        "source_url", "title", "registration_end", "first_seen", "last_seen", "updated_at", "status", "listed_on", "seen_status"
+    )
+
+
+INCREMENTAL_RUN = f"""WITH {BEFORE}, {NOW}, c AS (
+  SELECT coalesce(n.source_url, b.source_url) AS k, b.source_url IS NOT NULL AS known, n.source_url IS NOT NULL AS listed, b.title AS bt, n.title AS nt,
+    b.registration_end AS be, n.registration_end AS ne, b.listing_fingerprint IS DISTINCT FROM n.listing_fingerprint AS differs,
+    DATE '{AS_OF}' AS a, DATE '{NEXT_DAY}' AS d FROM before b FULL JOIN now_ n USING (source_url)),
+r AS (SELECT *, listed AND (NOT known OR differs OR (NOT coalesce(be < a, false)
+    AND d - a >= CASE WHEN ne - d BETWEEN 0 AND {policy.RECHECK_CLOSING_DAYS} THEN 1 ELSE {policy.RECHECK_DAYS} END)) AS due FROM c),
+m AS (SELECT *, CASE WHEN due THEN nt ELSE bt END AS t, CASE WHEN due THEN ne ELSE be END AS e, CASE WHEN known AND due AND differs THEN d END AS u FROM r),
+s AS (SELECT *, CASE WHEN e < d THEN 'CLOSED' WHEN u IS NOT NULL THEN 'UPDATED' WHEN NOT known THEN 'NEW'
+    WHEN e - d BETWEEN 0 AND {policy.CLOSING_DAYS} THEN 'CLOSING_SOON' WHEN e IS NOT NULL THEN 'OPEN' ELSE 'UNCERTAIN' END AS status FROM m)
+SELECT k AS source_url, CASE WHEN k % 3 = 0 THEN upper(t) ELSE t END AS title, e AS registration_end, CASE WHEN known THEN a ELSE d END AS first_seen,
+  CASE WHEN due THEN d ELSE a END AS last_seen, u AS updated_at, status, CASE WHEN listed THEN d ELSE a END AS listed_on, status AS seen_status FROM s"""
+
+
 def card_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Orders rendered as a listing's cards, one listing for each customer, and read back."""
     d = day("o_orderdate")
@@ -417,6 +447,7 @@ QUERIES = {
     "best_first_links": (best_first_links, None),
     "state_roundtrip": (state_roundtrip, STATE_ROUNDTRIP),
     "incremental_state": (incremental_state, SEEN_INDEX),
+    "incremental_run": (incremental_run, INCREMENTAL_RUN),
     "card_ingest": (card_ingest, CARD_INGEST),
     "html_table_rows": (html_table_rows, HTML_TABLE_ROWS),
     "area_blocks": (area_blocks, AREA_BLOCKS),

@@ -22,6 +22,7 @@ from noticeflow.operators.requirements import NAMES as DEGREE_NAMES
 HIDDEN = frozenset(("script", "style", "noscript", "nav", "footer"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MOST_TEXT, LEAST_TEXT = 2_000_000, 5000
+HEADER_ROWS = 5
 CAPTCHA = r"(?i)captcha|recaptcha|hcaptcha"
 
 
@@ -209,20 +210,37 @@ def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return found.withColumn("text", spaced(F.col("text")))
 
 
-def table_records(cell_rows: DataFrame, key: str, roles: dict[str, str]) -> DataFrame:
-    """Records of tables whose header names all roles: a column for each role.
+def table_records(cell_rows: DataFrame, key: str, roles: dict[str, str], by_content: dict[str, str] | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
+    """(key, table, row, a column for each role) of tables with a row among their first that names all roles.
 
-    ``roles`` has a pattern for the normalised header of each; a table without one of them yields nothing.
+    ``roles`` has a pattern for the heading of each; a table without one of them yields nothing. Rows above the
+    header aren't records. A row with fewer cells than the header has lost some, so a role of ``by_content`` is its
+    first cell that matches the role's pattern there; other roles keep their column. Rows in which no role has a
+    cell are left out, and so are tables whose cells are all null.
     """
-    heads = cell_rows.filter("row = 0")
-    role = F.lit(None).cast("string")
-    for name, pattern in reversed(roles.items()):
-        role = F.when(F.lower("text").rlike(pattern), name).otherwise(role)
-    named = heads.withColumn("role", role).filter(F.col("role").isNotNull()).groupBy(key, "table", "role").agg(F.min("column").alias("column"))
-    whole = named.groupBy(key, "table").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(roles)).select(key, "table")
-    named = named.join(whole.hint("merge"), [key, "table"])
-    body = cell_rows.filter("row > 0").join(named.hint("merge"), [key, "table", "column"])
-    return body.groupBy(key, "table", "row").agg(*[F.max(F.when(F.col("role") == r, F.col("text"))).alias(r) for r in roles])
+    by_content = by_content or {}
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("column", F.coalesce("text", F.lit("")).alias("text")))), lambda c: c["text"])
+    rows = cell_rows.groupBy(key, "table", "row").agg(texts.alias("nf_texts"))
+
+    def place(pattern: str) -> Column:
+        """The first cell that matches, counted from 1; 0 where none does."""
+        return F.array_position(F.transform("nf_texts", lambda t: F.lower(t).rlike(pattern)), True).cast("int")
+
+    named = rows.filter(F.col("row") < header_rows).select(key, "table", "row", F.size("nf_texts").alias("width"), F.struct(*[place(p).alias(r) for r, p in roles.items()]).alias("at"))
+    for r in roles:
+        named = named.filter(F.col("at")[r] > 0)
+    heads = named.groupBy(key, "table").agg(F.min_by(F.struct("row", "width", "at"), "row").alias("nf_head"))
+    body = rows.join(heads.hint("merge"), [key, "table"]).filter(F.col("row") > F.col("nf_head.row"))
+
+    def value(role: str) -> Column:
+        own = F.get("nf_texts", F.col("nf_head.at")[role] - 1)
+        if role not in by_content:
+            return own
+        found = F.get(F.filter("nf_texts", lambda t: F.lower(t).rlike(by_content[role])), F.lit(0))
+        return F.when(F.size("nf_texts") < F.col("nf_head.width"), found).otherwise(own)
+
+    records = body.select(key, "table", "row", *[value(r).alias(r) for r in roles])
+    return records.filter(F.coalesce(*[F.col(r) for r in roles]).isNotNull())
 
 
 def cards(pages: DataFrame, key: str, html: str, base: Column, as_of: Column) -> DataFrame:

@@ -474,3 +474,48 @@ def test_stream_equals_batch_and_can_run_again(spark, tmp_path):
     assert sorted(got) == sorted(incremental.summed(df).collect())
     again = incremental.run(spark, f"{tmp_path}/in", f"{tmp_path}/state", df.schema).collect()
     assert sorted(again) == sorted(got)
+
+
+def test_snapshots_in_runs_equal_the_batch(spark, tmp_path):
+    day = dt.date(2026, 8, 1)
+    schema = "source_url string, title string, registration_end date, listing_fingerprint string, seen_on date"
+    first = [("a", "A", day, "1", day), ("b", "B", None, "1", day), ("c", "C", dt.date(2026, 7, 1), "1", day), (None, "x", day, "1", day)]
+    later = day + dt.timedelta(days=1)
+    second = [("a", "A", day, "1", later), ("b", "B2", None, "2", later), ("d", "D", dt.date(2026, 9, 30), "1", later), ("d", "D", dt.date(2026, 9, 30), "0", later)]
+    empty = [("e", "E", day, "1", None)]
+    details = lambda due: due.filter("source_url = 'b'").select("source_url", F.lower("title").alias("title"))
+    root, source = str(tmp_path / "state"), str(tmp_path / "in")
+    frames = [spark.createDataFrame(rows, schema) for rows in (first, second)]
+    shape = frames[0].schema
+    for df in frames:
+        df.write.mode("append").parquet(source)
+        found = incremental.run_snapshots(spark, source, root, shape, details)
+    got = {n: sorted(t.collect(), key=str) for n, t in found.items()}
+    tables = {n: spark.createDataFrame([], s) for n, s in incremental.state_schemas(shape).items()}
+    for df, as_of_day in zip(frames, (day, later), strict=True):
+        tables = incremental.stepped(df, tables, as_of_day, details)
+    assert got == {n: sorted(t.collect(), key=str) for n, t in tables.items()}
+    rows = {r.source_url: r for r in got["notices"]}
+    assert {k: (r.title, r.status) for k, r in rows.items()} == {"a": ("A", "CLOSED"), "b": ("b2", "UPDATED"), "c": ("C", "CLOSED"), "d": ("D", "NEW")}
+    assert (rows["b"].first_seen, rows["b"].updated_at, rows["c"].last_seen, rows["d"].first_seen) == (day, later, day, later)
+    assert [(r.source_url, r.last_seen, r.status) for r in got["seen"]] == [("a", later, "CLOSED"), ("b", later, "UPDATED"), ("c", day, "CLOSED"), ("d", later, "NEW")]
+    again = incremental.run_snapshots(spark, source, root, shape, details)
+    assert got == {n: sorted(t.collect(), key=str) for n, t in again.items()} and state_store.newest(spark, root) == 2
+    both = incremental.run_snapshots(spark, source, str(tmp_path / "other"), shape, details)
+    assert got == {n: sorted(t.collect(), key=str) for n, t in both.items()}
+    spark.createDataFrame(empty, schema).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="no row"):
+        incremental.run_snapshots(spark, source, root, shape, details)
+    assert state_store.newest(spark, root) == 2
+
+
+def test_table_header_below_and_short_rows(spark):
+    head = "<tr><td>Quadro de vagas</td></tr><tr><th>Cargo<th>Área<th>Campus<th>Requisitos</tr>"
+    body = "<tr><td>Professor<td>Física<td>Sul<td>Doutorado em Física</tr><tr><td>Professor<td>Química<td>Mestrado em Química</tr><tr><td></tr>"
+    late = "<table>" + "<tr><td>x</td></tr>" * 5 + "<tr><th>Área<th>Requisitos</tr><tr><td>a<td>b</tr></table>"
+    df = spark.createDataFrame([(1, f"<table>{head}{body}</table>{late}"), (2, None), (3, "")], "page_id int, html string")
+    roles = {"area": "área", "campus": "campus", "requirement": "requisito"}
+    found = pages.table_records(pages.cells(df, "page_id", "html"), "page_id", roles, {"requirement": "mestrado|doutorado", "campus": "^sul$"})
+    assert [tuple(r) for r in found.orderBy("row").collect()] == [(1, 0, 2, "Física", "Sul", "Doutorado em Física"), (1, 0, 3, "Química", None, "Mestrado em Química")]
+    plain = pages.table_records(pages.cells(df, "page_id", "html"), "page_id", {"area": "área"}).orderBy("row").collect()
+    assert [(r.row, r.area) for r in plain] == [(2, "Física"), (3, "Química")]
