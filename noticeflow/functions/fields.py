@@ -1,56 +1,75 @@
-"""Fields that a notice's prose names: area, subarea and position, found by token classes."""
+"""Fields that a notice's prose names: area, subarea and position, from a leading word to the first ending one."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import normalised, spaced
-from noticeflow.functions.tokens import classes, plain, shown, tokens
-
-#: Words that lead to an area, a subarea and a position, by class.
-WORDS = {
-    "A": "area",
-    "S": "subarea",
-    "X": "disciplina departamento",
-    "d": "de e do",
-    "n": "na",
-    "r": "professor professora",
-    "q": "substituto titular adjunto assistente doutor",
-    "m": "magisterio",
-    "u": "superior",
-}
+from noticeflow.functions.phrases import mapped, words
+from noticeflow.functions.text import spaced
+
 #: Words that name no area, and what stands where a text names none.
 NO_AREA = ("atuacao", "especifica", "conhecimento", "conhecimentos")
 UNKNOWN_AREA = "Não identificada"
-#: What leads to an area, the innermost one of a clause; where its name ends; and the characters that it may have.
-LEADS = (("Ad?(?:[^.;()]*nAd)?", r"(?=,S|[.;(]|$)", 3, 120), ("Xd?", r"(?=[.;(]|$)", 3, 100))
-SUBAREA = ("Sd?", r"(?=[.;(]|$)", 2, 80)
+#: Words that lead to an area, in order, with the most characters that its name may have, and to a subarea.
+AREA_WORDS, SUBAREA_WORDS = ((("area",), 120), (("disciplina", "departamento"), 100)), (("subarea",), 80)
+LEAST_AREA, LEAST_SUBAREA = 3, 2
+#: Words between a leading word and a name; what ends one; roles and what may follow them.
+LINKS, ENDS = ("de", "e", "do"), (".", ";", "(", ")")
+ROLES, TITLES = ("professor", "professora"), ("substituto", "titular", "adjunto", "assistente", "doutor")
+
+
+def _named(text: str, leads: Sequence[str], least: int, most: int, inner: bool) -> str | None:
+    """The name behind the first of some leading words; with ``inner``, behind the last "na área de" before its end."""
+    found = words(text)
+    said = [w.said for w in found]
+    for i, w in enumerate(said):
+        if w not in leads:
+            continue
+        end = next((j for j in range(i + 1, len(said)) if said[j] in ENDS), len(said))
+        if inner:
+            end = next((j for j in range(i + 1, end) if said[j : j + 2] == [",", "subarea"]), end)
+        begin = i + 1 + (i + 1 < end and said[i + 1] in LINKS)
+        if inner:
+            begin = max([begin, *[j + 3 for j in range(i + 1, end - 3) if said[j : j + 2] == ["na", "area"] and said[j + 2] in LINKS]])
+        if begin < end:
+            name = " ".join(text[found[begin].begin : found[end - 1].end].split())
+            return name if least <= len(name) <= most else None
+    return None
+
+
+def area_of(text: str) -> str:
+    for k, (leads, most) in enumerate(AREA_WORDS):
+        name = _named(text, leads, LEAST_AREA, most, inner=k == 0)
+        if name is not None and " ".join(w.said for w in words(name)) not in NO_AREA:
+            return name
+    return UNKNOWN_AREA
 
 
-def _named(c: Column, lead: str, end: str, least: int, most: int) -> Column:
-    """The text between what leads to a name and where it ends; null if there is none or it is too long."""
-    t = tokens(c)
-    cls = classes(t, plain(t), WORDS)
-    pattern = f"^(.*?{lead})([^.;()]+?){end}"
-    text = shown(t, F.length(F.regexp_extract(cls, pattern, 1)), F.length(F.regexp_extract(cls, pattern, 2)))
-    return F.when(cls.rlike(pattern) & F.length(text).between(least, most), spaced(text))
+def position_of(text: str) -> str | None:
+    """The first teaching position, with its title."""
+    found = words(text)
+    said = [w.said for w in found]
+    for i, w in enumerate(said):
+        if w in ROLES:
+            magisterium = said[i + 1 : i + 2] != [] and said[i + 1] in LINKS and said[i + 2 : i + 4] == ["magisterio", "superior"]
+            last = i + 3 if magisterium else i + 1 if i + 1 < len(said) and said[i + 1] in TITLES else i
+            return " ".join(text[found[i].begin : found[last].end].split())
+    return None
 
 
 def area(c: Column) -> Column:
     """The area that a text names, the innermost of nested ones; a fixed word if it names none."""
-    own = [_named(c, *lead) for lead in LEADS]
-    return F.coalesce(*[F.when(~normalised(x).isin(*NO_AREA), x) for x in own], F.lit(UNKNOWN_AREA))
+    return mapped(area_of, "string", F.coalesce(c, F.lit("")))
 
 
 def subarea(c: Column) -> Column:
-    return _named(c, *SUBAREA)
+    leads, most = SUBAREA_WORDS
+    return mapped(lambda t: _named(t, leads, LEAST_SUBAREA, most, inner=False), "string", c)
 
 
 def position(c: Column, fallback: Column) -> Column:
     """The first teaching position that a text names, with its title."""
-    t = tokens(c)
-    cls = classes(t, plain(t), WORDS)
-    pattern = "^(.*?)(r(?:q|dmu)?)"
-    found = shown(t, F.length(F.regexp_extract(cls, pattern, 1)), F.length(F.regexp_extract(cls, pattern, 2)))
-    return F.coalesce(F.nullif(spaced(found), F.lit("")), fallback)
+    return F.coalesce(F.nullif(spaced(mapped(position_of, "string", c)), F.lit("")), fallback)

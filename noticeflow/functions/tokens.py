@@ -1,14 +1,10 @@
 """Texts as arrays of tokens, and as strings of one class letter for each token.
 
-Word tables give each word its class; grammars are then short patterns over class letters, and what they
-match is counted in tokens, so that the text as written can be cut at the same places.
+Word tables give each word its class; grammars are then short patterns over class letters.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +26,6 @@ def plain(found: Column) -> Column:
     return F.transform(found, lambda t: F.lower(F.translate(F.trim(t), one, bare)))
 
 
-def marked(found: Column, words: Column) -> Column:
-    """Words between single spaces, those that are written with a capital after a ^."""
-    both = F.zip_with(found, words, lambda t, w: F.concat(F.when(F.trim(t).rlike(r"^\p{Lu}"), F.lit("^")).otherwise(""), w))
-    return F.concat(F.lit(" "), F.array_join(both, " "), F.lit(" "))
-
-
 def classes(found: Column, words: Column, table: dict[str, str]) -> Column:
     """One letter for each token: that of its word in the table, else of its shape, else o, or O with a capital.
 
@@ -52,32 +42,3 @@ def classes(found: Column, words: Column, table: dict[str, str]) -> Column:
         return F.coalesce(F.try_element_at(known, w), shape)
 
     return F.array_join(F.zip_with(found, words, of), "")
-
-
-def matched(cls: Column, grammar: str) -> Column:
-    """How many tokens a grammar matches at the beginning."""
-    return F.length(F.regexp_extract(cls, f"^(?:{grammar})", 0))
-
-
-def shown(found: Column, begin: Column | int, size: Column | None = None) -> Column:
-    """The text of some tokens, ``begin`` counted from 0, to the end if no size is given."""
-    begin = F.lit(begin) if isinstance(begin, int) else begin
-    return F.trim(F.array_join(F.slice(found, begin + 1, F.greatest(F.lit(0), F.size(found) - begin) if size is None else size), ""))
-
-
-def cut(found: Column, pieces: Column) -> Column:
-    """The texts of consecutive pieces of a class string."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def take(done: Column, piece: Column) -> Column:
-        text = F.array_join(F.slice(found, done["at"] + 1, F.length(piece)), "")
-        return F.struct((done["at"] + F.length(piece)).alias("at"), F.concat(done["out"], F.array(text)).alias("out"))
-
-    return F.aggregate(pieces, start, take, lambda d: d["out"])
-
-
-def either(phrases: Iterable[str]) -> str:
-    """A pattern of phrases in a marked text; capitals make no difference but where a phrase asks for one with a ^."""
-    own = sorted(phrases, key=len, reverse=True)
-    word = lambda w: r"\^" + re.escape(w[1:]) if w[0] == "^" else r"\^?" + re.escape(w)
-    return "(?:" + "|".join(" ".join(map(word, p.split())) for p in own) + ")"

@@ -53,21 +53,96 @@ def id_matches(notices: DataFrame, documents: DataFrame, notice_key: str, docume
     return a.join(b.hint("merge"), "number").distinct()
 
 
-def relevance(own: Column, named: Column, area_exact: Column, area_tokens: Column, institution: Column, title_tokens: Column, selects: Column, teaches: Column) -> tuple[Column, Column]:
+#: What speaks of a selection and of teaching, and words of institutions' names that tell none from another.
+SELECTION_WORDS = ("edital", "concurso publico", "concurso", "processo seletivo", "selecao publica", "teste seletivo", "chamada publica")
+TEACHING_WORDS = ("professor", "professora", "docente", "magisterio", "regente de classe", "ebtt")
+INSTITUTION_WORDS = (
+    "prefeitura", "municipal", "municipio", "estado", "estadual", "federal", "secretaria", "educacao", "camara", "instituto", "fundacao",
+)
+#: A number with its year, and what stands in front of one in prose.
+_LOOSE = r"(\d{1,5}\s*[/.-]\s*\d{2,4})"
+_IN_PROSE = r"(?iU)(?:edital|concurso)\s*(?:n(?:o|º|°)?\.?\s*)?(\d{1,5}(?:\s*[/.-]\s*\d{2,4})?)"
+LEAST_AREA = 6
+
+
+def _number(mention: Column) -> Column:
+    """n/yy of a number as written: no leading zeros, the last two digits of the year."""
+    serial = F.regexp_extract(mention, r"^(\d+)", 1).cast("int").cast("string")
+    return F.concat_ws("/", serial, F.regexp_extract(mention, r"(\d{2})$", 1))
+
+
+def loose_numbers(text: Column) -> Column:
+    """All numbers n/yy that stand in a text, dates and the like among them."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_LOOSE), F.lit(1)), _number))
+
+
+def notice_year(dates: Sequence[Column]) -> Column:
+    """The year, as text, of the first of some dates that begins with one of this century; null if none does."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(d.cast("string"), r"^(20\d{2})", 1), F.lit("")) for d in dates])
+
+
+def _serial(label: Column) -> Column:
+    """The last number of a label that is no year; null if there is none."""
+    found = F.transform(F.regexp_extract_all(label, F.lit(r"(?U)\b(\d{1,5})\b"), F.lit(1)), lambda x: x.cast("int"))
+    own = F.filter(found, lambda x: ~x.between(1900, 2100))
+    return F.when(F.size(own) > 0, F.element_at(own, -1)).cast("string")
+
+
+def known_numbers(labels: Column, prose: Column, year: Column) -> Column:
+    """Numbers n/yy that a notice is known by: those in its documents' labels, then those its prose names as an announcement's.
+
+    A label without a year gives its last serial the notice's year, where there is one.
+    """
+    with_year = F.flatten(F.transform(labels, loose_numbers))
+    bare = F.filter(labels, lambda x: ~x.rlike(_LOOSE))
+    inferred = F.array_compact(F.transform(bare, lambda x: F.concat(_serial(x), F.lit("/"), F.substring(year, -2, 2))))
+    named = F.flatten(F.transform(F.regexp_extract_all(prose, F.lit(_IN_PROSE), F.lit(1)), lambda x: F.slice(loose_numbers(x), 1, 1)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (with_year, inferred, named)]))
+
+
+def displayed_numbers(labels: Column, prose: Column, year: Column) -> Column:
+    """The same for readers, as written and with whole years, sorted: of the labels, or else of the prose, or else a bare serial."""
+
+    def shown(mentions: Column) -> Column:
+        whole = F.transform(
+            mentions,
+            lambda m: F.struct(
+                _number(m).alias("key"),
+                F.concat(
+                    F.regexp_extract(m, r"^(\d+)", 1), F.lit("/"), F.when(m.rlike(r"(?<!\d)\d{4}$"), "").otherwise("20"), F.regexp_extract(m, r"(\d+)$", 1)
+                ).alias("text"),
+            ),
+        )
+        first = F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, 1, i), lambda y: y["key"] == x["key"]))
+        return F.array_sort(F.transform(first, lambda x: x["text"]))
+
+    joined = F.array_join(F.coalesce(labels, F.array().cast("array<string>")), " ")
+    source = F.when(joined != "", joined).otherwise(F.coalesce(prose, F.lit("")))
+    found = shown(F.regexp_extract_all(source, F.lit(_LOOSE), F.lit(1)))
+    serial = F.concat(_serial(joined), F.lit("/"), year)
+    return F.when(F.size(found) > 0, found).when(serial.isNotNull(), F.array(serial)).otherwise(F.array().cast("array<string>"))
+
+
+def relevance(
+    own: Column, named: Column, area_known: Column, area_exact: Column, area_common: Column, area_words: Column, institution: Column, title_words: Column, selects: Column, teaches: Column
+) -> tuple[Column, Column]:
     """Whether a document is a notice's, and why.
 
-    It must speak of a selection and of teaching. A shared number decides; a notice with a number that the
-    document doesn't name is another one's; else the area, the institution or two words of the title do.
+    It must speak of a selection and of teaching. A shared number decides; a notice with numbers takes no document
+    without one of them. A known area decides next: the document must hold it as a whole or two of its words, one where it
+    has no more. Only where the area is unknown a word of the institution's name or two of the title do.
     """
+    area_fits = area_exact | (area_common >= F.when(area_words == 1, 1).otherwise(2))
     ladder: list[tuple[Column, bool, str]] = [
         (~selects, False, "no selection"),
         (~teaches, False, "no teaching"),
         (F.arrays_overlap(own, named), True, "same number"),
-        ((F.size(own) > 0) & (F.size(named) > 0), False, "other number"),
-        (area_exact, True, "area"),
-        (area_tokens >= 2, True, "area words"),
+        (F.size(own) > 0, False, "other number"),
+        (area_known & area_fits, True, "area"),
+        (area_known, False, "other area"),
         (institution, True, "institution"),
-        (title_tokens >= 2, True, "title words"),
+        (title_words >= 2, True, "title words"),
     ]
     good, why = F.lit(False), F.lit("nothing in common")
     for condition, verdict, reason in reversed(ladder):

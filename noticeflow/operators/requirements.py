@@ -1,38 +1,22 @@
-"""Requirement phrases for display: degree and field, without the paragraph around them.
+"""Requirement phrases: which degrees a text asks for, in which fields, and at which level.
 
-A text is taken apart into tokens once; a word table gives each token a class, in which a degree of several
-words is one run, and the field of a degree is what stands between the words that lead to it and the next
-degree or the first word that ends it.
+A text is read once, word by word. A table of degree phrases, longest first, finds the degrees. What follows a degree is a run of
+leading words (a set); its field begins behind the last of them that leads to something and ends at the first ending phrase
+or at the next degree. Each text is read by a small function inside of an Arrow batch: as column expressions the same rules
+classified every word by a scan of literal tables and ran at some hundred texts a second.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import has_any, normalised, spaced
-from noticeflow.functions.tokens import classes, either, marked, plain, shown, tokens
-
-#: Words of degrees, and of what joins them and leads to their fields, by class.
-WORDS = {
-    "G": "graduacao licenciatura bacharelado especializacao mestrado pos-doutorado livre-docencia posgraduacao",
-    "D": "doutorado",
-    "P": "pos-graduacao",
-    "p": "pos",
-    "E": "residencia",
-    "m": "medica",
-    "C": "curso ensino formacao",
-    "u": "superior",
-    "T": "titulo grau",
-    "M": "mestre doutor especialista livre-docente",
-    "L": "livre",
-    "N": "docencia docente",
-    "j": "e ou",
-    "d": "de do da",
-    "y": "programa",
-}
-#: Degrees of several words as runs of classes, longest first; each becomes one K and an x for each further word.
-RUNS = ("TdLN", "TdM", "LN", "pG", "pD", "Cu", "Em", "G", "D", "P", "E")
+from noticeflow.functions.phrases import Phrases, Word, folded, mapped, words
+from noticeflow.functions.text import spaced
+
 #: Display names of degrees.
 NAMES = {
     "graduacao": "Graduação", "licenciatura": "Licenciatura", "bacharelado": "Bacharelado", "curso superior": "Graduação", "ensino superior": "Graduação",
@@ -42,28 +26,21 @@ NAMES = {
     "grau de mestre": "Mestrado", "grau de doutor": "Doutorado", "titulo de livre-docente": "Título de Livre-Docente", "titulo de livre docente": "Título de Livre-Docente",
     "livre-docencia": "Livre-docência", "livre docencia": "Livre-docência",
 }
+#: Degrees that are graduations, and words that state one without naming it; all others come after one.
+GRADUATIONS = ("graduacao", "licenciatura", "bacharelado", "curso superior", "ensino superior", "formacao superior")
+GRADUATED = ("graduado", "graduada", "graduados", "graduadas", "ensi no superior")
+#: What isn't a degree where the word before it is one of these and then "de".
+NOT_OF = {"pos-graduacao": "programa", "pos graduacao": "programa", "doutorado": "curso"}
 #: A credential that is given with its conditions, not with a field.
 WITH_CONDITIONS = "Título de Livre-Docente"
-#: What may stand between a degree and its field, in this order; an empty phrase where a part can miss.
-MODIFIERS = ("", "plena", "curta", "completa", "integral", "lato sensu", "stricto sensu", "com habilitacao")
-RECOGNISED = ("", "reconhecido pelo mec", "reconhecida pelo mec")
-LEADS = ("em", "na area", "nas areas", "na area de", "nas areas de", "de", "do", "da")
-REGISTERED = (
-    ("", "obtido", "obtido ou revalidado"),
-    ("em",),
-    ("programa de pos-graduacao", "programa de pos graduacao", "curso de doutorado"),
-    ("cadastrado em", "registrado em"),
-    ("", "uma das", "seguintes", "uma das seguintes"),
-    ("area", "areas"),
-    ("", "basica", "basicas"),
-    ("", "de conhecimento"),
-    ("", "na plataforma sucupira", "na plataforma sucupira ( capes )", "de avaliacao da capes", "da capes"),
-    ("", ":"),
+#: Words that lead to a field, and words that may stand around them before it.
+LEADING = frozenset("em na nas no nos area areas de do da :".split())
+AROUND = frozenset(
+    "avaliacao basica basicas cadastrado capes com completa conhecimento curta curso das doutorado habilitacao integral lato mec obtido ou pelo plataforma plena"
+    " pos-graduacao programa reconhecida reconhecido registrado revalidado seguintes sensu stricto sucupira uma ( )".split()
 )
-#: What ends a field, as whole words and as beginnings of words.
-ENDS = (
-    "com", "conforme", "desde que", "sendo", "na forma", "nos termos", "para o cargo", "e registro", "r $", "o disposto", "§", "▪", "•", "e ▪", "e •",
-)
+#: What ends a field, as phrases and as beginnings of words.
+ENDS = Phrases(("com", "conforme", "desde que", "sendo", "na forma", "nos termos", "para o cargo", "e registro", "r$", "o disposto", "§", "▪", "•", "e ▪", "e •"))
 END_STEMS = ("obtid", "reconhecid", "expedid", "acompanhad", "previst")
 #: How a field never begins.
 NO_FIELD = ("mesmo", "o disposto", "o candidato", "os candidatos", "a qual", "as qual", "as quais", "conforme", "refer")
@@ -72,44 +49,131 @@ MENU_WORDS = (
     "vestibular", "portal da universidade", "pro-reitor", "pro reitor", "assistencia estudantil", "alojamento", "bolsas", "todas as unidades", "coordenadoria",
     "ingressar", "biblioteca", "ouvidoria", "sumario", "....",
 )
+#: What opens another subject, with a capital, and words of posts of which a requirement names one at most.
+SUBJECTS = Phrases((
+    "a carga horaria", "as inscricoes", "a remuneracao", "o salario", "o prazo", "o vencimento", "a jornada", "o contrato", "a prova", "as provas",
+    "o edital esta", "o edital pode", "a selecao sera",
+))
+POSTS = frozenset("professor professora coordenador coordenadora instrutor instrutora monitor monitora".split())
+RESERVES = Phrases(("(cr)", "(cadastro de reserva)"))
 MOST_FIELD, MOST_PARTS, MOST_BARE, MOST_PHRASE = 80, 3, 90, 120
-_EDGES = r"^[ .,;:/\-–()]+|[ .,;:/\-–()]+$"
-
-
-def _chain(parts: tuple[tuple[str, ...], ...]) -> str:
-    """A pattern of one phrase after the other, in words that are followed by a space each."""
-    return "".join(f"(?:{either(p for p in part if p)} ){'?' if '' in part else ''}" for part in parts)
-
-
-_CONNECTOR = f"^(?:{_chain((MODIFIERS, RECOGNISED, LEADS))}|{_chain((MODIFIERS, RECOGNISED))}{_chain(REGISTERED)})"
-_LONGEST = f"^(?:{_chain((MODIFIERS, RECOGNISED))}{_chain(REGISTERED)}|{_chain((MODIFIERS, RECOGNISED, LEADS))})"
-_END = rf" (?:{either(ENDS)}(?= )|\^?(?:{'|'.join(END_STEMS)})|ha (?=\d)|\d\dh(?= ))"
-
-
-def _junk(text: Column) -> Column:
-    """Menus, salary tables and tables of contents, by their normalised text."""
-    salary = text.rlike(r"r\$ ?[\d.]+,\d{2}.*\b\d+\b") | text.rlike(r"\b\d{2}h \d")
-    programmes = text.rlike(r"programas de pos[ -]graduacao\b.{0,40}\b(?:residencia|especializa)")
-    return has_any(text, MENU_WORDS) | text.rlike(r"\bead\b") | salary | programmes | text.rlike(r" \d{2,4}$")
-
-
-def _words(m: Column) -> Column:
-    return F.size(F.filter(F.split(m, " "), lambda x: x != ""))
-
-
-def _name(t: Column, w: Column) -> Column:
-    """A degree's display name, or its own words with a capital."""
-    names = F.map_from_arrays(F.array(*map(F.lit, NAMES)), F.array(*map(F.lit, NAMES.values())))
-    said = F.lower(t)
-    return F.coalesce(F.try_element_at(names, F.array_join(w, " ")), F.concat(F.upper(F.substring(said, 1, 1)), F.substring(said, 2, 1000)))
-
-
-def _degrees(c: Column) -> Column:
-    """Classes with each degree as K and x; the name of a programme or a course isn't one."""
-    for run in RUNS:
-        before = {"P": "(?<!yd)", "pG": "(?<!yd)", "D": "(?<!Cd)"}.get(run, "")
-        c = F.regexp_replace(c, before + run, "K" + "x" * (len(run) - 1))
-    return F.regexp_replace(c, "[GDPE]", "o")
+MOST_SEGMENT, MOST_APART = 300, 90
+LEVELS = ("graduation_requirement_raw", "postgraduate_requirement_raw", "masters_requirement_raw", "doctorate_requirement_raw")
+_EDGES = " .,;:/-–()"
+_DEGREES = Phrases((*NAMES, *GRADUATED))
+_NAMED = Phrases(NAMES)
+
+
+class Degree(NamedTuple):
+    """A degree that a text names: its words by place, from the first to behind the last."""
+
+    phrase: str
+    first: int
+    behind: int
+
+
+def degrees(said: list[str], table: Phrases = _NAMED) -> list[Degree]:
+    """The degrees among some words; names of programmes and courses are none."""
+    found, i = [], 0
+    while i < len(said):
+        n = table.at(said, i)
+        phrase = " ".join(said[i : i + n])
+        if n and not (phrase in NOT_OF and said[max(0, i - 2) : i] == [NOT_OF[phrase], "de"]):
+            found.append(Degree(phrase, i, i + n))
+        i += max(1, n)
+    return found
+
+
+def _ending(said: list[str], i: int) -> bool:
+    """Whether a field ends before a word."""
+    w = said[i]
+    after = said[i + 1] if i + 1 < len(said) else ""
+    return bool(ENDS.at(said, i)) or w.startswith(END_STEMS) or (w == "ha" and after.isdigit()) or bool(re.fullmatch(r"\d\dh", w))
+
+
+def _stripped(text: str) -> str:
+    """Text without marks at its ends and without an "and" or "or" behind it."""
+    text = text.strip(_EDGES)
+    while (m := re.search(r"(?:[,;:]\s*|\s)(?:e/ou|e|ou)$", text, re.I)) is not None:
+        text = text[: m.start()].strip(_EDGES)
+    return text
+
+
+def _shortened(text: str, most: int) -> str:
+    if len(text) <= most:
+        return text
+    head = text[:most]
+    return (head[: head.rfind(" ")] if " " in head else head).rstrip() + "…"
+
+
+def _junk(text: str, said: list[str]) -> bool:
+    """Menus, tables of salaries and tables of contents."""
+    plain = " ".join(folded(text).split())
+    if any(w in plain for w in MENU_WORDS) or "ead" in said or re.search(r" \d{2,4}$", plain):
+        return True
+    figures = [i for i, w in enumerate(said) if w[0].isdigit()]
+    amount = re.search(r"r\$ ?[\d.]+,\d{2}", plain)
+    hours = any(re.fullmatch(r"\d{2}h", said[i]) and i + 1 in figures for i in figures)
+    programmes = re.search(r"programas de pos[ -]graduacao\b", plain)
+    listed = programmes and re.search(r"\b(?:residencia|especializa)", plain[programmes.end() : programmes.end() + 52])
+    return bool(hours or listed or (amount and re.search(r"\b\d+\b", plain[amount.end() :])))
+
+
+def _item(text: str, found: list[Word], said: list[str], d: Degree, until: int, opened: str, keep_degree: bool) -> str:
+    """A degree with its field, or with what is said of it; ``opened`` are degrees in front of it that share its field."""
+    name = opened + NAMES[d.phrase]
+    written = text[found[d.first].begin : found[d.behind - 1].end]
+    stop = found[until].begin if until < len(found) else len(text)
+    if not opened and name == WITH_CONDITIONS:
+        return _bounded(name + text[found[d.behind - 1].end : stop].rstrip(), name, written)
+    led, i = d.behind, d.behind
+    while i < until and (said[i] in LEADING or said[i] in AROUND):
+        i += 1
+        if said[i - 1] in LEADING:
+            led = i
+    ends = next((j for j in range(led, until) if _ending(said, j)), until)
+    end = found[ends].begin if ends < len(found) else len(text)
+    if led > d.behind:
+        field = _stripped(text[found[led].begin : min(end, stop)]) if led < until and led < ends else ""
+        if not field or folded(field).startswith(NO_FIELD):
+            return name
+        field = _shortened(field, MOST_FIELD)
+        return f"{name} em {field}" if keep_degree else field
+    ends = next((j for j in range(d.behind, until) if _ending(said, j)), until)
+    own = text[found[d.first].begin : found[ends].begin if ends < until else stop]
+    return _bounded(own if not opened else name, name, written)
+
+
+def _bounded(own: str, name: str, written: str) -> str:
+    own = own.strip(_EDGES)
+    return own if folded(own) != folded(written) and 1 <= len(own) <= MOST_PHRASE else name
+
+
+def condense(text: str, keep_degree: bool = True) -> str | None:
+    """The degrees of a requirement with their fields, three at most and a count of the rest."""
+    text = " ".join(text.split())
+    found = words(text)
+    said = [w.said for w in found]
+    if not text or _junk(text, said):
+        return None
+    own = degrees(said)
+    items: list[str] = []
+    opened = ""
+    for k, d in enumerate(own):
+        until = own[k + 1].first if k + 1 < len(own) else len(said)
+        if k + 1 < len(own) and d.behind < until and all(w in ("e", "ou", ",", "/") for w in said[d.behind : until]):
+            opened += NAMES[d.phrase] + text[found[d.behind - 1].end : found[until].begin]
+            continue
+        items.append(_item(text, found, said, d, until, opened, keep_degree))
+        opened = ""
+    once: dict[str, str] = {}
+    for item in items:
+        once.setdefault(item.lower(), item)
+    kept = [v for k, v in once.items() if not any(o.startswith(k + " em") for o in once if o != k)]
+    if not kept:
+        return text if len(text) <= MOST_BARE else None
+    more = f" (+{len(kept) - MOST_PARTS} alternativas no edital)" if len(kept) > MOST_PARTS else ""
+    return " · ".join(kept[:MOST_PARTS]) + more
 
 
 def condensed(texts: DataFrame, key: str, text: str, keep_degree: bool = True) -> DataFrame:
@@ -118,71 +182,7 @@ def condensed(texts: DataFrame, key: str, text: str, keep_degree: bool = True) -
     Degrees that are joined share the field of the last one. A bare degree goes where the same one has a
     field. Menus, salary tables and tables of contents give null; a short text without any degree stays.
     """
-    rows = texts.select(key, spaced(F.col(text)).alias("text")).withColumns({"junk": _junk(normalised(F.col("text"))), "t": tokens(F.col("text"))})
-    rows = rows.withColumn("w", plain(F.col("t")))
-    rows = rows.withColumn("c", _degrees(classes(F.col("t"), F.col("w"), WORDS)))
-    pieces = F.split("c", "(?=K)", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int,whole:int>>").alias("out"))
-
-    def place(done: Column, piece: Column) -> Column:
-        one = F.struct(done["at"].alias("at"), F.length(F.regexp_extract(piece, "^Kx*", 0)).alias("size"), F.length(piece).alias("whole"))
-        return F.struct((done["at"] + F.length(piece)).alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
-
-    rows = rows.withColumn("p", F.filter(F.aggregate(pieces, start, place, lambda d: d["out"]), lambda x: x["size"] > 0))
-
-    def part(x: Column) -> Column:
-        tail = F.slice("t", x["at"] + x["size"] + 1, x["whole"] - x["size"])
-        own, word = F.slice("t", x["at"] + 1, x["size"]), F.slice("w", x["at"] + 1, x["size"])
-        joins = F.substring(F.col("c"), x["at"] + x["size"] + 1, x["whole"] - x["size"]).rlike("^[j,/]+$")
-        return F.struct(
-            _name(F.trim(F.array_join(own, "")), word).alias("degree"), F.trim(F.array_join(own, "")).alias("said"), tail.alias("tail"),
-            F.array_join(tail, "").alias("rest"), F.slice("w", x["at"] + x["size"] + 1, x["whole"] - x["size"]).alias("words"), joins.alias("joins"),
-            F.regexp_extract(F.array_join(own, ""), r"^\s*", 0).alias("space"),
-        )
-
-    rows = rows.withColumn("p", F.transform("p", part))
-    # degrees that are joined become one
-    kept = "array<struct<degree:string,said:string,rest:string,tail:array<string>,words:array<string>>>"
-    start = F.struct(F.lit("").alias("open"), F.array().cast(kept).alias("out"))
-
-    def join(done: Column, x: Column) -> Column:
-        degree = F.concat(done["open"], F.when(done["open"] != "", x["space"]).otherwise(""), x["degree"])
-        one = F.struct(degree.alias("degree"), x["said"].alias("said"), x["rest"].alias("rest"), x["tail"].alias("tail"), x["words"].alias("words"))
-        waits = F.struct(F.concat(degree, x["rest"]).alias("open"), done["out"].alias("out"))
-        return F.when(x["joins"], waits).otherwise(F.struct(F.lit("").alias("open"), F.concat(done["out"], F.array(one)).alias("out")))
-
-    none = F.array().cast("array<string>")
-    left = F.struct(F.regexp_replace("j.open", r"[,/ ]+(?:e|ou)?[,/ ]*$", "").alias("degree"), F.lit("").alias("said"), F.lit("").alias("rest"), none.alias("tail"), none.alias("words"))
-    rows = rows.withColumn("j", F.aggregate("p", start, join)).withColumn("p", F.when(F.col("j.open") != "", F.concat("j.out", F.array(left))).otherwise(F.col("j.out")))
-
-    def item(x: Column) -> Column:
-        m = F.substring(marked(x["tail"], x["words"]), 2, 1 << 20)
-        n = F.greatest(*[_words(F.regexp_extract(m, f"(?i){p}", 0)) for p in (_CONNECTOR, _LONGEST)])
-        after = F.concat(F.lit(" "), F.array_join(F.slice(x["words"], n + 1, F.size("t")), " "), F.lit(" "))
-        field = shown(x["tail"], n, _words(F.get(F.split(after, _END, 2), F.lit(0))))
-        field = F.regexp_replace(field, _EDGES, "")
-        field = F.regexp_replace(F.regexp_replace(field, r"(?i)(?:[,;:]\s*|\s+)(?:e/ou|e|ou)$", ""), _EDGES, "")
-        field = F.when(normalised(field).rlike(f"^(?:{'|'.join(NO_FIELD)})"), "").otherwise(field)
-        long = F.concat(F.regexp_replace(F.substring(field, 1, MOST_FIELD), r"\s+\S*$", ""), F.lit("…"))
-        field = F.when(F.length(field) > MOST_FIELD, long).otherwise(field)
-        # without a field: the degree with what is said of it
-        rest = F.concat(F.lit(" "), F.array_join(x["words"], " "), F.lit(" "))
-        upto = shown(x["tail"], 0, _words(F.get(F.split(rest, _END, 2), F.lit(0))))
-        own = F.regexp_replace(F.concat_ws(" ", F.nullif(x["said"], F.lit("")), F.nullif(upto, F.lit(""))), _EDGES, "")
-        own = F.when(x["degree"] == WITH_CONDITIONS, F.regexp_replace(F.concat(x["degree"], x["rest"]), _EDGES, "")).otherwise(own)
-        bare = (normalised(own) == normalised(x["said"])) | ~F.length(own).between(1, MOST_PHRASE)
-        with_field = F.concat(x["degree"], F.lit(" em "), field) if keep_degree else field
-        return F.when((n > 0) & (field != ""), with_field).when((n > 0) | bare, x["degree"]).otherwise(own)
-
-    found = F.transform("p", item)
-    rows = rows.withColumn("i", found)
-    rows = rows.withColumn("i", F.filter("i", lambda x, n: ~F.exists(F.slice("i", 1, n), lambda y: F.lower(y) == F.lower(x))))
-    rows = rows.withColumn("i", F.filter("i", lambda x: ~F.exists("i", lambda y: (y != x) & F.lower(y).startswith(F.concat(F.lower(x), F.lit(" em"))))))
-    text_ = F.array_join(F.slice("i", 1, MOST_PARTS), " · ")
-    more = F.concat(F.lit(" (+"), (F.size("i") - MOST_PARTS).cast("string"), F.lit(" alternativas no edital)"))
-    whole = F.when(F.size("i") > MOST_PARTS, F.concat(text_, more)).when(F.size("i") > 0, text_)
-    short = F.when(F.length("text").between(1, MOST_BARE), F.col("text"))
-    return rows.select(key, F.when(~F.col("junk"), F.coalesce(whole, short)).alias("condensed"))
+    return texts.select(key, mapped(lambda t: condense(t, keep_degree), "string", F.col(text)).alias("condensed"))
 
 
 def first_sources(candidates: DataFrame, key: str, source_rank: str, text: str, most_parts: int = 3, most: int = 400) -> DataFrame:
@@ -194,42 +194,66 @@ def first_sources(candidates: DataFrame, key: str, source_rank: str, text: str,
     return once.groupBy(key).agg(F.substring(F.array_join(F.transform(F.slice(ordered, 1, most_parts), lambda x: x["nf_t"]), " / "), 1, most).alias(text))
 
 
-#: Degrees that are graduations; all others come after one.
-GRADUATIONS = ("graduacao", "licenciatura", "bacharelado", "curso superior", "ensino superior", "formacao superior")
-MOST_SEGMENT = 300
-LEVELS = ("graduation_requirement_raw", "postgraduate_requirement_raw", "masters_requirement_raw", "doctorate_requirement_raw")
-_TAIL = r"(?iu)(?:[\s;,.:]|\b(?:e|ou|com|além de|alem de)\b|[▪•/])+$"
+def _segment(text: str, found: list[Word], said: list[str], first: int, behind: int) -> str:
+    """What a run of degrees says, from its first word to where something else begins."""
+    for i in range(first + 1, behind):
+        bullet = said[i] in "▪•" and not (i + 1 < behind and _DEGREES.at(said, i + 1))
+        if bullet or (SUBJECTS.at(said, i) and text[found[i].begin].isupper()):
+            behind = i
+            break
+    while behind > first and found[behind - 1].end - found[first].begin > MOST_SEGMENT:
+        behind -= 1
+    while behind > first + 1:
+        if said[behind - 1] in ("e", "ou", "com", ";", ",", ".", ":", "/", "▪", "•"):
+            behind -= 1
+        elif said[behind - 2 : behind] == ["alem", "de"]:
+            behind -= 2
+        else:
+            break
+    own = said[first:behind]
+    if RESERVES.first(own) or sum(w in POSTS for w in own) > 1:
+        return ""
+    return text[found[first].begin : found[behind - 1].end]
+
+
+def segments(text: str) -> list[tuple[bool, str]]:
+    """(graduation, segment): the runs of degrees of one level in each sentence of a text.
+
+    Degrees of a level that are no more than 90 characters apart are one run, which reaches to the next run, a bullet or
+    another subject and has 300 characters at most. Runs that list posts go.
+    """
+    text = " ".join(text.split())
+    out = []
+    for sentence in re.split(r"(?<=[.!?;])\s+", text):
+        found = words(sentence)
+        said = [w.said for w in found]
+        if (at := next((i for i, w in enumerate(said[:-1]) if w in ("inscricao", "inscricoes") and said[i + 1] == ":"), None)) is not None:
+            found, said = found[:at], said[:at]
+        runs: list[list] = []  # level, first word, end of the last degree
+        for d in degrees(said, _DEGREES):
+            level = d.phrase in GRADUATIONS or d.phrase in GRADUATED
+            if runs and runs[-1][0] == level and found[d.first].begin - runs[-1][2] <= MOST_APART:
+                runs[-1][2] = found[d.behind - 1].end
+            else:
+                runs.append([level, d.first, found[d.behind - 1].end])
+        bounds = [*[r[1] for r in runs[1:]], len(said)][: len(runs)]
+        out += [(r[0], s) for r, b in zip(runs, bounds, strict=True) if (s := _segment(sentence, found, said, r[1], b))]
+    return out
+
+
+def levels(text: str) -> tuple[str | None, ...]:
+    """The segments of a text for each of ``LEVELS``, each once, joined by a slash."""
+    found = segments(text)
+    after = [s for g, s in found if not g]
+    named = lambda *stems: [s for s in after if any(w.said == x or (len(x) > 7 and w.said.startswith(x)) for w in words(s) for x in stems)]
+    sets = ([s for g, s in found if g], after, named("mestrado", "mestre"), named("doutorado", "doutor", "doutora", "pos-doutorado"))
+    return tuple(" / ".join(dict.fromkeys(s)) or None for s in sets)
 
 
 def with_levels(rows: DataFrame, text: str) -> DataFrame:
-    """Rows with a column for each of ``LEVELS``: the segments of a text that state graduations and what comes after.
+    """Rows with a column for each of ``LEVELS``: the segments of a text that state graduations and what comes after; null for none.
 
-    A segment reaches from a degree to the next one of the other kind, or to a bullet; null where there is none.
     Segments on masters and on doctorates are those after graduation that name them.
     """
-    t, w = F.col("nf_t"), F.col("nf_w")
-    rows = rows.withColumn("nf_t", tokens(spaced(F.col(text)))).withColumn("nf_w", plain(t))
-    rows = rows.withColumn("nf_c", _degrees(classes(t, w, WORDS)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<graduation:boolean,text:string>>").alias("out"))
-
-    def take(done: Column, piece: Column) -> Column:
-        n = F.length(piece)
-        said = F.array_join(F.slice(w, done["at"] + 1, F.length(F.regexp_extract(piece, "^Kx*", 0))), " ")
-        one = F.struct(said.isin(*GRADUATIONS).alias("graduation"), F.array_join(F.slice(t, done["at"] + 1, n), "").alias("text"))
-        last = F.get(done["out"], F.size(done["out"]) - 1)
-        longer = F.struct(one["graduation"].alias("graduation"), F.concat(last["text"], one["text"]).alias("text"))
-        same = F.coalesce(last["graduation"] == one["graduation"], F.lit(False))
-        out = F.when(~piece.startswith("K"), done["out"]).when(same, F.concat(F.slice(done["out"], 1, F.greatest(F.lit(0), F.size(done["out"]) - 1)), F.array(longer)))
-        return F.struct((done["at"] + n).alias("at"), out.otherwise(F.concat(done["out"], F.array(one))).alias("out"))
-
-    found = F.aggregate(F.split("nf_c", "(?=K)", -1), start, take, lambda d: d["out"])
-    clean = lambda x: F.regexp_replace(F.substring(F.trim(F.get(F.split(x, "[▪•]", 2), F.lit(0))), 1, MOST_SEGMENT), _TAIL, "")
-    rows = rows.withColumn("nf_s", F.transform(found, lambda x: F.struct(x["graduation"].alias("graduation"), clean(x["text"]).alias("text"))))
-
-    def joined(which: Column) -> Column:
-        return F.nullif(F.array_join(F.array_distinct(F.transform(which, lambda x: x["text"])), " / "), F.lit(""))
-
-    after = F.filter("nf_s", lambda x: ~x["graduation"])
-    names = lambda stem: F.filter("nf_s", lambda x: ~x["graduation"] & normalised(x["text"]).rlike(stem))
-    columns = (F.filter("nf_s", lambda x: x["graduation"]), after, names(r"mestrado|\bmestre\b"), names(r"doutorado|\bdoutora?\b"))
-    return rows.withColumns({c: joined(v) for c, v in zip(LEVELS, columns, strict=True)}).drop("nf_t", "nf_w", "nf_c", "nf_s")
+    kind = f"struct<{', '.join(f'{c}:string' for c in LEVELS)}>"
+    return rows.withColumn("nf_levels", mapped(levels, kind, F.col(text))).select("*", *[F.col("nf_levels")[c].alias(c) for c in LEVELS]).drop("nf_levels")

@@ -103,18 +103,19 @@ def document_relevance(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("o_orderkey") % 2 == 0, F.array((F.col("o_custkey") % 10).cast("string"))).otherwise(empty)
     named = F.when(F.col("l_partkey") % 3 != 0, F.array((F.col("l_suppkey") % 10).cast("string"))).otherwise(empty)
     good, why = linkage.relevance(
-        own, named, F.col("l_quantity") > 48, (F.col("l_partkey") % 4).cast("int"), F.col("l_linestatus") == "F", (F.col("l_suppkey") % 3).cast("int"),
-        F.col("l_returnflag") != "A", F.col("l_discount") < 0.09,
+        own, named, F.col("l_suppkey") % 5 != 0, F.col("l_quantity") > 48, (F.col("l_partkey") % 4).cast("int"), (F.col("l_suppkey") % 3 + 1).cast("int"), F.col("l_linestatus") == "F",
+        (F.col("l_suppkey") % 3).cast("int"), F.col("l_returnflag") != "A", F.col("l_discount") < 0.09,
     )
     return both.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", good.alias("relevant"), why.alias("reason"))
 
 
 DOCUMENT_RELEVANCE = """WITH b AS (SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'A' AS ns, NOT l_discount < 0.09 AS nt,
-  o_orderkey % 2 = 0 AS has, l_partkey % 3 <> 0 AS names, o_custkey % 10 = l_suppkey % 10 AS same, l_quantity > 48 AS area, l_partkey % 4 AS words, l_linestatus = 'F' AS inst, l_suppkey % 3 AS title
+  o_orderkey % 2 = 0 AS has, l_partkey % 3 <> 0 AS names, o_custkey % 10 = l_suppkey % 10 AS same, l_suppkey % 5 <> 0 AS known,
+  l_quantity > 48 OR l_partkey % 4 >= CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 2 END AS fits, l_linestatus = 'F' AS inst, l_suppkey % 3 AS title
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-r AS (SELECT *, CASE WHEN ns THEN 'no selection' WHEN nt THEN 'no teaching' WHEN has AND names AND same THEN 'same number' WHEN has AND names THEN 'other number' WHEN area THEN 'area'
-  WHEN words >= 2 THEN 'area words' WHEN inst THEN 'institution' WHEN title >= 2 THEN 'title words' ELSE 'nothing in common' END AS reason FROM b)
-SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, reason IN ('same number', 'area', 'area words', 'institution', 'title words') AS relevant, reason FROM r"""
+r AS (SELECT *, CASE WHEN ns THEN 'no selection' WHEN nt THEN 'no teaching' WHEN has AND names AND same THEN 'same number' WHEN has THEN 'other number' WHEN known AND fits THEN 'area'
+  WHEN known THEN 'other area' WHEN inst THEN 'institution' WHEN title >= 2 THEN 'title words' ELSE 'nothing in common' END AS reason FROM b)
+SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, reason IN ('same number', 'area', 'institution', 'title words') AS relevant, reason FROM r"""
 
 
 def page_carried_blocks(spark: SparkSession, sf: str) -> DataFrame:
