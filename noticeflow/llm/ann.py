@@ -9,7 +9,7 @@ of these, with no cap, are verified by their exact inner product in double preci
 
 Windows expand in place. Collisions with the first windows are read from each vector's places in the sorted
 arrays, for all vectors of a block at once; then two ends for each array move outwards, and only what they
-pass is counted anew. Wide windows tell vectors apart best here, so the first ones hold much of an array.
+pass is counted anew.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows without an id; only vectors of equal dimension are compared; equal vectors share one place in
@@ -18,7 +18,8 @@ repeated query id asks once, with the least of its vectors; ties go to the small
 its own id; with fewer candidates than results all of them come back; an empty table gives an empty
 table; extra columns are not read.
 
-Scale: vectors and queries are dealt to a grid of cells by hashes of their ids; a cell holds at most
+Scale: vectors are dealt to a grid of cells by hashes of their ids and entries, queries by their ids, so that an id that very many rows have is
+spread; a cell holds at most
 about ``BLOCK`` vectors and ``QUERIES`` queries whatever the table's size or the cluster, builds its own
 arrays (a few per cent of the work of its queries) and yields its best results for each query. Nothing
 is broadcast.
@@ -33,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, SHARE = 128, 0.82, 0.1
+PROJECTIONS, THRESHOLD = 128, 0.82
+#: Vectors that are verified at least, of all and in a block of any size.
+SHARE, FLOOR = 0.1, 400
 #: The part of an array that the first windows hold, and the factor by which windows widen.
-FIRST, WIDEN = 0.72, 1.04
+FIRST, WIDEN = 0.66, 1.05
 BLOCK, QUERIES = 16_384, 1024
 assert PROJECTIONS < 256  # collisions with the first windows are counted in bytes
 SEED = 7
@@ -69,7 +72,7 @@ class Block:
         self.place = np.empty((PROJECTIONS, n), self.kind)
         np.put_along_axis(self.place, at, np.arange(n, dtype=self.kind)[None, :], 1)
         self.n, self.k = n, k
-        self.enough = min(n, k + 1 + int(SHARE * n))
+        self.enough = min(n, k + 1 + max(FLOOR, int(SHARE * n)))
         few = values[:: max(1, PROJECTIONS // 16), :: max(1, n // 64)]
         self.radius = max(1e-9, float(np.quantile(np.abs(few[:, :, None] - few[:, None, :]), FIRST)))
 
@@ -149,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     def each(n: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("g", each(n_groups))
+    left = base.withColumn("b", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks)).cast("int")).withColumn("g", each(n_groups))
     right = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")).withColumn("b", each(n_blocks))
 
     def cell(vectors: pa.Table, queries: pa.Table) -> pa.Table:
@@ -172,7 +175,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        found.groupBy("query_id", "vec_id")  # an id may have vectors in several blocks
+        .agg(F.max("score").alias("score"))
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.llm import decontamination, resampling, spectra, whitening, words
+from noticeflow.llm import ann, decontamination, fingerprint, packing, resampling, spectra, suffix_dedup, whitening, words
 from noticeflow.llm import queries as registered
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -292,3 +292,79 @@ def test_whitening_query(spark):
     assert np.abs(mine - y * np.sign((mine * y).sum(axis=0))).max() < 1e-8
     assert np.allclose(found.groupby("component")["explained"].first(), explained, rtol=1e-10)
     assert dict(zip(found["vec_id"], found["deviation"], strict=True)) == dict(zip([r.vec_id for r in rows], deviation, strict=True))
+
+
+# hot ids: a third of all rows without one, a third with the same one
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, prose(i, 40) + (" shared passage of words" * 6 if i % 5 == 0 else "")) for i in range(600)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def largest_share(df, *columns):
+    """The share of rows of the largest partition that a shuffle by some columns makes."""
+    sizes = [r["count"] for r in df.repartition(16, *columns).groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_hot_ids_are_spread(spark, hot):
+    parts = hot.repartitionByRange(16, "doc_id", F.substring("text", 1, 64)).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 0.2 * 600  # as op3 deals its rows
+    assert largest_share(hot, "doc_id") > 0.3 > 0.2 > largest_share(hot, F.xxhash64("doc_id", "text"))  # as op5 does
+
+
+def test_fingerprints_of_hot_ids_follow_the_order_of_texts(hot):
+    rows = sorted(hot.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
+    want = Counter()
+    for a, b in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(a.text) // 2
+        want[(a.doc_id, hashlib.sha256((a.text[: len(a.text) - half] + b.text[:half]).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprints(hot).collect()) == want
+
+
+def test_packing_of_hot_ids(hot):
+    got = packing.packed(hot.withColumn("text", F.lit("one two three"))).collect()
+    assert len(got) == 600 and len({(r.sequence_id, r.offset) for r in got}) == 600
+    each = Counter(r.sequence_id for r in got)
+    most = packing.CAPACITY // got[0].length
+    assert sorted(each.values(), reverse=True) == [most] * (600 // most) + ([600 % most] if 600 % most else [])
+
+
+def test_suffix_dedup_of_hot_ids(hot):
+    cuts = {}
+    for r in suffix_dedup.deduplicated(hot).collect():
+        cuts.setdefault(r.doc_id, []).append(r.cut.n_removed)
+    assert not any(cuts[None])  # no id is smaller than theirs
+    assert sum(n > 0 for k, v in cuts.items() if k is not None and k > 1000 for n in v) >= 30
+
+
+def test_neighbours_of_an_id_with_very_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((600, 8))
+    ids = [7 if i % 3 == 1 else 1000 + i for i in range(600)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(df, df.filter("vec_id = 1020")).orderBy("rank").collect()
+    scores = v @ v[20]
+    best = {i: max(s for j, s in zip(ids, scores, strict=True) if j == i) for i in set(ids) - {1020}}
+    assert [(r.vec_id, round(r.score, 9)) for r in rows] == [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_all_queries_of_a_table(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables aren't here")
+    rows = [r for r in spark.read.parquet(path).select("vec_id", "embedding").collect() if r.embedding and all(math.isfinite(x) for x in r.embedding)]
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    found = {}
+    for r in registered.queries()["op1_ann"](spark, os.path.dirname(path)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        shares.append(len(found[ids[q]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist())) / 20)
+    assert np.mean(shares) >= 0.95
