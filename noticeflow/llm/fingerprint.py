@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.substring("text", 1, 64))  # the beginning parts the rows of an id in the order of whole texts
         .sortWithinPartitions("doc_id", "text")
     )
     found = written(ordered.mapInArrow(_along, f"{_DDL}, part int, kind string, text string"), "fingerprints")

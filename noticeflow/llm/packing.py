@@ -226,18 +226,18 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     spark = docs.sparkSession
-    own = written(pieces(docs, vocabulary or vocabulary_path(), capacity, id_col, text_col), "pieces")
+    own = written(pieces(docs, vocabulary or vocabulary_path(), capacity, id_col, text_col).withColumn("at", F.monotonically_increasing_id()), "pieces")
     counts = [(r.length, r.n) for r in own.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]  # a row for each length
     runs, _ = best_fit_runs(counts, capacity)
-    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "r_length long, r_from long, r_to long, first long, each long, at long")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "r_length long, r_from long, r_to long, first long, each long, begins long")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "at"), F.lit(SALTS)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead = (
         salted.groupBy("length", "salt")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     )
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "at")
     ranked = salted.join(ahead.hint("shuffle_hash"), ["length", "salt"]).withColumn(
         "rank", F.col("ahead") + F.row_number().over(inside) - 1
     )
@@ -250,5 +250,5 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         "length",
         "ids_crc32",
         (F.col("first") + F.floor(place / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("at") + place % F.col("each") * F.col("length")).cast("long").alias("offset"),
+        (F.col("begins") + place % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )

@@ -413,7 +413,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = min(MOST_BUCKETS, 1 << max(0, wanted - 1).bit_length())
     others = [f for f in docs.columns if f != text_col]
     keyed = docs.select(  # the same columns in every step, so that one shuffle of the texts serves them all
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(groups)).cast("int").alias("g"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(groups)).cast("int").alias("g"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
         F.struct(*[F.col(f"`{f}`") for f in others]).alias("rest"),
