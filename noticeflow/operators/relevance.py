@@ -70,7 +70,7 @@ def candidates(notices: DataFrame, documents: DataFrame, notice_key: str, docume
     """
     good = documents.filter(F.col("selects") & F.col("teaches"))
     seen = checkpoint(good.select(document_key, F.explode(F.array_union("found", "found_url")).alias("term")), "found-words")
-    frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    frequency = seen.groupBy("term").agg(F.count(F.lit(1)).alias("nf_n"))
     free = notices.filter(F.size("numbers") == 0)
     known = F.col("area") != ""
     two = F.when(known & (F.size("area_words") >= 2), F.col("area_words")).when(~known, F.col("title_words")).otherwise(F.array().cast(_NONE))
@@ -81,7 +81,7 @@ def candidates(notices: DataFrame, documents: DataFrame, notice_key: str, docume
         .otherwise(F.array().cast(_NONE))
     )
     pairs_of = free.select(notice_key, F.explode(two).alias("term")).join(frequency.hint("merge"), "term")  # words of no document go
-    most = Window.partitionBy(notice_key).orderBy(F.desc("n"), "term")
+    most = Window.partitionBy(notice_key).orderBy(F.desc("nf_n"), "term")
     rarer = pairs_of.withColumn("nf_k", F.row_number().over(most)).filter("nf_k > 1").select(notice_key, "term")
     single = free.select(notice_key, F.explode(one).alias("term"))
     by_word = rarer.unionByName(single).distinct().join(seen.hint("merge"), "term").select(notice_key, document_key)
