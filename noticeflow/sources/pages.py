@@ -109,6 +109,27 @@ class _Cells(_Walker):
             self.rows[-1][4] += data
 
 
+class _PartedCells(_Cells):
+    """The same with a cell's text in parts, as markup parts it; and what the whole page says."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.said: list[str] = []
+
+    def enter(self, tag: str, attrs: dict) -> None:
+        super().enter(tag, attrs)
+        if tag in ("td", "th"):
+            self.rows[-1][4] = []
+
+    def text(self, data: str) -> None:
+        own = " ".join(data.split())
+        tags = {t for t, _ in self.open}
+        if own and not tags & {"script", "style"}:
+            self.said.append(own)
+            if self.rows and tags & {"td", "th"}:
+                self.rows[-1][4].append(own)
+
+
 class _Cards(_Walker):
     """Cards of a listing: div.ca with a link to a notice, and parts .cc, .cd, .ce."""
 
@@ -210,6 +231,18 @@ def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return found.withColumn("text", spaced(F.col("text")))
 
 
+def parted_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, table, row, column, parts, offers) of the cells of a page's tables; offers tells whether the page's head speaks of teaching posts."""
+
+    def read(page: str) -> list[tuple]:
+        w = _fed(_PartedCells(), page)
+        offers = re.search(r"\b(?:professor|docente|magisterio)\b", _folded(" ".join(w.said)[:PAGE_HEAD])) is not None
+        return [(table, row, column, parts, offers) for table, row, column, _, parts in w.rows]
+
+    kinds = [("table", T.IntegerType()), ("row", T.IntegerType()), ("column", T.IntegerType()), ("parts", T.ArrayType(T.StringType())), ("offers", T.BooleanType())]
+    return _rows(pages, key, html, read, kinds)
+
+
 def table_records(cell_rows: DataFrame, key: str, roles: dict[str, str], by_content: dict[str, str] | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
     """(key, table, row, a column for each role) of tables with a row among their first that names all roles.
 

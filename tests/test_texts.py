@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from noticeflow.operators import annexes, extractors, linkage, relevance, requirements, row_patterns, substrings
+from noticeflow.operators import annexes, extractors, linkage, relevance, requirements, row_patterns, substrings, tables
+from noticeflow.sources import pages
 
 
 @pytest.fixture(scope="module")
@@ -238,3 +239,51 @@ def test_levels_by_sentence_and_distance():
     assert requirements.levels("Graduação em Letras A remuneração é boa")[0] == "Graduação em Letras"
     assert requirements.levels("Graduação em Letras. Inscrições: mestrado")[1] is None
     assert len(requirements.levels("Graduação em " + "x" * 20 + " y" * 400)[0]) <= 300
+
+
+# tables
+
+
+HEADINGS = ["Código/cargo/depto/campus", "Vagas", "Área", "Subárea", "Regime", "Requisitos", "Taxa"]
+ROW = ["26.1 Professor", "2", "Física Nuclear", "Núcleos", "40h", "Doutorado em Física", "R$ 9,00"]
+
+
+def test_cells_are_aligned_as_the_best_of_all_ways():
+    kinds = tables.kinds_of(HEADINGS)
+    r = random.Random(2)
+    pool = [*ROW, "-", "Letras", "DE", "Mestrado", "12", "R$ 1,00", "x"]
+    for _ in range(150):
+        cells = [r.choice(pool) for _ in range(r.randint(1, 6))]
+        ways = [c for c in itertools.combinations(range(len(kinds)), len(cells))]
+        score = lambda way: sum(tables.fit(kinds[j], c) for j, c in zip(way, cells, strict=True))  # noqa: B023, E731
+        best = max(map(score, ways))
+        assert tables.aligned(kinds, cells) == list(next(w for w in ways if score(w) == best))
+    for lost in itertools.chain(itertools.combinations(range(7), 1), itertools.combinations(range(7), 2)):
+        left = [i for i in range(7) if i not in lost]
+        if not {2, 3} & set(lost) and lost != (0, 1):  # an area and a subarea read alike
+            assert tables.aligned(kinds, [ROW[i] for i in left]) == left, lost
+
+
+def test_vacancy_tables(spark):
+    parts = lambda *rows: "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows)
+    first = "<html><head><title>Edital para Professor Assistente</title></head><body><table>" + parts(
+        ["Codigo/cargo/depto/campus", "Vagas", "Area", "Subarea", "Requisitos Minimos", "Regime de trabalho"],
+        ["004/26.01<br>Professor Assistente A<br>Departamento de Producao<br>Sao Carlos", "1", "Organizacoes", "Trabalho", "Titulo de Doutor em Administracao", "DE"],
+        ["004/26.02<br>Professor Assistente A<br>Departamento de Medicina<br>Sao Carlos", "2", "Clinica Medica", "Interna", "Graduacao em Medicina e Doutorado em Ciencias", "DE"],
+    ) + "</table>"
+    short = "<html><title>Edital</title><p>Seleção para Professor Substituto.</p><table>" + parts(
+        ["Area / Subarea", "VG", "PCD", "PP", "CH", "Turno", "Requisito", "Taxa"],
+        ["Biodiversidade", "1", "-", "-", "40h", "N", "Graduacao em Biologia com pos-graduacao em Biodiversidade.", "R$ 99,00"],
+        ["Ciencias Agrarias/Bioquimica", "1", "40h", "M/T", "Graduacao em Agronomia com pos-graduacao em Ciencias Agrarias.", "R$ 99,00"],
+    )
+    accepted = "<p>Processo para professores.</p><table>" + parts(["Cargo e item", "Especialidade", "Habilitacoes aceitas", "Vagas"], ["PROFESSOR - A", "Infantil", "Graduacao em Pedagogia", "1"])
+    rows = [(1, first), (2, short), (3, accepted), (4, short.replace("Professor", "Fiscal")), (5, None), (6, "<table><tr><td>x</td></tr></table>"), (7, accepted.replace("PROFESSOR", "FISCAL").replace("professores", ""))]
+    got = {}
+    for r in tables.vacancy_rows(pages.parted_cells(spark.createDataFrame(rows, "d int, h string"), "d", "h"), "d").orderBy("d", "row").collect():
+        got.setdefault(r.d, []).append(r)
+    assert set(got) == {1, 2, 3} and [len(got[k]) for k in (1, 2, 3)] == [2, 2, 1]
+    a, b = got[1]
+    assert (a.reference, a.position, a.department, a.campus, a.doctorate_requirement_raw) == ("004/26.01", "Professor Assistente A", "Departamento de Producao", "Sao Carlos", "Titulo de Doutor em Administracao")
+    assert b.graduation_requirement_raw == "Graduacao em Medicina" and b.vacancies_count == 2 and b.workload == "DE"
+    assert got[2][1].area == "Ciencias Agrarias/Bioquimica" and got[2][1].postgraduate_requirement_raw == "pos-graduacao em Ciencias Agrarias"
+    assert got[3][0].area == "Infantil" and got[3][0].position == "PROFESSOR - A"
