@@ -40,8 +40,7 @@ def folded(text: str) -> str:
 
 def words(text: str) -> list[Word]:
     """Words, parts of which may be joined by hyphens, and other characters one by one."""
-    low = folded(text)
-    return [Word(m[0], *m.span()) for m in _WORD.finditer(low)]
+    return [Word(m[0], m.start(), m.end()) for m in _WORD.finditer(folded(text))]
 
 
 class Phrases:

@@ -112,12 +112,12 @@ def context_windows(rows: DataFrame, key: Sequence[str], order: str, text: str,
     )
 
 
-def scoped_evidence(evidence: DataFrame, key: Sequence[str], score: str, cued: str, order: str, area_known: Column, most: int = 10) -> DataFrame:
+def scoped_evidence(evidence: DataFrame, key: Sequence[str], score: str, cued: str, order: str, area_known: Column, most: int = 10, allow_unscoped: bool = True) -> DataFrame:
     """Evidence that belongs to a notice, with how sure that is.
 
     With an unknown area and more than three candidates it stays ambiguous. Else those within one of the
     best overlap stay, cued ones alone where there are any: HIGH from an overlap of two on, MEDIUM from
-    one; without overlap, three candidates at most are MEDIUM, more are ambiguous.
+    one; without overlap, three candidates at most are MEDIUM where that is allowed, more are ambiguous.
     """
     w = Window.partitionBy(*key)
     best, n = F.max(score).over(w), F.count(F.lit(1)).over(w)
@@ -129,7 +129,7 @@ def scoped_evidence(evidence: DataFrame, key: Sequence[str], score: str, cued: s
         F.when(~F.col("nf_area") & (F.col("nf_n") > 3), "AMBIGUOUS")
         .when(F.col("nf_best") >= 2, "HIGH")
         .when(F.col("nf_best") == 1, "MEDIUM")
-        .when(F.col("nf_n") <= 3, "MEDIUM")
+        .when(F.lit(allow_unscoped) & (F.col("nf_n") <= 3), "MEDIUM")
         .otherwise("AMBIGUOUS")
     )
     top = w.orderBy(F.desc(score), order)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from noticeflow.operators import annexes, extractors, linkage, relevance, requirements, row_patterns, substrings, tables
+from noticeflow.operators import annexes, evidence, extractors, linkage, relevance, requirements, row_patterns, substrings, tables
 from noticeflow.sources import pages
 
 
@@ -287,3 +287,40 @@ def test_vacancy_tables(spark):
     assert b.graduation_requirement_raw == "Graduacao em Medicina" and b.vacancies_count == 2 and b.workload == "DE"
     assert got[2][1].area == "Ciencias Agrarias/Bioquimica" and got[2][1].postgraduate_requirement_raw == "pos-graduacao em Ciencias Agrarias"
     assert got[3][0].area == "Infantil" and got[3][0].position == "PROFESSOR - A"
+
+
+# evidence
+
+
+def notice_evidence(spark, pages_, area, title):
+    df = spark.createDataFrame([(1, n, t) for n, t in pages_], "k int, page int, t string")
+    found = evidence.requirement_lines(df, ["k"], "page", "t")
+    notice = spark.createDataFrame([(1, area, title)], "k int, area string, title string")
+    notice = notice.select("k", evidence.context_words(F.col("area"), F.lit(None), F.col("title"), F.lit(None)).alias("context"))
+    return evidence.with_context(found, notice, "k").withColumn("at", F.struct("page", "line_no"))
+
+
+def test_split_words_still_state_a_graduation(spark):
+    said = "Possuir a escolaridade exigida, no caso, Ensi no Superior em Licenciatura Plena em Educacao Fisica."
+    found = notice_evidence(spark, [(3, said)], "Educacao Fisica", "Professor de Educacao Fisica")
+    read = evidence.read_requirements(found, ["k"], "at", F.lit(True)).first()
+    assert read.applicable and read.graduation_requirement_raw == "Ensi no Superior em Licenciatura Plena em Educacao Fisica" and read.postgraduate_requirement_raw is None
+
+
+def test_what_announces_a_requirement_outranks_a_table_of_points(spark):
+    said = "Doutorado na area de Educacao Fisica 30 pontos.\nMestrado na area de Educacao Fisica 25 pontos.\nPossuir a escolaridade exigida, no caso, Ensino Superior em\nLicenciatura Plena em Educacao Fisica."
+    found = notice_evidence(spark, [(3, said)], "Educacao Fisica", "Professor")
+    read = evidence.read_requirements(found, ["k"], "at", F.lit(True)).first()
+    assert read.confidence == "HIGH" and read.graduation_requirement_raw.startswith("Ensino Superior") and read.postgraduate_requirement_raw is None
+
+
+def test_evidence_frames_repeats_and_plain_lines(spark):
+    lines = ["um", "dois", "Mestrado em Letras", "tres", "quatro", "cinco", "Requisitos: mestrado em Letras", "seis"]
+    found = notice_evidence(spark, [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "O mestrado abre\nVagas")], None, "Letras e Artes").orderBy("page", "line_no").collect()
+    assert [(r.page, r.line_no, r.excerpt, r.cue, r.kinds) for r in found] == [
+        (1, 2, "um dois Mestrado em Letras tres quatro", False, ["masters", "postgraduate"]),
+        (1, 6, "Requisitos: mestrado em Letras seis", True, ["masters", "postgraduate"]),
+    ]
+    assert [r.context_terms for r in found] == [["letras"], ["letras"]]
+    unsure = evidence.read_requirements(notice_evidence(spark, [(1, "\n".join(lines))], None, "Artes"), ["k"], "at", F.lit(False), allow_unscoped=False).first()
+    assert unsure.confidence == "AMBIGUOUS" and not unsure.applicable
