@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -237,8 +238,26 @@ def seeds(sources: Sequence[DataFrame], key: str, url: str = "url") -> DataFrame
     return out.groupBy(key, url).agg(F.min("seed_rank").alias("seed_rank"))
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """A table in the warehouse, and its name, whose rows lie in buckets by a column, a file for each: joins by that column don't shuffle it again."""
+    name = f"noticeflow_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+def links_of(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """The links of visited pages; ``links`` are bucketed by page, so that only the visited pages are shuffled."""
+    return links.join(pages.hint("shuffle_hash"), "page")
+
+
 def best_first(
-    seed_rows: DataFrame, links: DataFrame, checkpoint, visits: int = policy.VISITS, depth: int = policy.DEPTH, captured: DataFrame | None = None
+    seed_rows: DataFrame,
+    links: DataFrame,
+    checkpoint,
+    visits: int = policy.VISITS,
+    depth: int = policy.DEPTH,
+    captured: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(notice, url, depth, visit): which pages a best-first walk over captured links visits for each notice.
 
@@ -247,6 +266,9 @@ def best_first(
     many rounds as the budget has visits, whatever the number of notices. ``links`` has page, url, score
     and position; ``checkpoint`` writes a table and reads it back, which cuts the lineage of each round.
 
+    Links are written once, in ``buckets`` by page (as many as a shuffle has partitions, if none are given), and dropped at the end: all rounds read them
+    where they lie.
+
     ``captured`` has page, blocked and n_rows, one row for each page: links of a blocked page aren't followed,
     and a walk ends with the visit of a seed whose ``override`` (a column of the seeds, if there is one) is
     true and whose page gave more than one row.
@@ -254,6 +276,8 @@ def best_first(
     override = F.coalesce(F.col("override"), F.lit(False)) if "override" in seed_rows.columns else F.lit(False)
     if captured is not None:
         links = links.join(captured.filter("blocked").select("page").hint("merge"), "page", "left_anti")
+    spark = links.sparkSession
+    links, name = bucketed(links.select("page", "url", "score", "position"), "page", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     frontier = seed_rows.select(
         "notice",
         "url",
@@ -276,11 +300,12 @@ def best_first(
         frontier = frontier.withColumn("visit", F.when(F.col("waiting") & (F.row_number().over(w) == 1), n).otherwise(F.col("visit"))).drop("waiting")
         now = frontier.filter((F.col("visit") == n) & (F.col("depth") < depth)).select("notice", F.col("url").alias("page"), F.col("depth").alias("d"))
         found = (
-            now.join(links.hint("merge"), "page")
+            links_of(now, links)
             .groupBy("notice", "url")
             .agg(F.max("score").cast("long").alias("score"), F.min("position").alias("p"), F.first("d").alias("d"))
             .select("notice", "url", (F.col("d") + 1).alias("depth"), "score", (F.lit(n << 40).cast("long") + F.col("p")).alias("found"), F.lit(False).alias("ends"), F.lit(None).cast("int").alias("visit"))
         )
         known = frontier.select("notice", "url")
         frontier = checkpoint(frontier.unionByName(found.join(known.hint("merge"), ["notice", "url"], "left_anti")), "frontier")
+    spark.sql(f"DROP TABLE {name}")
     return frontier.filter("visit IS NOT NULL").select("notice", "url", "depth", "visit")

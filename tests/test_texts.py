@@ -324,3 +324,31 @@ def test_evidence_frames_repeats_and_plain_lines(spark):
     assert [r.context_terms for r in found] == [["letras"], ["letras"]]
     unsure = evidence.read_requirements(notice_evidence(spark, [(1, "\n".join(lines))], None, "Artes"), ["k"], "at", F.lit(False), allow_unscoped=False).first()
     assert unsure.confidence == "AMBIGUOUS" and not unsure.applicable
+
+
+# the walk over bucketed links
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_in_buckets_are_not_shuffled_again(spark):
+    links = spark.range(1000).selectExpr("id % 50 AS page", "id AS url", "1 AS score", "id AS position")
+    table, name = linkage.bucketed(links, "page", 4)
+    visited = spark.range(20).selectExpr("id AS notice", "id % 50 AS page", "0 AS d").repartition(3)
+    found = linkage.links_of(visited, table)
+    plan = plan_of(found)
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    above = [line for line in plan[: plan.index(scan)].splitlines() if "Exchange" in line]
+    assert "Bucketed: true" in plan and not above, plan  # the scan's side stands first
+    assert sorted((r.notice, r.url) for r in found.collect()) == sorted((n, u) for n in range(20) for u in range(1000) if u % 50 == n % 50)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_walk_leaves_no_table_behind(spark, write):
+    seeds = spark.createDataFrame([(1, "a", 0)], "notice int, url string, seed_rank int")
+    links = spark.createDataFrame([("a", "b", 5, 0), ("b", "c", 9, 0), ("a", "d", 7, 1)], "page string, url string, score int, position int")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = linkage.best_first(seeds, links, write, visits=3).orderBy("visit").collect()
+    assert [r.url for r in got] == ["a", "d", "b"] and {t.name for t in spark.catalog.listTables()} == before
