@@ -1,7 +1,13 @@
-"""State tables in versioned folders, published together by a manifest that is written last."""
+"""State tables in versioned folders, published together by a manifest that is written last.
+
+Small tables are written whole for each version (``commit``). Large keyed tables lie in parts by a hash of the key (``upsert_parts``): a version adds only the
+rows of the keys that changed, and a part is written anew once what was added outweighs it. The manifest names the versions of each part.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,5 +59,94 @@ def newest_runs(history: DataFrame, order: str = "run_at", most: int = policy.RU
     return history.orderBy(F.desc(order)).limit(most)
 
 
+#: Parts of a keyed table, and the share of a part's rows that may be added before it is written anew.
+PARTS, MOST_ADDED = 64, 0.25
+_PARTS = "version long, name string, part int, at array<long>, base long, added long"
+_PART, _VERSION = "nf_part", "nf_version"
+
+
+def _parts(spark: SparkSession, root: str, name: str) -> tuple[int, dict[int, tuple[list[int], int, int]]]:
+    """The newest version of a keyed table, and for each part its versions in order, the rows of the first and those added: one row a part."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/parts-manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return 0, {}
+    rows = spark.read.schema(_PARTS).json(f"{root}/parts-manifest").filter(F.col("name") == name)
+    newest_ = rows.agg(F.max("version")).first()[0] or 0
+    return newest_, {r["part"]: (list(r["at"]), r["base"], r["added"]) for r in rows.filter(F.col("version") == newest_).collect() if r["part"] >= 0}
+
+
+def _read_parts(spark: SparkSession, root: str, name: str, schema: T.StructType, key: str, parts: dict[int, list[int]]) -> DataFrame:
+    """The rows of some parts: of each key the row of the newest version."""
+    whole = T.StructType([*schema.fields, T.StructField(_VERSION, T.LongType())])
+    read = lambda some: spark.read.schema(whole).parquet(*[f"{root}/{name}/version={v}/{_PART}={p}" for p, at in some.items() for v in at])
+    plain, added = {p: at for p, at in parts.items() if len(at) == 1}, {p: at for p, at in parts.items() if len(at) > 1}
+    out = read(plain).drop(_VERSION) if plain else spark.createDataFrame([], schema)
+    if added:
+        row = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias("row")
+        newest_ = read(added).select(F.col(key).alias("nf_key"), _VERSION, row).groupBy("nf_key").agg(F.max_by("row", _VERSION).alias("row"))
+        out = out.unionByName(newest_.select("row.*"))
+    return out
+
+
+def load_parts(spark: SparkSession, root: str, name: str, schema: T.StructType, key: str) -> DataFrame:
+    """A keyed table of the newest version; empty before the first one."""
+    return _read_parts(spark, root, name, schema, key, {p: at for p, (at, _, _) in _parts(spark, root, name)[1].items()})
+
+
+def upsert_parts(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    schema: T.StructType,
+    key: str,
+    changes: DataFrame,
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    version: int | None = None,
+    parts: int = PARTS,
+    most_added: float = MOST_ADDED,
+) -> int:
+    """Bring a keyed table up to date: ``merge`` makes the new rows of the keys in ``changes`` from their rows before and the changes.
+
+    Only parts with changed keys are read, only the rows of changed keys are written, and parts of which more than ``most_added`` was added are written anew. The
+    version is published last; one that is published already is left alone. ``changes`` is read several times: let it be a written table.
+    """
+    now, known = _parts(spark, root, name)
+    version = now + 1 if version is None else version
+    if version <= now:
+        return now
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+    keyed = changes.withColumn(_PART, part)
+    touched = [r[0] for r in keyed.select(_PART).distinct().collect()]  # as many as there are parts at most
+    before = _read_parts(spark, root, name, schema, key, {p: known[p][0] for p in touched if p in known})
+    before = before.join(changes.select(key).distinct().hint("shuffle_hash"), key, "left_semi").select([f.name for f in schema.fields])
+    rows = merge(before, changes).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    path = f"{root}/{name}/version={version}"
+
+    def store(df: DataFrame) -> None:
+        df.withColumns({_PART: part, _VERSION: F.lit(version).cast("long")}).repartition(parts, _PART).write.mode("overwrite").partitionBy(_PART).parquet(path)
+
+    store(rows)
+    sizes = {r[_PART]: r["n"] for r in spark.read.parquet(path).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()} if touched else {}
+    grown = {p: (known[p][0], known[p][1], known[p][2] + n) for p, n in sizes.items() if p in known}
+    full = [p for p, (_, base, added) in grown.items() if added > most_added * base]
+    if full:  # what is in these parts becomes one version again, beside the rows of the others
+        old = _read_parts(spark, root, name, schema, key, {p: grown[p][0] for p in full})
+        again = old.join(rows.select(key).hint("shuffle_hash"), key, "left_anti").select(rows.columns).unionByName(rows)
+        path_again = f"{root}/{name}/version={version}-whole"
+        again.withColumns({_PART: part, _VERSION: F.lit(version).cast("long")}).filter(F.col(_PART).isin(full)).repartition(parts, _PART).write.mode("overwrite").partitionBy(_PART).parquet(path_again)
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for p in full:
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_PART}={p}")
+            fs.delete(target, True)
+            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path_again}/{_PART}={p}"), target)
+        whole = {r[_PART]: r["n"] for r in spark.read.parquet(path).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}
+    state = dict(known)
+    for p, n in sizes.items():
+        state[p] = ([version], whole[p], 0) if p in full else ([*known[p][0], version], *grown[p][1:]) if p in known else ([version], n, 0)
+    entries = [(version, name, p, *x) for p, x in sorted(state.items())] or [(version, name, -1, [], 0, 0)]
+    spark.createDataFrame(entries, _PARTS).coalesce(1).write.mode("append").json(f"{root}/parts-manifest")
+    return version
+
+
 def write_report(rows: DataFrame, path: str, partition: str = "institution_type") -> None:
     rows.write.mode("overwrite").partitionBy(partition).parquet(path)

@@ -51,16 +51,18 @@ def run(spark: SparkSession, source: str, root: str, schema: T.StructType, files
     """Process all files that have arrived, batch by batch, and return the index.
 
     A batch makes the state's next version from its own number, so a batch that is run again after a
-    failure changes nothing.
+    failure changes nothing. The index lies in parts: a batch writes the rows of its own users.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state_store.commit(spark, root, {"seen": merged(state_store.load(spark, root, "seen", SEEN), summed(batch))}, batch_id + 1)
+        path = f"{root}/arrived/batch={batch_id}"
+        summed(batch).write.mode("overwrite").parquet(path)
+        state_store.upsert_parts(spark, root, "seen", SEEN, "user_id", spark.read.schema(SEEN).parquet(path), merged, batch_id + 1)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return state_store.load(spark, root, "seen", SEEN)
+    return state_store.load_parts(spark, root, "seen", SEEN, "user_id")
 
 
 KEY, PRINT, DAY = "source_url", "listing_fingerprint", "seen_on"
