@@ -39,12 +39,6 @@ def topic_reason(matches: Column, score: Column) -> Column:
     return F.when(F.size(matches) == 0, NO_TOPIC).otherwise(F.concat(level, F.lit(" devido a: "), top, F.lit(".")))
 
 
-def term_matches(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, weight, position) of a table of texts and a policy table of terms, by substring."""
-    small = F.broadcast(terms)  # a policy list of fixed size
-    return texts.join(small, F.col(text_col).contains(F.col("term"))).select(id_col, "term", "weight", "position")
-
-
 def with_eligibility(rows: DataFrame, graduation: Column, masters: Column, doctorate: Column, other: Column, out: str = "formal_eligibility") -> DataFrame:
     """Rows with their formal eligibility; the texts are normalised once, in columns of their own."""
     names = ["nf_g", "nf_m", "nf_d", "nf_o"]

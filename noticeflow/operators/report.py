@@ -88,6 +88,17 @@ def facets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(pairs.alias("x")).select("x.*").filter(F.coalesce("value", F.lit("")) != "").distinct()
 
 
+def ordered_facets(rows: DataFrame, columns: Sequence[str], checkpoint) -> DataFrame:
+    """(facet, value, n_forms, place): values that differ in case or accents alone are one, in its least form, numbered in their order without either."""
+    found = facets(rows, columns).withColumn("nf_same", F.collate("value", "UNICODE_CI_AI"))
+    once = found.groupBy("facet", "nf_same").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n_forms"))
+    # the collation orders and compares; what is written has the plain order beside it, so that ranges are total
+    own = once.select("facet", "value", "n_forms")
+    placed = numbered(own, [F.col("facet").asc(), F.collate("value", "UNICODE_CI_AI").asc(), F.col("value").asc()], checkpoint)
+    first = placed.groupBy("facet").agg(F.min("rank").alias("nf_first"))
+    return placed.join(first.hint("shuffle_hash"), "facet").select("facet", "value", "n_forms", (F.col("rank") - F.col("nf_first") + 1).alias("place"))
+
+
 def institution_groups(rows: DataFrame, institution: str, contest: str, rank: str) -> DataFrame:
     return rows.groupBy(institution).agg(
         F.count_distinct(contest).alias("n_contests"), F.count(F.lit(1)).alias("n_rows"), F.min(rank).alias("first_rank")
@@ -107,6 +118,13 @@ def common_attributes(rows: DataFrame, group: Sequence[str], columns: Sequence[s
     )
 
 
+def specific_attributes(rows: DataFrame, group: Sequence[str], key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(group, key, label, value) of the attributes of each row that its group doesn't have in common; empty ones are left out."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in columns]))
+    each = rows.select(*group, *[k for k in key if k not in group], pairs.alias("x")).select("*", "x.*").drop("x").filter("value IS NOT NULL")
+    return each.join(common_attributes(rows, group, columns).drop("value").hint("shuffle_hash"), [*group, "label"], "left_anti")
+
+
 def expanded(parents: DataFrame, children: Sequence[DataFrame], key: str, column: str) -> DataFrame:
     """A row for each child of the first source that has any for its parent; parents without children stay as they are.
 

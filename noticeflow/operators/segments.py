@@ -136,8 +136,16 @@ def scoped_evidence(evidence: DataFrame, key: Sequence[str], score: str, cued: s
     return out.withColumn("confidence", sure).withColumn("nf_k", F.row_number().over(top)).filter(F.col("nf_k") <= most).drop("nf_best", "nf_n", "nf_area", "nf_cued", "nf_k")
 
 
-def best_extractor(candidates: DataFrame, key: Sequence[str], extractor_rank: str) -> DataFrame:
-    """Rows of the extractor that yields most rows for a document; the first in rank on ties."""
+def best_extractor(candidates: DataFrame, key: Sequence[str], extractor_rank: str, repeated: int | None = None, labelled: int | None = None) -> DataFrame:
+    """Rows of one extractor for each document: the one that yields most rows, the first in rank on ties.
+
+    Where the extractors of repeated and of labelled blocks are named, repeated blocks come before all others if there are several of them, then
+    labelled ones if there are more of these than of repeated ones.
+    """
     counts = candidates.groupBy(*key, extractor_rank).agg(F.count(F.lit(1)).alias("nf_n"))
-    chosen = counts.groupBy(*key).agg(F.max_by(extractor_rank, F.struct("nf_n", -F.col(extractor_rank))).alias(extractor_rank))
+    most = F.max_by(extractor_rank, F.struct("nf_n", -F.col(extractor_rank)))
+    if repeated is not None and labelled is not None:
+        n = lambda which: F.coalesce(F.max(F.when(F.col(extractor_rank) == which, F.col("nf_n"))), F.lit(0))
+        most = F.when(n(repeated) > 1, F.lit(repeated)).when(n(labelled) > n(repeated), F.lit(labelled)).otherwise(most)
+    chosen = counts.groupBy(*key).agg(most.alias(extractor_rank))
     return candidates.join(chosen.hint("shuffle_hash"), [*key, extractor_rank])

@@ -6,7 +6,7 @@ rows of the keys that changed, and a part is written anew once what was added ou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +40,20 @@ def load(spark: SparkSession, root: str, name: str, schema: T.StructType, versio
     return found.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: int | None = None) -> int:
+def commit(spark: SparkSession, root: str, tables: Mapping[str, DataFrame | Callable[[], DataFrame]], version: int | None = None, partitions: dict[str, list[str]] | None = None) -> int:
     """Write all tables as a new version, then publish it. A version that is published already is left alone.
 
-    The version before stays readable while the new one is made from it.
+    The version before stays readable while the new one is made from it. ``partitions`` names columns by whose values a table is
+    put into folders. A function in
+    place of a table is called when the tables before it have been written, so it can use what their writes observed.
     """
     now = newest(spark, root)
     version = now + 1 if version is None else version
     if version <= now:
         return now
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+        df = df() if callable(df) else df
+        df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{root}/version={version}/{name}")
     spark.createDataFrame([(version, sorted(tables))], _MANIFEST).coalesce(1).write.mode("append").json(f"{root}/manifest")
     return version
 
@@ -146,7 +149,3 @@ def upsert_parts(
     entries = [(version, name, p, *x) for p, x in sorted(state.items())] or [(version, name, -1, [], 0, 0)]
     spark.createDataFrame(entries, _PARTS).coalesce(1).write.mode("append").json(f"{root}/parts-manifest")
     return version
-
-
-def write_report(rows: DataFrame, path: str, partition: str = "institution_type") -> None:
-    rows.write.mode("overwrite").partitionBy(partition).parquet(path)
