@@ -61,8 +61,11 @@ def admissible(c: Column) -> Column:
     return F.lower(_part(c, 1)).isin("http", "https") & port.isin("", "80", "443") & ~local
 
 
-def excluded(c: Column) -> Column:
-    """Links that never lead to a document: by domain, first host label, or path."""
+def excluded(c: Column, discovery_host: str | None = None, kept_path: str = "/noticias/") -> Column:
+    """Links that never lead to a document: by domain, first host label, or path.
+
+    Of the host that notices are discovered on only the pages under ``kept_path`` are followed; it holds no documents itself.
+    """
     name = host(c)
     labels = F.split(name, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
@@ -71,4 +74,6 @@ def excluded(c: Column) -> Column:
     by_path = F.lit(False)
     for p in policy.EXCLUDED_PATHS:
         by_path = by_path | (path == p) | path.startswith(p + "/")
+    if discovery_host:
+        by_path = by_path | (name.endswith(discovery_host) & ~path.contains(kept_path))
     return F.arrays_overlap(suffixes, domains) | F.get(labels, F.lit(0)).isin(*policy.EXCLUDED_LABELS) | by_path

@@ -9,9 +9,10 @@ from noticeflow.operators import cargos, counters, report, segments, state, vaca
 from noticeflow.operators.requirements import LEVELS
 from noticeflow.plans.layout_queries import _LINES, _lines, _with
 from noticeflow.plans.report_queries import NOTICES, _notices
-from noticeflow.plans.state_queries import BEFORE, NOW, listing
+from noticeflow.plans.state_queries import AS_OF, BEFORE, NOW, listing
 from noticeflow.plans.tables import table
 from noticeflow.plans.text_queries import _shared, checkpointed
+from noticeflow.sources import notices as notices_source
 from noticeflow.sources import pages, state_store
 
 
@@ -164,3 +165,35 @@ SELECT k AS o_orderkey, ['official', 'listed', 'recovered', 'notice'][s + 1] AS
 FROM r"""
 
 QUERIES["vacancy_report"] = (vacancy_report, VACANCY_REPORT)
+
+
+def notice_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole records of orders rendered as notice pages, with what only their cards tell."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    html = _with(
+        '<article id="noticia"><h1 itemprop="headline">Inst ', ".o_custkey", " publica vaga ", ".o_orderkey", '</h1><div itemprop="articleBody"><p>Exige graduação em Curso K', (k % 50).cast("string"), " e mestrado em Letras.",
+        F.when(k % 2 == 0, " São 5 vagas no campus de Lugar3, Nova Serra/PR.").otherwise(""), F.when(k % 3 == 0, _with(" Salário de R$ ", (k % 9).cast("string"), ",00.")).otherwise(""), " Na área de Física, subárea de Óptica. </p><ul>",
+        F.when(k % 4 != 3, _with("<li>Professor Adjunto de Arte (2 vagas)</li><li>Motorista</li>")).otherwise(""), '</ul><a href="https://apply.example.org/', ".o_orderkey", '">inscrição</a></div><a class="edital-pdf-link" data-link="',
+        ".o_orderkey", '" data-code="7">Edital</a></article>',
+    )
+    o = table(spark, sf, "orders")
+    listing = o.select(
+        "o_orderkey", F.when(k % 7 != 0, _with("Card ", ".o_custkey")).alias("institution"), F.lit("SP").alias("state"), F.when(k % 5 == 0, "Docente").alias("position"), F.lit("R$ 1,00").alias("salary_text"),
+        d.alias("registration_end"), F.lit(9).alias("vacancies_count"),
+    )
+    found = notices_source.records(o.select("o_orderkey", html.alias("html")), "o_orderkey", "html", F.lit("https://list.example.org/n/"), listing, F.lit(AS_OF).cast("date"), checkpointed(spark))
+    lists = {"documents": F.array_join(F.transform("documents", lambda x: F.concat_ws(" ", x["label"], x["link_id"], x["access"])), ";"), "opportunities": F.array_join(F.transform("opportunities", lambda x: F.concat_ws(" ", x["course"], x["vacancies_count"].cast("string"))), ";")}
+    return found.withColumns(lists)
+
+
+NOTICE_RECORDS = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey AS k, 'Exige graduação em Curso K' || o_orderkey % 50 || ' e mestrado em Letras.' || CASE WHEN o_orderkey % 2 = 0 THEN ' São 5 vagas no campus de Lugar3, Nova Serra/PR.' ELSE '' END
+    || CASE WHEN o_orderkey % 3 = 0 THEN ' Salário de R$ ' || o_orderkey % 9 || ',00.' ELSE '' END || ' Na área de Física, subárea de Óptica.' || CASE WHEN o_orderkey % 4 <> 3 THEN ' Professor Adjunto de Arte (2 vagas) Motorista' ELSE '' END || ' inscrição' AS raw_text, o_orderdate::DATE AS d FROM orders)
+SELECT o_orderkey, 'Inst ' || o_custkey || ' publica vaga ' || k AS title, '' AS description, raw_text, CASE WHEN k % 7 <> 0 THEN 'Card ' || o_custkey ELSE 'Inst ' || o_custkey END AS institution, NULL AS institution_url,
+  'https://apply.example.org/' || k AS official_url, 'Edital ' || k || ' HUMAN_VERIFICATION_REQUIRED' AS documents, CASE WHEN k % 4 <> 3 THEN 'Arte 2' END AS opportunities, CASE WHEN k % 2 = 0 THEN 'Lugar3' END AS campus,
+  CASE WHEN k % 2 = 0 THEN 'PR' ELSE 'SP' END AS state, CASE WHEN k % 2 = 0 THEN 'Nova Serra' END AS city, CASE WHEN k % 4 <> 3 THEN 'Professor Adjunto' WHEN k % 5 = 0 THEN 'Docente' ELSE 'Professor' END AS position,
+  'Física' AS area, 'Óptica' AS subarea, 'Concurso público' AS employment_type, NULL AS workload, NULL AS salary, CASE WHEN k % 3 = 0 THEN 'R$ ' || k % 9 || ',00' ELSE 'R$ 1,00' END AS salary_text, NULL::DATE AS registration_start,
+  d AS registration_end, NULL::DATE AS publication_date, CASE WHEN k % 2 = 0 THEN 5 WHEN k % 4 <> 3 THEN 2 ELSE 9 END::INT AS vacancies_count, 'graduação em Curso K' || k % 50 AS graduation_requirement, 'mestrado em Letras' AS postgraduate_requirement,
+  'mestrado em Letras' AS masters_requirement, NULL AS doctorate_requirement, 'graduação em Curso K' || k % 50 AS graduation_requirement_raw, 'mestrado em Letras' AS postgraduate_requirement_raw,
+  'mestrado em Letras' AS masters_requirement_raw, NULL AS doctorate_requirement_raw, NULL AS other_requirements FROM o"""
+
+QUERIES["notice_records"] = (notice_records, NOTICE_RECORDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from noticeflow.functions import urls
 from noticeflow.functions.dates import application_window
 from noticeflow.functions.fields import area, position, subarea
 from noticeflow.functions.text import campus, city_state, dates, employment_type, money, normalised, spaced, vacancies, workload
+from noticeflow.operators.cargos import posts
+from noticeflow.operators.requirements import LEVELS, with_levels
 from noticeflow.sources.pages import _fed, _rows, _Walker
 
 #: Words beside a link to the place where one applies.
@@ -82,6 +84,14 @@ _FIELDS = [
 ]
 
 
+#: The columns of a notice's record.
+RECORD = (
+    "title", "description", "raw_text", "institution", "institution_url", "official_url", "documents", "opportunities", "campus", "state", "city", "position", "area", "subarea",
+    "employment_type", "workload", "salary", "salary_text", "registration_start", "registration_end", "publication_date", "vacancies_count",
+    "graduation_requirement", "postgraduate_requirement", "masters_requirement", "doctorate_requirement", *LEVELS, "other_requirements",
+)
+
+
 def parts(pages: DataFrame, key: str, html: str) -> DataFrame:
     """A notice page's parts; pages without a headline or a body have no row."""
 
@@ -124,9 +134,26 @@ def references(found: DataFrame, key: str, base: Column) -> DataFrame:
     return best_per_key(rows.withColumn("nf_id", once), [key, "nf_id"], [F.lit(0)], "position").drop("nf_id")
 
 
+def merged_references(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """References that a notice has, and those behind a check for humans that another of its pages adds: by code and id, known ones first."""
+    own = [key, "news_code", "link_id"]
+    new = found.filter(F.col("access") == PROTECTED).join(known.select(own).distinct().hint("shuffle_hash"), own, "left_anti")
+    from noticeflow.operators.state import best_per_key
+
+    new = best_per_key(new, own, [F.lit(0)], "position")
+    behind = F.coalesce(F.col("nf_most") + 1, F.lit(0)) + F.row_number().over(Window.partitionBy(key).orderBy("position", "news_code", "link_id")) - 1
+    most = known.groupBy(key).agg(F.max("position").alias("nf_most"))
+    new = new.join(most.hint("shuffle_hash"), key, "left").withColumn("position", behind).drop("nf_most")
+    return known.unionByName(new.select(known.columns))
+
+
 def details(pages: DataFrame, key: str, html: str, as_of: Column) -> DataFrame:
     """Columns of a notice: texts, dates, area, place, position, pay and counts, from its own text alone."""
-    found = parts(pages, key, html)
+    return details_of(parts(pages, key, html), key, as_of)
+
+
+def details_of(found: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """The same from a notice's ``parts``."""
     body, whole = F.col("raw_text"), F.concat_ws(" ", "title", "description", "raw_text")
     window = application_window(found, key, "raw_text", as_of)
     city, state = city_state(body)
@@ -140,3 +167,32 @@ def details(pages: DataFrame, key: str, html: str, as_of: Column) -> DataFrame:
         published.alias("publication_date"), vacancies(body).alias("vacancies_count"), "items",
     )
     return out.join(window.hint("merge"), key, "left")
+
+
+def records(pages: DataFrame, key: str, html: str, base: Column, listing: DataFrame, as_of: Column, checkpoint) -> DataFrame:
+    """Whole records of notices: 31 columns from their pages, with what only their cards in the listing tell.
+
+    ``listing`` has the key, institution, state, position, salary_text, registration_end and vacancies_count. The card's institution comes first; its other columns
+    stand in where the page says nothing. Pages are parsed once.
+    """
+    found = checkpoint(parts(pages, key, html), "notice-parts")
+    own = details_of(found, key, as_of).drop("items")
+    own = with_levels(own, "raw_text")
+    posted = posts(found.select(key, F.posexplode("items").alias("position", "item")), [key], "item", "position")
+    post = F.struct("position", "cargo", "course", "requirement_hint", "vacancies_count", "reserve_only")
+    posted = posted.groupBy(key).agg(F.array_sort(F.collect_list(post)).alias("opportunities"))
+    refs = references(found, key, base)
+    refs = refs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "label", "url", "link_id", "news_code", "access"))).alias("documents"))
+    cards = listing.select(key, *[F.col(c).alias(f"nf_{c}") for c in ("institution", "state", "position", "salary_text", "registration_end", "vacancies_count")])
+    rows = own.join(cards.hint("merge"), key, "left")
+    for side in (link_roles(found, key, base), posted, refs):
+        rows = rows.join(side.hint("merge"), key, "left")
+    whole = F.concat_ws(" ", "title", "description", "raw_text")
+    either = lambda first, second: F.coalesce(F.nullif(F.col(first).cast("string"), F.lit("")), F.col(second).cast("string"))
+    columns = {
+        "institution": either("nf_institution", "institution"), "state": F.coalesce(either("state", "nf_state"), F.lit("")), "position": position(whole, F.coalesce(F.nullif("nf_position", F.lit("")), F.lit("Professor"))),
+        "salary": F.lit(None).cast("string"), "salary_text": either("salary_text", "nf_salary_text"), "registration_end": F.coalesce("registration_end", "nf_registration_end"),
+        "vacancies_count": F.coalesce("vacancies_count", "nf_vacancies_count"), "other_requirements": F.lit(None).cast("string"),
+        **{c.removesuffix("_raw"): F.col(c) for c in LEVELS},
+    }
+    return rows.withColumns(columns).select(key, *RECORD)

@@ -24,6 +24,9 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 MOST_TEXT, LEAST_TEXT = 2_000_000, 5000
 HEADER_ROWS = 5
 CAPTCHA = r"(?i)captcha|recaptcha|hcaptcha"
+#: Blocks whose text tells what a link in them is about, how long it may be, and a number with its year.
+AROUND, MOST_CONTEXT = frozenset(("p", "li", "tr", "div", "article", "section")), 900
+NUMBER = re.compile(r"\d{1,5}\s*[/.-]\s*\d{2,4}")
 
 
 class _Walker(HTMLParser):
@@ -55,23 +58,46 @@ class _Walker(HTMLParser):
 
 
 class _Links(_Walker):
+    """Links with their labels, and the blocks around them as stretches of one list of the page's texts."""
+
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[list] = []
         self.current: list | None = None
+        self.texts: list[str] = []
+        self.blocks: list[list[int]] = []  # the open ones; each begins and ends at a place in the texts
 
     def enter(self, tag: str, attrs: dict) -> None:
+        if tag in AROUND:
+            self.blocks.append([len(self.texts), -1])
         if tag == "a" and "href" in attrs:
-            self.current = [len(self.rows), attrs["href"], attrs.get("title", ""), ""]
+            self.current = [len(self.rows), attrs["href"], attrs.get("title", ""), "", list(self.blocks)]
             self.rows.append(self.current)
 
     def leave(self, tag: str, attrs: dict) -> None:
         if tag == "a":
             self.current = None
+        if tag in AROUND:
+            self.blocks.pop()[1] = len(self.texts)
 
     def text(self, data: str) -> None:
         if self.current is not None:
             self.current[3] += data
+        if own := " ".join(data.split()):
+            self.texts.append(own)
+
+    def context(self, row: list) -> str:
+        """The text of the smallest block that names a number, else of the largest one that isn't too long; the label if there is none."""
+        context = " ".join(f"{row[3]} {row[2]}".split())
+        for begin, end in reversed(row[4]):
+            said = " ".join(self.texts[begin : len(self.texts) if end < 0 else end])
+            if len(said) > MOST_CONTEXT:
+                break
+            if len(said) > len(context):
+                context = said
+            if NUMBER.search(said):
+                break
+        return context[:MOST_CONTEXT]
 
 
 class _Text(_Walker):
@@ -166,10 +192,10 @@ class _Cards(_Walker):
             self.card["institution"] += own
 
 
-def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tuple]], fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """One row for each tuple that ``read`` finds in a page, with the page's key."""
-    key_type = pages.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), *[T.StructField(n, t) for n, t in fields]])
+def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tuple]], fields: list[tuple[str, T.DataType]], carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each tuple that ``read`` finds in a page, with the page's key and the columns that are carried along."""
+    own = (key, *carried)
+    schema = T.StructType([*[T.StructField(c, pages.schema[c].dataType) for c in own], *[T.StructField(n, t) for n, t in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -177,12 +203,12 @@ def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tupl
         arrow = to_arrow_schema(schema)
         for batch in batches:
             out: list[tuple] = []
-            for k, page in zip(batch[key].to_pylist(), batch[html].to_pylist(), strict=True):
-                out += [(k, *r) for r in read(page or "")]
+            for *values, page in zip(*[batch[c].to_pylist() for c in own], batch[html].to_pylist(), strict=True):
+                out += [(*values, *r) for r in read(page or "")]
             columns = list(zip(*out, strict=True)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return pages.select(key, html).mapInArrow(run, schema)
+    return pages.select(*own, html).mapInArrow(run, schema)
 
 
 def _fed(walker: _Walker, page: str) -> _Walker:
@@ -193,20 +219,23 @@ def _fed(walker: _Walker, page: str) -> _Walker:
     return walker
 
 
-def links(pages: DataFrame, key: str, html: str, base: str) -> DataFrame:
-    """(key, position, url, label) of a page's links, resolved against its address.
+def links(pages: DataFrame, key: str, html: str, base: str, context: bool = False) -> DataFrame:
+    """(key, position, url, label) of a page's links, resolved against its address; with ``context`` also what the block around a link says.
 
     Anchors inside the page, scripts, mail and telephone links, and links of a page to itself are left out.
     """
-    found = _rows(
-        pages, key, html, lambda p: [tuple(r) for r in _fed(_Links(), p).rows],
-        [("position", T.IntegerType()), ("href", T.StringType()), ("link_title", T.StringType()), ("link_text", T.StringType())],
-    )
+
+    def read(page: str) -> list[tuple]:
+        w = _fed(_Links(), page)
+        return [(*r[:4], w.context(r) if context else None) for r in w.rows]
+
+    kinds = [("position", T.IntegerType()), ("href", T.StringType()), ("link_title", T.StringType()), ("link_text", T.StringType()), ("context", T.StringType())]
+    pages = pages.withColumn("nf_base", F.col(base))
+    found = _rows(pages, key, html, read, kinds, ("nf_base",))
     kept = found.filter(~F.col("href").rlike(r"(?i)^\s*(?:#|javascript:|mailto:|tel:)") & (F.trim("href") != ""))
-    own = pages.select(F.col(key).alias("nf_key"), F.col(base).alias("nf_base"))
     url = urls.fetch_form(urls.resolved(F.col("href"), F.col("nf_base")))
     label = spaced(F.concat_ws(" ", "link_text", "link_title"))
-    out = kept.join(own.hint("merge"), F.col(key) == F.col("nf_key")).select(key, "position", url.alias("url"), label.alias("label"), "nf_base")
+    out = kept.select(key, "position", url.alias("url"), label.alias("label"), *(["context"] if context else []), "nf_base")
     return out.filter(F.col("url") != urls.fetch_form(F.col("nf_base"))).drop("nf_base")
 
 
