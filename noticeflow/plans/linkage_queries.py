@@ -114,7 +114,21 @@ SELECT p_partkey, c_custkey, reason, CASE reason WHEN 'same number' THEN k || '/
 FROM r WHERE reason IS NOT NULL"""
 
 
+def seed_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the walk of an order begins: overrides, retries, its documents and the order's own page, each address once under its first source."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("notice"), F.concat(F.lit("p"), "l_partkey").alias("url"), F.concat(F.lit("s"), "l_suppkey").alias("other"), "l_returnflag")
+    own = table(spark, sf, "orders").select(F.col("o_orderkey").alias("notice"), F.concat(F.lit("o"), "o_orderkey").alias("url"))
+    sources = [lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'").select("notice", F.col("other").alias("url")), lines, own]
+    return linkage.seeds(sources, "notice")
+
+
+SEED_SET = """WITH s AS (SELECT l_orderkey AS notice, 'p' || l_partkey AS url, 0 AS r FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 's' || l_suppkey, 1 FROM lineitem WHERE l_returnflag = 'A'
+  UNION ALL SELECT l_orderkey, 'p' || l_partkey, 2 FROM lineitem UNION ALL SELECT o_orderkey, 'o' || o_orderkey, 3 FROM orders)
+SELECT notice, url, min(r)::INT AS seed_rank FROM s GROUP BY notice, url"""
+
+
 QUERIES = {
+    "seed_set": (seed_set, SEED_SET),
     "substring_overlap": (substring_overlap, SUBSTRING_OVERLAP),
     "topic_score_table": (topic_score_table, TOPIC_SCORE_TABLE),
     "notice_numbers": (notice_numbers, NOTICE_NUMBERS),

@@ -246,7 +246,7 @@ ID_MATCH_ALL = """SELECT o_orderkey, p_partkey, (o_orderkey % 9973) || '/' || ri
 
 
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts and suppliers' nations by words in common with benchmark items."""
+    """Documents and benchmark items by their long words in common, of nine letters and more."""
     b = table(spark, sf, "benchmark").select("item_id", linkage.tokens(F.col("text"), (), 9).alias("words"))
     d = table(spark, sf, "documents").select("doc_id", linkage.tokens(F.col("text"), (), 9).alias("words"))
     return linkage.token_matches(d, b, "doc_id", "item_id", "words").filter("n_common >= 3")

@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from noticeflow.functions import urls
 from noticeflow.operators import annexes, evidence, extractors, linkage, relevance, requirements, row_patterns, substrings, tables
-from noticeflow.sources import pages
+from noticeflow.sources import notices, pages
 
 
 @pytest.fixture(scope="module")
@@ -352,3 +353,38 @@ def test_a_walk_leaves_no_table_behind(spark, write):
     before = {t.name for t in spark.catalog.listTables()}
     got = linkage.best_first(seeds, links, write, visits=3).orderBy("visit").collect()
     assert [r.url for r in got] == ["a", "d", "b"] and {t.name for t in spark.catalog.listTables()} == before
+
+
+# blocks of areas, links and references
+
+
+def test_repeated_areas(spark):
+    page = """Cargos. Área de Conhecimento ou Matéria(s) Administração Geral Nº de vagas 1 vaga Local de Atuação Campus Norte Requisito(s) Graduação em
+    Administração e doutorado em Administração. Tipos de Prova: escrita. 40 horas semanais. DTD 12-3 """ + "x " * 200 + "99 vagas area de conhecimento ou materia(s) Letras Requisito(s) Licenciatura em Letras"
+    rows = [(1, 2, page), (1, 3, "área de conhecimento ou matéria(s) sem exigência"), (2, 1, None)]
+    got = annexes.repeated_areas(spark.createDataFrame(rows, "d int, page int, t string"), "d", "page", "t").orderBy("area").collect()
+    assert [(r.page, r.area, r.reference, r.campus, r.workload, r.vacancies_count) for r in got] == [(2, "Administração Geral", "DTD 12-3", "Campus Norte", "40 horas semanais", 1), (2, "Letras", None, None, None, None)]
+    assert got[0].doctorate_requirement_raw == "doutorado em Administração" and got[1].requirement_text == "Licenciatura em Letras"
+
+
+def test_contexts_of_links(spark):
+    long = "y" * 901
+    html = f"<body>fora <section>{long}<div>Processo <p>aviso <a href='/a' title='t'>Mais</a></p><table><tr><td>Edital 7/2026</td><td><a href='/b'>Mais</a></td></tr></table></div></section><a href='/c'>Só</a> <p>{long}<a href='/d'>Fim</a></p>"
+    df = spark.createDataFrame([(1, html, "https://x.org/"), (2, None, "https://x.org/")], "k int, h string, base string")
+    got = {r.url[-1]: r.context for r in pages.links(df, "k", "h", "base", context=True).collect()}
+    assert got == {"a": "Processo aviso Mais Edital 7/2026 Mais", "b": "Edital 7/2026 Mais", "c": "Só", "d": "Fim"}
+
+
+def test_the_discovery_host_holds_no_documents(spark):
+    links = ["https://www.list.org/noticias/a", "https://list.org/apostilas", "https://other.org/apostilas", "https://blog.list.org/noticias/a"]
+    df = spark.createDataFrame([(u,) for u in links], "u string").select(urls.excluded(F.col("u"), "list.org").alias("a"), urls.excluded(F.col("u")).alias("b"))
+    assert [tuple(r) for r in df.collect()] == [(False, False), (True, False), (False, False), (True, True)]
+
+
+def test_references_of_other_pages_are_added(spark):
+    kind = "k int, position int, label string, url string, link_id string, news_code string, access string"
+    guarded, direct = notices.PROTECTED, notices.DIRECT
+    known = spark.createDataFrame([(1, 0, "A", None, "5", "9", guarded), (1, 3, "B", "/b", None, None, direct)], kind)
+    found = spark.createDataFrame([(1, 0, "again", None, "5", "9", guarded), (1, 1, "C", None, "6", "9", guarded), (1, 2, "C2", None, "6", "9", guarded), (1, 3, "D", "/d", None, None, direct), (2, 7, "E", None, "1", "1", guarded)], kind)
+    got = sorted((r.k, r.position, r.label) for r in notices.merged_references(known, found, "k").collect())
+    assert got == [(1, 0, "A"), (1, 3, "B"), (1, 4, "C"), (2, 0, "E")]
