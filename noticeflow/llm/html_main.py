@@ -70,6 +70,11 @@ WEAK_NAMES = frozenset("banner copyright feedback header login notice recommende
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: Class and id names of main containers.
 GOOD_NAMES = frozenset("articlebody article content entry main post story".split())
+#: Words that may stand beside those in the names of containers inside of an article.
+NEUTRAL_NAMES = frozenset(
+    """area bar block bottom box btn button buttons col column container content default desktop footer global group head header inline inner item items layout left line link links list main menu
+    mobile module outer page panel row section site slot small text title top right unit wrap wrapper""".split()
+)
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 LONG, SHORT = 140, 70  # characters
@@ -125,7 +130,11 @@ def _kind(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            names.update(_NAME.split(value))
+            for token in value.split():
+                parts = {p for p in _NAME.split(token) if p}
+                # inside of an article a name counts if it has no other words: "ad-box" does, "ad-hoc" and "form-factor" don't
+                if not inside or all(p in BAD_NAMES or p in GOOD_NAMES or p in NEUTRAL_NAMES or p.isdigit() for p in parts):
+                    names |= parts
         elif key == "role":
             bad |= value in BAD_ROLES
             article = max(article, 2 * (value in ("main", "article")))
@@ -257,7 +266,7 @@ def _first_pass(page_blocks: list[Block], inside: bool) -> list[bool | None]:
         if b.bad:
             out.append(False)
         elif b.links > MANY_LINKS * n:
-            out.append(False if n >= SHORT or not inside else None)
+            out.append(False if not inside or (n >= SHORT and not dense) else None)
         elif n < SHORT:
             out.append(True if inside and share >= MANY_STOP else None)
         elif dense and (inside or n >= LONG):
