@@ -9,7 +9,7 @@ from noticeflow import policy
 from noticeflow.functions.text import normalised
 from noticeflow.operators import classify, report
 from noticeflow.plans.state_queries import AS_OF, NOTICES, _notices
-from noticeflow.plans.tables import day, joined, table
+from noticeflow.plans.tables import day, table
 from noticeflow.plans.text_queries import checkpointed
 
 #: Terms for the driver's invented prose, in place of the policy's own.

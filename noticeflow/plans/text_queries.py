@@ -5,15 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow import policy
 from noticeflow.functions import dates as windows
 from noticeflow.functions import text, urls
-from noticeflow.operators import linkage, segments, state
+from noticeflow.operators import linkage, segments
 from noticeflow.plans.state_queries import AS_OF, BEFORE, NOW, SEEN_INDEX, listing
-from noticeflow.plans.tables import day, joined, table
+from noticeflow.plans.tables import day, table
 from noticeflow.sources import pages, state_store
 from noticeflow.streaming import incremental
 

@@ -200,13 +200,17 @@ def test_relevance_and_numbers(spark):
     yes, no, some = F.lit(True), F.lit(False), F.array(F.lit("1/26"))
     none = F.array().cast("array<string>")
 
-    def why(own, named, area=no, words=0, place=no, title=0, selects=yes):
-        good, reason = linkage.relevance(own, named, area, F.lit(words), place, F.lit(title), selects, yes)
+    def why(own, named, known=no, area=no, common=0, words=3, place=no, title=0, selects=yes):
+        good, reason = linkage.relevance(own, named, known, area, F.lit(common), F.lit(words), place, F.lit(title), selects, yes)
         r = one(spark, g=good, r=reason)
         return r.g, r.r
 
-    assert why(some, some) == (True, "same number") and why(some, F.array(F.lit("2/26")), area=yes) == (False, "other number")
-    assert why(none, some, words=2) == (True, "area words") and why(none, none) == (False, "nothing in common") and why(some, some, selects=no)[0] is False
+    assert why(some, some) == (True, "same number") and why(some, F.array(F.lit("2/26")), known=yes, area=yes) == (False, "other number")
+    assert why(some, none, known=yes, area=yes) == (False, "other number")  # a document without any number lacks the notice's
+    assert why(none, some, known=yes, common=2) == (True, "area") and why(none, some, known=yes, common=1, words=1) == (True, "area")
+    assert why(none, some, known=yes, common=1, place=yes, title=2) == (False, "other area")  # a known area decides
+    assert why(none, some, place=yes) == (True, "institution") and why(none, some, title=2) == (True, "title words")
+    assert why(none, none) == (False, "nothing in common") and why(some, some, selects=no)[0] is False
 
 
 def heap_walk(seeds, links, visits, depth):
