@@ -197,3 +197,24 @@ SELECT o_orderkey, 'Inst ' || o_custkey || ' publica vaga ' || k AS title, '' AS
   'mestrado em Letras' AS masters_requirement_raw, NULL AS doctorate_requirement_raw, NULL AS other_requirements FROM o"""
 
 QUERIES["notice_records"] = (notice_records, NOTICE_RECORDS)
+
+
+def cargo_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Items of lists in eight forms by part: roles, groups, numbers, levels, counts, reserves, qualifications, and one that is no teaching post."""
+    v, tema = F.col("part") % 8, _with("Tema", ".part")
+    forms = [
+        _with("Professor Licenciado: Área - Professor de ", tema, " (CR)"), _with("PROFESSOR Licenciado - Área III / ", tema, " (1 vaga + CR)"), _with("Professora de ", tema, " (Pós ou cursos de aperfeiçoamento)"),
+        _with("Professor 1 - ", tema, " (6º ao 9º ano) (", ".l_linenumber", " vagas)"), _with("Professor II (", tema, ") (cadastro de reserva)"), _with("Docente de nível médio para ", tema, " - "),
+        _with("Professor 20h (", ".l_linenumber", " vagas)"), _with("Enfermeiro ", ".part"),
+    ]
+    item = F.get(F.array(*forms), v.cast("int"))
+    items = _lines(spark, sf).select("l_orderkey", "l_linenumber", item.alias("item"))
+    return cargos.posts(items, ["l_orderkey"], "item", "l_linenumber").drop("cargo")
+
+
+CARGO_VARIANTS = f"""{_LINES}, r AS (SELECT l_orderkey, l_linenumber, part, part % 8 AS v, part || CASE WHEN part % 8 IN (3, 6) THEN '-' || l_linenumber ELSE '' END AS same FROM i WHERE part % 8 <> 7),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_orderkey, CASE WHEN v = 6 THEN 'h-' || l_linenumber ELSE same END ORDER BY l_linenumber) = 1)
+SELECT l_orderkey, l_linenumber, CASE WHEN v <> 6 THEN 'Tema' || part END AS course, CASE WHEN v = 2 THEN 'Pós ou cursos de aperfeiçoamento' END AS requirement_hint,
+  CASE WHEN v = 1 THEN 1 WHEN v IN (3, 6) THEN l_linenumber END::INT AS vacancies_count, v IN (0, 4) AS reserve_only FROM k"""
+
+QUERIES["cargo_variants"] = (cargo_variants, CARGO_VARIANTS)
