@@ -63,7 +63,7 @@ def newest_runs(history: DataFrame, order: str = "run_at", most: int = policy.RU
 
 
 #: Parts of a keyed table, and the share of a part's rows that may be added before it is written anew.
-PARTS, MOST_ADDED = 64, 0.25
+PARTS, MOST_ADDED = 8, 0.25
 _PARTS = "version long, name string, part int, at array<long>, base long, added long"
 _PART, _VERSION = "nf_part", "nf_version"
 
@@ -91,6 +91,11 @@ def _read_parts(spark: SparkSession, root: str, name: str, schema: T.StructType,
     return out
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Rows whose key is among some keys, or isn't; null is a key like others."""
+    return rows.join(keys.select(F.col(key).alias("nf_key")).hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("nf_key")), how)
+
+
 def load_parts(spark: SparkSession, root: str, name: str, schema: T.StructType, key: str) -> DataFrame:
     """A keyed table of the newest version; empty before the first one."""
     return _read_parts(spark, root, name, schema, key, {p: at for p, (at, _, _) in _parts(spark, root, name)[1].items()})
@@ -118,34 +123,22 @@ def upsert_parts(
     if version <= now:
         return now
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
-    keyed = changes.withColumn(_PART, part)
-    touched = [r[0] for r in keyed.select(_PART).distinct().collect()]  # as many as there are parts at most
-    before = _read_parts(spark, root, name, schema, key, {p: known[p][0] for p in touched if p in known})
-    before = before.join(changes.select(key).distinct().hint("shuffle_hash"), key, "left_semi").select([f.name for f in schema.fields])
-    rows = merge(before, changes).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    keys = changes.select(key).distinct()
+    touched = {r[_PART]: r["n"] for r in keys.groupBy(part.alias(_PART)).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each part at most
+    full = {p for p, n in touched.items() if p in known and known[p][2] + n > most_added * known[p][1]}
+    read = lambda some: _read_parts(spark, root, name, schema, key, {p: known[p][0] for p in some if p in known})
+    rows = merge(_of_keys(read(touched), keys, key, "left_semi").select(schema.names), changes)
+    rows = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    if full:  # what else is in these parts is written beside the changed rows, and they begin anew
+        rows = rows.unionByName(_of_keys(read(full), keys, key, "left_anti").select(schema.names))
     path = f"{root}/{name}/version={version}"
-
-    def store(df: DataFrame) -> None:
-        df.withColumns({_PART: part, _VERSION: F.lit(version).cast("long")}).repartition(parts, _PART).write.mode("overwrite").partitionBy(_PART).parquet(path)
-
-    store(rows)
+    own = rows.withColumns({_PART: part, _VERSION: F.lit(version).cast("long")}).repartition(max(1, min(parts, len(touched))), _PART)
+    own.write.mode("overwrite").partitionBy(_PART).parquet(path)
     sizes = {r[_PART]: r["n"] for r in spark.read.parquet(path).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()} if touched else {}
-    grown = {p: (known[p][0], known[p][1], known[p][2] + n) for p, n in sizes.items() if p in known}
-    full = [p for p, (_, base, added) in grown.items() if added > most_added * base]
-    if full:  # what is in these parts becomes one version again, beside the rows of the others
-        old = _read_parts(spark, root, name, schema, key, {p: grown[p][0] for p in full})
-        again = old.join(rows.select(key).hint("shuffle_hash"), key, "left_anti").select(rows.columns).unionByName(rows)
-        path_again = f"{root}/{name}/version={version}-whole"
-        again.withColumns({_PART: part, _VERSION: F.lit(version).cast("long")}).filter(F.col(_PART).isin(full)).repartition(parts, _PART).write.mode("overwrite").partitionBy(_PART).parquet(path_again)
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        for p in full:
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_PART}={p}")
-            fs.delete(target, True)
-            fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path_again}/{_PART}={p}"), target)
-        whole = {r[_PART]: r["n"] for r in spark.read.parquet(path).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}
     state = dict(known)
     for p, n in sizes.items():
-        state[p] = ([version], whole[p], 0) if p in full else ([*known[p][0], version], *grown[p][1:]) if p in known else ([version], n, 0)
+        at, base, added = known.get(p, ([], 0, 0))
+        state[p] = ([*at, version], base, added + n) if at and p not in full else ([version], n, 0)
     entries = [(version, name, p, *x) for p, x in sorted(state.items())] or [(version, name, -1, [], 0, 0)]
     spark.createDataFrame(entries, _PARTS).coalesce(1).write.mode("append").json(f"{root}/parts-manifest")
     return version
