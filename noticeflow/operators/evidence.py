@@ -58,7 +58,7 @@ def judged(line: str) -> tuple[list[str], bool, bool]:
 
 def requirement_lines(pages: DataFrame, keys: Sequence[str], page: str, text: str) -> DataFrame:
     """(keys, page, line_no, excerpt, kinds, cue): an excerpt for each line that states a requirement; excerpts of a document that read alike come once, the first."""
-    rows = lines(pages, [*keys, page], text).withColumn("x", mapped(judged, _JUDGED, F.col("line")))
+    rows = lines(pages, [*keys, page], text).withColumn("x", mapped(judged, _JUDGED, F.col("line"), filtered=True))
     w = Window.partitionBy(*keys, page).orderBy("line_no")
     frame = lambda before: F.array_join(F.collect_list("line").over(w.rowsBetween(before, AFTER)), " ")
     rows = rows.withColumn("excerpt", F.substring(F.when(F.col("x.cue"), frame(0)).otherwise(frame(-BEFORE)), 1, MOST_EXCERPT)).filter("x.states")
