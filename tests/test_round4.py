@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from noticeflow.functions.phrases import Phrases
-from noticeflow.operators import extractors, requirements
+from noticeflow.operators import extractors, requirements, tables
+from noticeflow.sources import pages
 
 
 def _python_steps(df) -> int:
@@ -28,3 +29,12 @@ def test_phrases_are_found_by_one_pattern_as_word_by_word():
     table = Phrases(("curso superior", "pos-graduacao", "graduacao", "titulo de mestre", "titulo"))
     text = "pos-graduacao x-graduacao graduacao-y (graduacao) curso  superior titulo de mestre titulo de curso_superior"
     assert [m[0] for m in table.whole().finditer(text)] == ["pos-graduacao", "graduacao", "curso  superior", "titulo de mestre", "titulo"]
+
+
+def test_tables_of_vacancies_are_parsed_once_and_their_rows_read_once(spark):
+    html = "<table><tr><th>Área</th><th>Vagas</th><th>Requisitos</th><th>Cargo</th></tr><tr><td>Temas</td><td>2</td><td>Mestrado em X</td><td>Professor</td></tr></table>"
+    docs = spark.createDataFrame([(1, html)], "k long, h string")
+    found = tables.vacancy_rows(pages.parted_cells(docs, "k", "h"), "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and _python_steps(found) == 2
+    assert [(r.row, r.area, r.vacancies_count, r.masters_requirement_raw) for r in found.collect()] == [(1, "Temas", 2, "Mestrado em X")]
