@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticeflow.functions.phrases import Phrases
-from noticeflow.operators import extractors, requirements, tables
+from noticeflow.operators import extractors, linkage, requirements, tables
 from noticeflow.sources import pages
 
 
@@ -38,3 +38,17 @@ def test_tables_of_vacancies_are_parsed_once_and_their_rows_read_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and _python_steps(found) == 2
     assert [(r.row, r.area, r.vacancies_count, r.masters_requirement_raw) for r in found.collect()] == [(1, "Temas", 2, "Mestrado em X")]
+
+
+def test_a_walk_writes_what_it_finds_once_and_keeps_only_what_has_its_turn(spark):
+    written = []
+
+    def write(df, name):
+        rows = df.collect()
+        written.append(len(rows))
+        return spark.createDataFrame(rows, df.schema)
+
+    seeds = spark.createDataFrame([(1, "a", 0)], "notice long, url string, seed_rank int")
+    links = spark.createDataFrame([("a", f"b{i}", i, i) for i in range(5)], "page string, url string, score long, position long")
+    got = linkage.best_first(seeds, links, write, visits=2, buckets=2).orderBy("visit").collect()
+    assert [(r.url, r.visit) for r in got] == [("a", 1), ("b4", 2)] and sum(written) == 7
