@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.functions.phrases import Phrases, mapped, words
+from noticeflow.functions.phrases import Phrases, folded, mapped, placed
 from noticeflow.functions.text import normalised, spaced
 from noticeflow.operators import linkage
 from noticeflow.operators.relevance import UNKNOWN_AREA
-from noticeflow.operators.requirements import LEVELS, NAMES, degrees, segments, with_levels
+from noticeflow.operators.requirements import LEVELS, NAMES, _levelled, degrees, with_levels
 from noticeflow.operators.segments import lines, scoped_evidence
 
 #: What announces a requirement.
@@ -31,24 +31,28 @@ MOST_UNCUED, MOST_EXCERPT, BEFORE, AFTER = 600, 1400, 2, 2
 KINDS = ("graduation", "masters", "doctorate", "postgraduate")
 _JUDGED = "struct<kinds:array<string>,cue:boolean,states:boolean>"
 _TABLE = Phrases((*NAMES, "ensi no superior"))
+_CUE = CUES.whole()
 
 
 def kinds(text: str) -> list[str]:
     """Which kinds of degrees the segments of a text ask for."""
-    found = segments(text)
-    after = [[w.said for w in words(s)] for graduation, s in found if not graduation]
-    named = lambda *stems: any(w in stems for s in after for w in s)
-    has = (any(g for g, _ in found), named("mestrado", "mestre"), named("doutorado", "doutor"), bool(after))
+    found = _levelled(text)
+    if not found:
+        return []
+    after = [placed(low)[0] for graduation, _, low in found if not graduation]
+    named = lambda *stems: any(w in s for s in after for w in stems)
+    has = (any(g for g, _, _ in found), named("mestrado", "mestre"), named("doutorado", "doutor"), bool(after))
     return [k for k, h in zip(KINDS, has, strict=True) if h]
 
 
 def judged(line: str) -> tuple[list[str], bool, bool]:
     """The kinds of a line, whether it announces a requirement, and whether it states one: announced, or as a degree at the head of a short line or beside a post."""
     own = kinds(line)
-    said = [w.said for w in words(line)]
-    cue = CUES.first(said) is not None
+    low = folded(line)
+    cue = _CUE.search(low) is not None
     if not own or cue or len(line) > MOST_UNCUED:
         return own, cue, bool(own) and cue
+    said = placed(low)[0]
     found = degrees(said, _TABLE)
     asked = any(d.phrase.startswith(WHOLE) or (d.behind < len(said) and FOLLOWING.at(said, d.behind)) for d in found)
     first = next((i for i, w in enumerate(said) if w[0].isalpha()), None)
