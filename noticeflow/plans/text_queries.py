@@ -13,7 +13,7 @@ from noticeflow.functions import dates as windows
 from noticeflow.functions import text, urls
 from noticeflow.operators import linkage, segments
 from noticeflow.plans.state_queries import AS_OF, BEFORE, NOW, SEEN_INDEX, listing
-from noticeflow.plans.tables import day, table
+from noticeflow.plans.tables import day, dealt, table
 from noticeflow.sources import pages, state_store
 from noticeflow.streaming import incremental
 
@@ -224,7 +224,7 @@ def id_match(spark: SparkSession, sf: str) -> DataFrame:
     year = F.date_format("o_orderdate", "yyyy")
     label = F.concat(F.lit("EDITAL Nº 00"), (F.col("o_orderkey") % 997).cast("string"), F.lit("/"), year)
     label = F.regexp_replace(label, "00([0-9]{3})/", "$1/")
-    notices = table(spark, sf, "orders").select("o_orderkey", linkage.notice_numbers(label).alias("numbers"))
+    notices = dealt(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select("o_orderkey", linkage.notice_numbers(label).alias("numbers"))
     name = F.concat(F.lit("Concurso público, edital n. "), (F.col("p_partkey") % 997).cast("string"), F.lit("/"), (F.lit(1995) + F.col("p_size") % 7).cast("string"))
     documents = table(spark, sf, "part").select("p_partkey", linkage.notice_numbers(name).alias("numbers"))
     return linkage.id_matches(notices, documents, "o_orderkey", "p_partkey")

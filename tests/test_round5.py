@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.phrases import Phrases, folded
 from noticeflow.functions.text import spaced
-from noticeflow.operators import evidence, extractors
+from noticeflow.operators import evidence, extractors, linkage
 from noticeflow.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -32,11 +32,26 @@ def test_lines_are_dealt_by_order(spark, name):
     assert _dealt(queries()[name](spark, SF), "l_orderkey")
 
 
+@pytest.mark.parametrize("name", ["id_match"])
+def test_orders_are_dealt(spark, name):
+    assert _dealt(queries()[name](spark, SF), "o_orderkey")
+
+
 def test_profile_table_shuffles_no_text_before_it_is_cut(spark):
     assert not any("headers" in x for x in _shuffles(queries()["profile_table"](spark, SF)))
     assert len(_shuffles(queries()["profile_table"](spark, SF))) == 3
 
 
+def test_pairs_of_a_number_are_neither_shuffled_nor_kept(spark):
+    notices = spark.createDataFrame([(1, ["1/26", "1/26"]), (1, ["1/26"]), (2, ["1/26"])], "n long, numbers array<string>")
+    documents = spark.createDataFrame([(7, ["1/26", "2/26"]), (7, ["1/26"]), (8, ["3/26"])], "d long, numbers array<string>")
+    found = linkage.id_matches(notices, documents, "n", "d")
+    assert sorted(map(tuple, found.select("n", "d", "number").collect())) == [(1, 7, "1/26"), (2, 7, "1/26")]
+    plan = _plan(found)
+    assert "SortMergeJoin" in plan
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
 def test_spaces_alone_are_left(spark):
     texts = [" a b ", "a  b", "a\tb", "a \t b", " a b", "a\n\n b", "", "a b c", "a\u0085b　"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(spaced(F.col("t"))).collect()]
