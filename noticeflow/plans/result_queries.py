@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from noticeflow.functions import text
 from noticeflow.operators import cargos, classify, linkage, report, requirements, results, segments, state
 from noticeflow.plans.state_queries import AS_OF, NOTICES, _notices
-from noticeflow.plans.tables import day, joined, table
+from noticeflow.plans.tables import day, dealt, joined, table
 from noticeflow.plans.text_queries import checkpointed
 from noticeflow.sources import notices as notices_source
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("int").alias("n"), F.max("l_suppkey").alias("s"))
+    lines = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_quantity").cast("int").alias("n"), F.max("l_suppkey").alias("s"))
     role = F.when(F.col("s") % 4 == 0, "Motorista ").when(F.col("s") % 4 == 1, "Professor Adjunto de ").otherwise("Professora Substituta: Área - ")
     item = F.concat(role, F.lit("Matéria "), F.col("part").cast("string"), F.lit(" (Licenciatura) ("), F.col("n").cast("string"), F.lit(" vagas)"))
     return lines.select("l_orderkey", "l_linenumber", item.alias("item"))
