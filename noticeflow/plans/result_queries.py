@@ -215,7 +215,8 @@ def _notice_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('. <a href="https://apply.example.org/'), k, F.lit('">inscrição</a> e <a href="https://www.inst.example.org/">página</a></p></div><a class="edital-pdf-link" data-link="'),
         k, F.lit('" data-code="7">Edital</a><a class="edital-pdf-link" href="/d/'), k, F.lit('.pdf">PDF</a></article></body></html>'),
     )
-    return table(spark, sf, "orders").select("o_orderkey", html.alias("html"))
+    orders = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
+    return orders.select("o_orderkey", html.alias("html"))
 
 
 def notice_details(spark: SparkSession, sf: str) -> DataFrame:
