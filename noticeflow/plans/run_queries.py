@@ -10,7 +10,7 @@ from noticeflow.operators.requirements import LEVELS
 from noticeflow.plans.layout_queries import _LINES, _lines, _with
 from noticeflow.plans.report_queries import NOTICES, _notices
 from noticeflow.plans.state_queries import AS_OF, BEFORE, NOW, listing
-from noticeflow.plans.tables import table
+from noticeflow.plans.tables import dealt, table
 from noticeflow.plans.text_queries import _shared, checkpointed
 from noticeflow.sources import notices as notices_source
 from noticeflow.sources import pages, state_store
@@ -126,7 +126,7 @@ def vacancy_report(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     official, prose = k % 2 == 0, F.lit("As vagas são para os cargos de: Professor de Arte (2 vagas), Docente de Letras (CR). As inscrições abrem.")
     none = F.lit(None).cast("string")
-    notices = table(spark, sf, "orders").select(
+    notices = dealt(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey").select(
         k, _with("Notice ", ".o_orderkey").alias("title"), F.lit("Geral").alias("area"), F.lit("Professor").alias("position"), F.lit(None).cast("int").alias("vacancies_count"), F.lit("NO").alias("formal_eligibility"),
         F.lit(7).alias("thematic_score"), F.when(k % 5 == 0, _with("Graduação em Base B", (k % 20).cast("string"))).alias(LEVELS[0]), *[none.alias(c) for c in LEVELS[1:]],
         F.when(official, "OFFICIAL_PDF").otherwise("PCI").alias("requirements_source"), F.when(official, "READ_MULTI").otherwise("READ").alias("official_check_status"),
@@ -176,7 +176,7 @@ def notice_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 4 != 3, _with("<li>Professor Adjunto de Arte (2 vagas)</li><li>Motorista</li>")).otherwise(""), '</ul><a href="https://apply.example.org/', ".o_orderkey", '">inscrição</a></div><a class="edital-pdf-link" data-link="',
         ".o_orderkey", '" data-code="7">Edital</a></article>',
     )
-    o = table(spark, sf, "orders")
+    o = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     listing = o.select(
         "o_orderkey", F.when(k % 7 != 0, _with("Card ", ".o_custkey")).alias("institution"), F.lit("SP").alias("state"), F.when(k % 5 == 0, "Docente").alias("position"), F.lit("R$ 1,00").alias("salary_text"),
         d.alias("registration_end"), F.lit(9).alias("vacancies_count"),

@@ -32,7 +32,7 @@ def test_lines_are_dealt_by_order(spark, name):
     assert _dealt(queries()[name](spark, SF), "l_orderkey")
 
 
-@pytest.mark.parametrize("name", ["id_match", "id_match_all", "notice_details", "link_roles", "protected_refs"])
+@pytest.mark.parametrize("name", ["id_match", "id_match_all", "notice_details", "link_roles", "protected_refs", "vacancy_report"])
 def test_orders_are_dealt(spark, name):
     assert _dealt(queries()[name](spark, SF), "o_orderkey")
 
