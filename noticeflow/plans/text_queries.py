@@ -374,7 +374,7 @@ CARD_INGEST = """SELECT o_custkey, 'https://site.example.org/noticias/' || o_ord
 def html_table_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order rendered as a table of areas and requirements, and read back."""
     row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td> area "), F.col("l_partkey").cast("string"), F.lit(" </td><td>req &amp; "), "l_returnflag", F.lit("</td></tr>"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("t")).alias("x"))
+    lines = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"), "l_orderkey").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_returnflag", row.alias("t")).alias("x"))
     body = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias("rows"))
     html = body.select("l_orderkey", F.concat(F.lit("<table><tr><th>Nº</th><th>Área</th><th>Requisitos</th></tr>"), "rows", F.lit("</table><table><tr><td>x</td></tr></table>")).alias("html"))
     return pages.table_records(pages.cells(html, "l_orderkey", "html"), "l_orderkey", {"area": "área|cargo", "requirement": "requisito"}).select("l_orderkey", "row", "area", "requirement")
