@@ -27,7 +27,7 @@ def _dealt(df, key: str) -> bool:
     return any("REPARTITION_BY_NUM" in x and x.count(f"{key}#") == 1 for x in _shuffles(df))
 
 
-@pytest.mark.parametrize("name", ["profile_table", "requirement_evidence", "cargo_items", "html_table_rows"])
+@pytest.mark.parametrize("name", ["profile_table", "requirement_evidence", "cargo_items", "html_table_rows", "labelled_cards", "numbered_annex", "repeated_areas", "cargo_blocks", "annex_variants", "link_contexts"])
 def test_lines_are_dealt_by_order(spark, name):
     assert _dealt(queries()[name](spark, SF), "l_orderkey")
 
