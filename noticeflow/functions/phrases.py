@@ -36,8 +36,9 @@ def _table() -> dict[str, str]:
     return dict(zip(one, bare, strict=True))
 
 
-def _plain(m: re.Match) -> str:
-    return _table().get(m[0], m[0])
+def _plain(m: re.Match, table: dict[str, str] = {}) -> str:  # noqa: B006
+    c = m[0]
+    return (table or table.update(_table()) or table).get(c, c)
 
 
 def folded(text: str) -> str:
