@@ -6,12 +6,13 @@ and the two after it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.functions.phrases import Phrases, folded, mapped, placed
+from noticeflow.functions.phrases import WORD_BEGINS, WORD_ENDS, Phrases, folded, mapped, placed
 from noticeflow.functions.text import normalised, spaced
 from noticeflow.operators import linkage
 from noticeflow.operators.relevance import UNKNOWN_AREA
@@ -32,6 +33,7 @@ KINDS = ("graduation", "masters", "doctorate", "postgraduate")
 _JUDGED = "struct<kinds:array<string>,cue:boolean,states:boolean>"
 _TABLE = Phrases((*NAMES, "ensi no superior"))
 _CUE = CUES.whole()
+_MASTERS, _DOCTORS = (re.compile(f"{WORD_BEGINS}{w}{WORD_ENDS}") for w in ("mestr(?:ado|e)", "doutor(?:ado)?"))
 
 
 def kinds(text: str) -> list[str]:
@@ -39,9 +41,8 @@ def kinds(text: str) -> list[str]:
     found = _levelled(text)
     if not found:
         return []
-    after = [placed(low)[0] for graduation, _, low in found if not graduation]
-    named = lambda *stems: any(w in s for s in after for w in stems)
-    has = (any(g for g, _, _ in found), named("mestrado", "mestre"), named("doutorado", "doutor"), bool(after))
+    after = [low for graduation, _, low in found if not graduation]
+    has = (any(g for g, _, _ in found), any(map(_MASTERS.search, after)), any(map(_DOCTORS.search, after)), bool(after))
     return [k for k, h in zip(KINDS, has, strict=True) if h]
 
 
