@@ -7,8 +7,10 @@ work on one text and are called for whole Arrow batches (``mapped``); phrases ar
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from functools import cache
+from itertools import accumulate, chain, pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from noticeflow.functions.text import _letters
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*|\S")
-_MARKED = re.compile(r"[^\x00-\x7f]")
+_MARKED, _USUAL_MARKS = re.compile(r"[^\x00-\x7f]"), re.compile("[\u0300-\u034e\u0350-\u036f]")
 #: Where a word begins and where it ends, as ``words`` parts them.
 WORD_BEGINS, WORD_ENDS = r"(?<![^\W_])(?<![^\W_]-)", r"(?![^\W_])(?!-[^\W_])"
 
@@ -50,6 +52,19 @@ def folded(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in bare)
 
 
+def decomposed(text: str) -> str:
+    """A text normalised for matching, as ``functions.text.normalised`` does it: characters may become several or go."""
+    if not text.isascii():
+        text = _USUAL_MARKS.sub("", unicodedata.normalize("NFKD", text))
+        if not text.isascii():
+            text = _MARKED.sub(_unless_combining, text)
+    return " ".join(text.lower().split())
+
+
+def _unless_combining(m: re.Match) -> str:
+    return "" if unicodedata.combining(m[0]) else m[0]
+
+
 def words(text: str) -> list[Word]:
     """Words, parts of which may be joined by hyphens, and other characters one by one."""
     return [*map(Word, *_columns(folded(text)))]
@@ -109,6 +124,30 @@ def once(function):
     return function.asNondeterministic()
 
 
+def taken(values: pa.Array) -> list:
+    """An array's values, structs as tuples. Lists and texts are taken as a whole, which takes a fraction of the time of ``to_pylist``."""
+    kind = values.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return values.to_numpy(zero_copy_only=False).tolist()
+    if values.null_count == 0 and pa.types.is_struct(kind):
+        return [*zip(*map(taken, values.flatten()), strict=True)]
+    if values.null_count == 0 and pa.types.is_list(kind):
+        places = values.offsets.to_numpy().tolist()
+        inner = taken(values.values.slice(places[0], places[-1] - places[0]))
+        return [inner[a - places[0] : b - places[0]] for a, b in pairwise(places)]
+    return values.to_pylist()
+
+
+def listed(found: list[list[tuple]], kind: T.ArrayType) -> pa.Array:
+    """Lists of structs, which are made from tuples."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    own = to_arrow_type(kind).value_type
+    columns = list(zip(*chain.from_iterable(found), strict=True)) or [()] * own.num_fields
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, own, strict=True)], fields=list(own))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), structs)
+
+
 def mapped(rule: Callable[[str], object], kind: str, *columns: Column, filtered: bool = False) -> Column:
     """What a rule makes of each text, nulls left alone; structs are made from tuples. A batch's equal texts are read once.
 
@@ -120,7 +159,7 @@ def mapped(rule: Callable[[str], object], kind: str, *columns: Column, filtered:
         from pyspark.sql.pandas.types import to_arrow_type
 
         said = texts.dictionary_encode()
-        found = [rule(t) for t in said.dictionary.to_pylist()]
+        found = [rule(t) for t in taken(said.dictionary)]
         own = to_arrow_type(returned)
         if not isinstance(returned, T.StructType):
             made = pa.array(found, own)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import bisect
 import re
-import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.functions import urls
+from noticeflow.functions.phrases import decomposed as _folded
+from noticeflow.functions.phrases import taken
 from noticeflow.functions.text import computed, content_hash, dates, spaced, vacancies
 from noticeflow.operators.requirements import LEVELS, levels
 from noticeflow.operators.requirements import NAMES as DEGREE_NAMES
@@ -141,25 +144,45 @@ class _Cells(_Walker):
             self.rows[-1][4] += data
 
 
-class _PartedCells(_Cells):
-    """The same with a cell's text in parts, as markup parts it; and what the whole page says."""
+class _PartedCells(_Walker):
+    """(table, row, cells) with a cell's text in parts, as markup parts it, of rows that have cells; and what the whole page says."""
 
     def __init__(self) -> None:
         super().__init__()
         self.said: list[str] = []
+        self.rows: list[tuple[int, int, list[list[str]]]] = []
+        self.cell: list[str] = []
+        self.table = self.row = -1
+        self.begun = False  # whether the row has cells
+        self.inside = self.hidden = 0  # open cells, and open elements whose text isn't shown
 
     def enter(self, tag: str, attrs: dict) -> None:
-        super().enter(tag, attrs)
-        if tag in ("td", "th"):
-            self.rows[-1][4] = []
+        if tag == "td" or tag == "th":
+            self.inside += 1
+            self.cell = []
+            if self.begun:
+                self.rows[-1][2].append(self.cell)
+            else:
+                self.begun = True
+                self.rows.append((self.table, self.row, [self.cell]))
+        elif tag == "tr":
+            self.row, self.begun = self.row + 1, False
+        elif tag == "table":
+            self.table, self.row, self.begun = self.table + 1, -1, False
+        elif tag == "script" or tag == "style":
+            self.hidden += 1
+
+    def leave(self, tag: str, attrs: dict) -> None:
+        if tag == "td" or tag == "th":
+            self.inside -= 1
+        elif tag == "script" or tag == "style":
+            self.hidden -= 1
 
     def text(self, data: str) -> None:
-        own = " ".join(data.split())
-        tags = {t for t, _ in self.open}
-        if own and not tags & {"script", "style"}:
+        if not self.hidden and (own := " ".join(data.split())):
             self.said.append(own)
-            if self.rows and tags & {"td", "th"}:
-                self.rows[-1][4].append(own)
+            if self.inside:
+                self.cell.append(own)
 
 
 class _Cards(_Walker):
@@ -209,7 +232,7 @@ def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tupl
         arrow = to_arrow_schema(schema)
         for batch in batches:
             out: list[tuple] = []
-            for *values, page in zip(*[batch[c].to_pylist() for c in own], batch[html].to_pylist(), strict=True):
+            for *values, page in zip(*[batch[c].to_pylist() for c in own], taken(batch[html]), strict=True):
                 out += [(*values, *r) for r in read(page or "")]
             columns = list(zip(*out, strict=True)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
@@ -217,21 +240,40 @@ def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tupl
     return pages.select(*own, html).mapInArrow(run, schema)
 
 
-#: Markup of the plainest kind, which has one reading: opening tags with plain attributes, closing tags, texts without references. All else is the parser's.
-_PLAIN = r"<(/?)([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z-]*=(?:\"[^\"<>&]*\"|[\w.:#%-]+))*+)[ \n\t]*>|([^<&]+)"
-_PLAIN_TOKENS, _PLAIN_PAGE, _PLAIN_ATTRIBUTE = re.compile(_PLAIN, re.A), re.compile(f"(?:{_PLAIN})*+", re.A), re.compile(r"([a-z][a-z-]*)=(?:\"([^\"]*)\"|([^ \n\t\"]+))")
-#: Elements whose content is no markup; a title without markup in it reads the same.
-_RAW = re.compile(r"<(?:script|style|textarea|iframe|noembed|noframes|noscript|xmp|plaintext|title(?![^<]*</title>))[ \n\t>]")
+#: Markup of the plainest kind, which has one reading: opening tags with plain attributes, closing tags, texts. All else is the parser's.
+_PLAIN = r"<(/?)([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z-]*=(?:\"[^\"<>&]*\"|[\w.:#%-]+))*+)[ \n\t]*>"
+_PLAIN_TAG, _PLAIN_PAGE, _PLAIN_ATTRIBUTE = re.compile(_PLAIN, re.A), re.compile(f"(?:{_PLAIN}|[^<]+)*+", re.A), re.compile(r"([a-z][a-z-]*)=(?:\"([^\"]*)\"|([^ \n\t\"]+))")
+_MARKUP = re.compile("(<[^<>]*>)")
+#: Elements whose content is no markup; a title without markup and references in it reads the same.
+_RAW = re.compile(r"<(?:script|style|textarea|iframe|noembed|noframes|noscript|xmp|plaintext|title(?![^<&]*</title>))[ \n\t>]")
+
+
+@lru_cache(10_000)
+def _plain_tag(markup: str) -> tuple[bool, str, dict[str, str], bool]:
+    """Whether a tag of plain markup closes an element, the element's name and attributes, and whether it stays open."""
+    closes, tag, attrs = _PLAIN_TAG.fullmatch(markup).groups()
+    return bool(closes), tag, {k: a or b for k, a, b in _PLAIN_ATTRIBUTE.findall(attrs)}, tag not in VOID
 
 
 def _fed(walker: _Walker, page: str) -> _Walker:
     if _PLAIN_PAGE.fullmatch(page) and not _RAW.search(page):
-        for closes, tag, attrs, text in _PLAIN_TOKENS.findall(page):
-            if text:
-                walker.handle_data(text)
-            elif not closes:
-                walker.handle_starttag(tag, [(k, a or b) for k, a, b in _PLAIN_ATTRIBUTE.findall(attrs)] if attrs else [])
-            elif not attrs:
+        enter, leave, text, opened = walker.enter, walker.leave, walker.text, walker.open
+        for markup in _MARKUP.split(page):
+            if not markup:
+                continue
+            if markup[0] != "<":
+                text(unescape(markup) if "&" in markup else markup)
+                continue
+            closes, tag, attrs, stays = _plain_tag(markup)
+            if not closes:
+                enter(tag, attrs)
+                if stays:
+                    opened.append((tag, attrs))
+            elif attrs:
+                continue
+            elif opened and opened[-1][0] == tag:
+                leave(*opened.pop())
+            else:
                 walker.handle_endtag(tag)
     else:
         walker.feed(page)
@@ -283,15 +325,16 @@ def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def parted_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, table, row, column, parts, offers) of the cells of a page's tables; offers tells whether the page's head speaks of teaching posts."""
+    """(key, table, offers, rows) of a page's tables, one row for each: the numbers and cells of its rows, a cell in parts; offers tells whether the page's head speaks of teaching posts."""
 
     def read(page: str) -> list[tuple]:
         w = _fed(_PartedCells(), page)
-        offers = re.search(r"\b(?:professor|docente|magisterio)\b", _folded(" ".join(w.said)[:PAGE_HEAD])) is not None
-        return [(table, row, column, parts, offers) for table, row, column, _, parts in w.rows]
+        head = " ".join(w.said)[:PAGE_HEAD]
+        offers = _SURELY_OFFERS.search(head) is not None or _OFFERS.search(_folded(head)) is not None
+        return [(table, offers, [(row, cells) for _, row, cells in own]) for table, own in groupby(w.rows, lambda r: r[0])]
 
-    kinds = [("table", T.IntegerType()), ("row", T.IntegerType()), ("column", T.IntegerType()), ("parts", T.ArrayType(T.StringType())), ("offers", T.BooleanType())]
-    return _rows(pages, key, html, read, kinds)
+    row = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType())))])
+    return _rows(pages, key, html, read, [("table", T.IntegerType()), ("offers", T.BooleanType()), ("rows", T.ArrayType(row))])
 
 
 def table_records(cell_rows: DataFrame, key: str, roles: dict[str, str], by_content: dict[str, str] | None = None, header_rows: int = HEADER_ROWS) -> DataFrame:
@@ -379,22 +422,14 @@ MOST_CARD, MOST_AREA, PAGE_HEAD = 5000, 350, 8000
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p dt".split())
 
 
-def _folded(text: str) -> str:
-    """A text normalised for matching, as ``functions.text.normalised`` does it."""
-    left = text if text.isascii() else _MARKED.sub(_unless_combining, unicodedata.normalize("NFKD", text))
-    return " ".join(left.lower().split())
-
-
-_MARKED = re.compile(r"[^\x00-\x7f]")
+_OFFERS = re.compile(r"\b(?:professor|docente|magisterio)\b")
+#: The same as written: between ASCII that parts words it stays as it is when the text is folded.
+_SURELY_OFFERS = re.compile(r"(?<![^\x00-/:-@\[-^`{-\x7f])(?:professor|docente|magisterio)(?![^\x00-/:-@\[-^`{-\x7f])", re.A | re.I)
 _DEGREES = re.compile(r"\b(?:" + "|".join(DEGREE_NAMES) + r")\b")
 _DETAILS = re.compile(r"\b(?:" + "|".join(DETAIL_LABELS) + r")\s*:")
 _TEACHES = re.compile(r"\b(?:" + "|".join(TEACHING) + r")\b")
 
 
-def _unless_combining(m: re.Match) -> str:
-    return "" if unicodedata.combining(m[0]) else m[0]
-
-
 class _Node:
     """An element with its texts: stretches of one list of the page's texts."""
 
