@@ -155,7 +155,11 @@ def dates(c: Column, as_of: Column) -> Column:
     Both numeric (d/m/yyyy, d-m-yyyy) and written ones (d de mês de yyyy). A written date without a year
     takes the last year that a written date names, else the year of ``as_of``.
     """
-    text = normalised(c)
+    return dates_in(normalised(c), as_of)
+
+
+def dates_in(text: Column, as_of: Column) -> Column:
+    """The same for a text that is normalised."""
     mentions = F.regexp_extract_all(text, F.lit(f"({_NUMERIC}|{_WRITTEN})"), F.lit(1))
     years = F.filter(
         F.transform(mentions, lambda m: F.nullif(F.regexp_extract(m, r"de\s+(\d{4})$", 1), F.lit(""))), lambda y: y.isNotNull()

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.functions import urls
-from noticeflow.functions.dates import application_window
+from noticeflow.functions.dates import with_window
 from noticeflow.functions.fields import area, position, subarea
 from noticeflow.functions.text import campus, city_state, dates, employment_type, money, normalised, spaced, vacancies, workload
 from noticeflow.operators.cargos import posts
 from noticeflow.operators.requirements import LEVELS, with_levels
-from noticeflow.sources.pages import _fed, _rows, _Walker
+from noticeflow.sources.pages import VOID, _fed, _rows, _Walker
 
 #: Words beside a link to the place where one applies.
 APPLY_WORDS = "inscri|edital|concurso|selecao"
 DIRECT, PROTECTED = "DIRECT", "HUMAN_VERIFICATION_REQUIRED"
 
 
+#: What open elements make of the text inside of them, in bits.
+_NOTICE, _ABBR, _ITEM, _LINK, _REFERENCE = (1 << i for i in range(5))
+_PARTS = {"headline": 32, "description": 64, "articleBody": 128}
+_BODY, _IN_PARTS = _PARTS["articleBody"], [*_PARTS.items()]
+_OWN = {"abbr": _ABBR, "li": _ITEM, "a": _LINK}
+
+
 class _Notice(_Walker):
     """Headline, description, date, body, list items, links and protected references of article#noticia."""
 
@@ -30,43 +39,52 @@ class _Notice(_Walker):
         self.links: list[list[str]] = []
         self.references: list[list[str | None]] = []
         self.complete: set[str] = set()
-
-    def _inside(self, key: str, value: str) -> bool:
-        return any(a.get(key) == value for _, a in self.open)
+        self.inside = [0]  # the bits of all open elements, for each of them
 
     def enter(self, tag: str, attrs: dict) -> None:
-        if not self._inside("id", "noticia"):
-            return
-        part = attrs.get("itemprop")
-        if part in self.parts:
-            self.complete.add(part)
-        if tag == "abbr" and "published" in attrs.get("class", "").split():
-            self.published = attrs.get("title", "")
-        if tag == "li" and self._inside("itemprop", "articleBody"):
-            self.items.append("")
-        if tag == "a" and "edital-pdf-link" in attrs.get("class", "").split():
-            self.references.append(["", attrs.get("href"), attrs.get("data-link"), attrs.get("data-code"), attrs.get("title")])
-        elif tag == "a" and "href" in attrs and self._inside("itemprop", "articleBody"):
-            self.links.append([attrs["href"].strip(), "", ""])
+        inside = self.inside[-1]
+        own = _OWN.get(tag, 0)
+        if attrs:
+            part = attrs.get("itemprop")
+            if part in _PARTS:
+                own |= _PARTS[part]
+                if inside & _NOTICE:
+                    self.complete.add(part)
+            if attrs.get("id") == "noticia":
+                own |= _NOTICE
+            if tag == "a" and "edital-pdf-link" in attrs.get("class", ""):
+                own |= _REFERENCE
+        if own and inside & _NOTICE:
+            if tag == "abbr" and "published" in attrs.get("class", "").split():
+                self.published = attrs.get("title", "")
+            elif tag == "li" and inside & _BODY:
+                self.items.append("")
+            elif own & _REFERENCE and "edital-pdf-link" in attrs["class"].split():
+                self.references.append(["", attrs.get("href"), attrs.get("data-link"), attrs.get("data-code"), attrs.get("title")])
+            elif tag == "a" and "href" in attrs and inside & _BODY:
+                self.links.append([attrs["href"].strip(), "", ""])
+        if tag not in VOID:
+            self.inside.append(inside | own)
+
+    def leave(self, tag: str, attrs: dict) -> None:
+        self.inside.pop()
 
     def text(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        for name in self.parts:
-            if self._inside("itemprop", name):
+        inside = self.inside[-1]
+        if inside <= _NOTICE:
+            return
+        for name, bit in _IN_PARTS:
+            if inside & bit:
                 self.parts[name].append(data)
-        if "abbr" in tags and self.published == "":
+        if inside & _ABBR and self.published == "":
             self.published_text += data
-        inside = self._inside("itemprop", "articleBody")
-        reference = any(t == "a" and "edital-pdf-link" in a.get("class", "") for t, a in self.open)
-        if reference and self.references:
+        if inside & _REFERENCE and self.references:
             self.references[-1][0] = (self.references[-1][0] or "") + data
-        elif inside:
-            if "li" in tags and self.items:
+        elif inside & _BODY:
+            if inside & _ITEM and self.items:
                 self.items[-1] += data
-            if "a" in tags and self.links:
-                self.links[-1][1] += data
-            if self.links and "a" not in tags:
-                self.links[-1][2] += data
+            if self.links:
+                self.links[-1][1 if inside & _LINK else 2] += data
 
     def row(self) -> tuple | None:
         if not {"headline", "articleBody"} <= self.complete:
@@ -92,14 +110,15 @@ RECORD = (
 )
 
 
-def parts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """A notice page's parts; pages without a headline or a body have no row."""
+def parts(pages: DataFrame, key: str, html: str, names: Sequence[str] = tuple(n for n, _ in _FIELDS)) -> DataFrame:
+    """A notice page's parts, or some of them; pages without a headline or a body have no row."""
+    places = [i for i, (n, _) in enumerate(_FIELDS) if n in names]
 
     def read(page: str) -> list[tuple]:
         row = _fed(_Notice(), page).row()
-        return [row] if row else []
+        return [tuple([row[i] for i in places])] if row else []
 
-    return _rows(pages, key, html, read, _FIELDS)
+    return _rows(pages, key, html, read, [_FIELDS[i] for i in places])
 
 
 def link_roles(found: DataFrame, key: str, base: Column, own_hosts: tuple[str, ...] = ()) -> DataFrame:
@@ -149,24 +168,23 @@ def merged_references(known: DataFrame, found: DataFrame, key: str) -> DataFrame
 
 def details(pages: DataFrame, key: str, html: str, as_of: Column) -> DataFrame:
     """Columns of a notice: texts, dates, area, place, position, pay and counts, from its own text alone."""
-    return details_of(parts(pages, key, html), key, as_of)
+    return details_of(parts(pages, key, html, ("title", "description", "raw_text", "published", "published_text", "items")), key, as_of)
 
 
 def details_of(found: DataFrame, key: str, as_of: Column) -> DataFrame:
-    """The same from a notice's ``parts``."""
+    """The same from a notice's ``parts``, each read once."""
     body, whole = F.col("raw_text"), F.concat_ws(" ", "title", "description", "raw_text")
-    window = application_window(found, key, "raw_text", as_of)
+    rules = {"position": position(whole, F.lit("Professor")), "area": area(body), "subarea": subarea(body)}
+    found = with_window(found, "raw_text", as_of, rules)
     city, state = city_state(body)
     published = F.coalesce(F.to_date(F.col("published").try_cast("timestamp")), F.get(dates(F.col("published_text"), as_of), F.lit(0)))
-    out = found.select(
+    return found.select(
         key, "title", "description", "raw_text",
         F.get(F.split("title", " (?:abre|publica) ", 2), F.lit(0)).alias("institution"),
         campus(body).alias("campus"), city.alias("city"), state.alias("state"),
-        position(whole, F.lit("Professor")).alias("position"), area(body).alias("area"), subarea(body).alias("subarea"),
-        employment_type(whole).alias("employment_type"), workload(body).alias("workload"), money(body).alias("salary_text"),
-        published.alias("publication_date"), vacancies(body).alias("vacancies_count"), "items",
+        *rules, employment_type(whole).alias("employment_type"), workload(body).alias("workload"), money(body).alias("salary_text"),
+        published.alias("publication_date"), vacancies(body).alias("vacancies_count"), "items", "registration_start", "registration_end",
     )
-    return out.join(window.hint("merge"), key, "left")
 
 
 def records(pages: DataFrame, key: str, html: str, base: Column, listing: DataFrame, as_of: Column, checkpoint) -> DataFrame:

@@ -242,7 +242,7 @@ def _rows(pages: DataFrame, key: str, html: str, read: Callable[[str], list[tupl
 
 #: Markup of the plainest kind, which has one reading: opening tags with plain attributes, closing tags, texts. All else is the parser's.
 _PLAIN = r"<(/?)([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z-]*=(?:\"[^\"<>&]*\"|[\w.:#%-]+))*+)[ \n\t]*>"
-_PLAIN_TAG, _PLAIN_PAGE, _PLAIN_ATTRIBUTE = re.compile(_PLAIN, re.A), re.compile(f"(?:{_PLAIN}|[^<]+)*+", re.A), re.compile(r"([a-z][a-z-]*)=(?:\"([^\"]*)\"|([^ \n\t\"]+))")
+_PLAIN_PAGE, _PLAIN_ATTRIBUTE = re.compile(f"(?:{_PLAIN}|[^<]+)*+", re.A), re.compile(r"([a-z][a-z-]*)=(?:\"([^\"]*)\"|([^ \n\t\"]+))")
 _MARKUP = re.compile("(<[^<>]*>)")
 #: Elements whose content is no markup; a title without markup and references in it reads the same.
 _RAW = re.compile(r"<(?:script|style|textarea|iframe|noembed|noframes|noscript|xmp|plaintext|title(?![^<&]*</title>))[ \n\t>]")
@@ -251,8 +251,11 @@ _RAW = re.compile(r"<(?:script|style|textarea|iframe|noembed|noframes|noscript|x
 @lru_cache(10_000)
 def _plain_tag(markup: str) -> tuple[bool, str, dict[str, str], bool]:
     """Whether a tag of plain markup closes an element, the element's name and attributes, and whether it stays open."""
-    closes, tag, attrs = _PLAIN_TAG.fullmatch(markup).groups()
-    return bool(closes), tag, {k: a or b for k, a, b in _PLAIN_ATTRIBUTE.findall(attrs)}, tag not in VOID
+    if "=" in markup:
+        tag = markup[1:-1].split(None, 1)[0]
+        return tag[0] == "/", tag.lstrip("/"), {k: a or b for k, a, b in _PLAIN_ATTRIBUTE.findall(markup, len(tag) + 1, len(markup) - 1)}, tag not in VOID
+    tag = markup.strip("</> \n\t")
+    return markup[1] == "/", tag, {}, tag not in VOID
 
 
 def _fed(walker: _Walker, page: str) -> _Walker:
