@@ -230,7 +230,7 @@ NOTICE_DETAILS = """SELECT o_orderkey, 'Inst ' || o_custkey || ' abre vaga ' ||
 
 
 def link_roles(spark: SparkSession, sf: str) -> DataFrame:
-    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html")
+    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html", ("links",))
     return notices_source.link_roles(found, "o_orderkey", F.lit("https://list.example.org/n/"))
 
 
@@ -238,7 +238,7 @@ LINK_ROLES = "SELECT o_orderkey, 'https://apply.example.org/' || o_orderkey AS o
 
 
 def protected_refs(spark: SparkSession, sf: str) -> DataFrame:
-    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html")
+    found = notices_source.parts(_notice_pages(spark, sf), "o_orderkey", "html", ("references",))
     return notices_source.references(found, "o_orderkey", F.lit("https://list.example.org/n/")).select("o_orderkey", "label", "url", "link_id", "news_code", "access")
 
 

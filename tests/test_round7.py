@@ -118,3 +118,16 @@ def test_names_are_found_behind_leading_words():
         "Não identificada", "Não identificada", "Óptica", "Álgebra", ": atuação", "Não identificada",
     ]
     assert fields.position_of("Um Professor do Magistério Superior") == "Professor do Magistério Superior" and fields.position_of("professores") is None
+
+
+def test_some_parts_of_notices_are_the_same_parts(spark):
+    html = (
+        '<article id="noticia"><h1 itemprop="headline">T &amp; U</h1><abbr class="published" title=""></abbr><abbr>ontem</abbr><div itemprop="articleBody">a <li>b <a href=" /x ">c</a> d</li>'
+        '<a class="edital-pdf-link" data-link="1" data-code="2" title="E">e</a><a class="edital-pdf-links" href="/y">f</a> g</div></article><h1 itemprop="description">h</h1>'
+    )
+    docs = spark.createDataFrame([(1, html), (2, "<article id=noticia><p>x"), (3, None)], "k int, h string")
+    whole = notices.parts(docs, "k", "h").collect()
+    assert [tuple(r) for r in whole] == [(1, "T & U", "h", "a b c d e f g", "", "ontem", ["b c d"], [["/x", "c", " d"], ["/y", "", " g"]], [["ef", None, "1", "2", "E"]])]
+    some = notices.parts(docs, "k", "h", ("references", "title"))
+    assert some.columns == ["k", "title", "references"] and [(r.title, r.references) for r in some.collect()] == [(whole[0].title, whole[0].references)]
+    assert [x for x in re.findall(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", _plan(queries()["protected_refs"](spark, SF)))][0].count("#") == 2
